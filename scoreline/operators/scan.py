@@ -36,6 +36,12 @@ from pyspark.sql.types import (BooleanType, DataType, DateType, NumericType, Str
 # holding more than this many matches is cut into several blocks.
 BLOCK_IDS = 1 << 16
 
+# Rows above which one window partition is split into blocks. One task
+# sorts this many narrow rows comfortably; at most rows / MAX_GROUP_ROWS
+# keys can exceed it (e.g. < 400k keys for 3e12 rows), so the heavy-key
+# list is small enough to broadcast at any scale.
+MAX_GROUP_ROWS = 1 << 23
+
 
 def _default(dtype: DataType) -> Column:
     if isinstance(dtype, NumericType):
@@ -65,50 +71,94 @@ def _eq(left_names: list[str], right_names: list[str]) -> Column:
                   [F.col(a) == F.col(b) for a, b in zip(left_names, right_names)])
 
 
+def _flag_heavy(df: DataFrame, partition_by: list[str], max_group_rows: int) -> DataFrame:
+    """Add ``_heavy`` (true/NULL): does the row's partition hold > ``max_group_rows`` rows?
+
+    The heavy keys come from a count per partition (map-side combined);
+    at most rows / ``max_group_rows`` keys qualify, so broadcasting them
+    has a bound that holds at any scale.
+    """
+    sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows")) \
+        .filter(F.col("_rows") > max_group_rows)
+    heavy = sizes.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(partition_by)],
+                         F.lit(True).alias("_heavy"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{i}"))
+                                     for i, c in enumerate(partition_by)])
+    return df.join(F.broadcast(heavy), on, "left") \
+        .drop(*[f"_h{i}" for i in range(len(partition_by))])
+
+
+def _is_heavy() -> Column:
+    return F.coalesce(F.col("_heavy"), F.lit(False))
+
+
 def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column | str],
-                value: str, out: str, block_by: list[Column]) -> DataFrame:
+                value: str, out: str, block_by: list[Column],
+                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add ``out`` = running total of ``value`` (non-NULL) per partition in order.
 
     ``order_by`` must be a total order within a partition (end it with a
-    unique id). ``block_by`` are expressions whose tuple order never
-    contradicts ``order_by`` — e.g. ``[date, id div BLOCK_IDS]`` for the
-    order ``(date, id)`` — so each block is a contiguous range of rows.
+    unique id), ascending. ``block_by`` are expressions whose tuple order
+    never contradicts ``order_by`` — e.g. ``[date, id div BLOCK_IDS]`` for
+    the order ``(date, id)`` — so each block is a contiguous range of rows.
+
+    Partitions with at most ``max_group_rows`` rows are summed by one window
+    as usual. Larger ("heavy") partitions are cut into blocks: summed inside
+    each block, plus the total of all earlier blocks of the partition. The
+    heavy keys are found by a count per partition; there are at most
+    rows / ``max_group_rows`` of them, which bounds the broadcast.
     """
     blocks = [f"_blk{i}" for i in range(len(block_by))]
-    with_blocks = df.select("*", *[c.alias(b) for c, b in zip(block_by, blocks)])
+    flagged = _flag_heavy(df, partition_by, max_group_rows)
+    is_heavy = _is_heavy()
+    with_blocks = flagged.select("*", *[F.when(is_heavy, c).alias(b) for c, b in zip(block_by, blocks)])
     key_exprs, keys = _pair_keys(with_blocks, list(partition_by) + blocks, "k")
     t = with_blocks.select("*", *key_exprs)
-    p_keys = keys[:2 * len(partition_by)]
+    n_p = 2 * len(partition_by)
+    p_keys, b_keys = keys[:n_p], keys[n_p:]
 
     inside = Window.partitionBy(*keys).orderBy(*order_by) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = t.withColumn("_loc", F.sum(value).over(inside))
 
-    earlier = Window.partitionBy(*p_keys).orderBy(*keys[2 * len(partition_by):]) \
+    # Blocks of heavy partitions in row order: NULL first (ascending order).
+    block_order = [F.col(k).desc() if k.endswith("n") else F.col(k).asc()
+                   for pair in zip(b_keys[1::2], b_keys[0::2]) for k in pair]
+    earlier = Window.partitionBy(*p_keys).orderBy(*block_order) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (t.groupBy(*keys).agg(F.sum(value).alias("_bsum"))
+    offsets = (t.filter(is_heavy).groupBy(*keys).agg(F.sum(value).alias("_bsum"))
                .select(*[F.col(k).alias("o" + k) for k in keys],
                        F.coalesce(F.sum("_bsum").over(earlier), F.lit(0)).alias("_off")))
-    joined = local.join(offsets, _eq(keys, ["o" + k for k in keys]))
-    return (joined.withColumn(out, F.col("_off") + F.col("_loc"))
-            .drop("_loc", "_off", *blocks, *keys, *["o" + k for k in keys]))
+    joined = local.join(offsets, _eq(keys, ["o" + k for k in keys]), "left")
+    return (joined.withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_loc"))
+            .drop("_loc", "_off", "_heavy", *blocks, *keys, *["o" + k for k in keys]))
+
 
+def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
+              max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST).
+
+    Groups up to ``max_group_rows`` rows are ranked by one window. Larger
+    groups are ranked by counting: rank = 1 + rows of the group with a
+    greater value (NULL counts as greatest), from a histogram of values.
+    """
+    flagged = _flag_heavy(df, partition_by, max_group_rows)
+    w = Window.partitionBy(*partition_by).orderBy(F.col(value).desc_nulls_first())
+    light = flagged.filter(~_is_heavy()).withColumn(out, F.rank().over(w).cast("long"))
 
-def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST)."""
     cols = list(partition_by) + [value]
-    key_exprs, keys = _pair_keys(df, cols, "r")
-    t = df.select("*", *key_exprs)
+    key_exprs, keys = _pair_keys(flagged, cols, "r")
+    t = flagged.filter(_is_heavy()).select("*", *key_exprs)
     p_keys = keys[:2 * len(partition_by)]
-    # Histogram of values per group; NULL sorts first in a descending order.
     hist = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     greater_first = [F.col(keys[-1]).desc(), F.col(keys[-2]).desc()]  # isnull desc: NULL first
     before = Window.partitionBy(*p_keys).orderBy(*greater_first) \
         .rowsBetween(Window.unboundedPreceding, -1)
     ranks = hist.select(*[F.col(k).alias("o" + k) for k in keys],
                         (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(out))
-    return t.join(ranks, _eq(keys, ["o" + k for k in keys])) \
+    heavy = t.join(ranks, _eq(keys, ["o" + k for k in keys])) \
         .drop(*keys, *["o" + k for k in keys])
+    return light.unionByName(heavy).drop("_heavy")
 
 
 def running_sum_plain(df: DataFrame, partition_by: list[str], order_by: list[Column | str],

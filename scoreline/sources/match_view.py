@@ -25,15 +25,28 @@ broadcast hint.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
+                               TimestampNTZType)
 
+from scoreline.session import checkpoint_dir
 from scoreline.sources.tables import read_table
 
-MATCH_COLUMNS = ["id", "country_id", "league_id", "season", "stage", "date",
-                 "home_team_api_id", "away_team_api_id", "home_team_goal", "away_team_goal"]
+# (application, sf_dir) -> path of the match table written by this application.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+MATCH_SCHEMA = StructType([
+    StructField("id", LongType()), StructField("country_id", IntegerType()),
+    StructField("league_id", IntegerType()), StructField("season", StringType()),
+    StructField("stage", IntegerType()), StructField("date", TimestampNTZType()),
+    StructField("home_team_api_id", LongType()), StructField("away_team_api_id", LongType()),
+    StructField("home_team_goal", IntegerType()), StructField("away_team_goal", IntegerType()),
+])
+MATCH_COLUMNS = MATCH_SCHEMA.fieldNames()
 
 
 @dataclass(frozen=True)
@@ -50,13 +63,12 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def match_tables(spark: SparkSession, sf_dir: str) -> MatchTables:
+def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match rows as a lazy plan over line items, orders, customers, nations."""
     lineitem = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")
     nation = read_table(spark, sf_dir, "nation")
-    region = read_table(spark, sf_dir, "region")
-    supplier = read_table(spark, sf_dir, "supplier")
 
     per_order = (
         lineitem.groupBy("l_orderkey")
@@ -88,6 +100,39 @@ def match_tables(spark: SparkSession, sf_dir: str) -> MatchTables:
             F.col("goals_r").alias("away_team_goal"),
         )
     )
+    return matches
+
+
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match table, derived once per session and written as Parquet.
+
+    Like the import step of a warehouse: every report then reads a stored
+    fact table (column pruning, filter pushdown, partition pruning on
+    ``season``) instead of re-deriving it from line items. The table goes to
+    a fresh folder under the shared ``spark.checkpoint.dir`` — lineage is
+    cut there, so a lost executor costs a re-read, not a re-derivation.
+    Each task writes its own rows sorted by (season, league, date, id), so
+    files are clustered by league (tight min/max statistics for league
+    filters) and no task ever holds a whole season.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
+        (derive_matches(spark, sf_dir)
+         .sortWithinPartitions("season", "league_id", "date", "id")
+         .write.mode("overwrite").partitionBy("season").parquet(path))
+        _WRITTEN[key] = path
+    # The declared schema keeps the partition column ``season`` a string.
+    return spark.read.schema(MATCH_SCHEMA).parquet(path).select(*MATCH_COLUMNS)
+
+
+def match_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> MatchTables:
+    """Matches (stored once per session unless ``stored=False``) and dimensions."""
+    matches = stored_matches(spark, sf_dir) if stored else derive_matches(spark, sf_dir)
+    supplier = read_table(spark, sf_dir, "supplier")
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
     teams = supplier.select(F.col("s_suppkey").alias("team_api_id"),
                             F.col("s_name").alias("team_long_name"))
     leagues = _bounded(nation.select(F.col("n_nationkey").alias("id"),

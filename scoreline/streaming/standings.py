@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
-                               TimestampNTZType)
+from pyspark.sql.types import StructType
 
 from scoreline.operators.standings import season_table
 from scoreline.session import checkpoint_dir
-
-MATCH_SCHEMA = StructType([
-    StructField("id", LongType()), StructField("country_id", IntegerType()),
-    StructField("league_id", IntegerType()), StructField("season", StringType()),
-    StructField("stage", IntegerType()), StructField("date", TimestampNTZType()),
-    StructField("home_team_api_id", LongType()), StructField("away_team_api_id", LongType()),
-    StructField("home_team_goal", IntegerType()), StructField("away_team_goal", IntegerType()),
-])
+from scoreline.sources.match_view import MATCH_SCHEMA
 
 
 def match_stream(spark: SparkSession, path: str, schema: StructType = MATCH_SCHEMA,
