@@ -1,0 +1,81 @@
+"""Head-to-head, latest-per-period pivots and yearly evolution."""
+
+import datetime as dt
+
+import pytest
+from pyspark.errors import PySparkException
+
+from scoreline import operators as op
+
+TEAMS = {1: "Reds", 2: "Blues", 3: "Greens"}
+
+
+def test_head_to_head_both_directions(fx):
+    m = fx.matches([(1, 10, "2020", 1, "2020-01-01", 1, 2, 2, 1),
+                    (2, 10, "2020", 2, "2020-02-01", 2, 1, 1, 1),
+                    (3, 10, "2020", 3, "2020-03-01", 2, 1, None, None),
+                    (4, 10, "2020", 4, "2020-04-01", 1, 3, 5, 0)])   # other pair: excluded
+    rows = op.head_to_head(m, fx.teams(TEAMS), "Reds", "Blues", ("Red Park", "Blue Park")).collect()
+    assert [(r.match_date, r.venue, r.scoreline, r.winner, r.total_goals) for r in rows] == [
+        (dt.date(2020, 1, 1), "Red Park", "Reds 2-1 Blues", "Reds", 3),
+        (dt.date(2020, 2, 1), "Blue Park", "Blues 1-1 Reds", "Draw", 2),
+        (dt.date(2020, 3, 1), "Blue Park", None, "Draw", None),   # NULL score: NULL label, draw
+    ]
+    s = op.head_to_head_summary(m, fx.teams(TEAMS), "Reds", "Blues").first()
+    assert (s.meetings, s.wins_a, s.wins_b, s.draws, s.total_goals) == (3, 1, 0, 2, 5)
+
+
+@pytest.fixture(scope="module")
+def snaps(spark):
+    entities = spark.createDataFrame([(1, "Alice Smith"), (2, "Bob Jones"), (3, "Carol")],
+                                     "pid long, pname string")
+    rows = [  # (id, pid, date text, rating)
+        (1, 1, "2019-03-01 00:00:00", 80), (2, 1, "2019-09-01 00:00:00", 85),
+        (3, 2, "2019-05-01 00:00:00", 90),
+        (4, 1, "2020-02-01 00:00:00", 86),                       # Bob has no 2020 snapshot
+        (5, 2, "2021-01-01 00:00:00", 91), (6, 1, "2021-06-01 00:00:00", 84),
+        (7, 3, "2021-06-01 00:00:00", 99),
+    ]
+    snapshots = spark.createDataFrame(rows, "sid long, pid long, date string, rating long")
+    return entities, snapshots
+
+
+def test_compare_latest_pivot(snaps):
+    entities, snapshots = snaps
+    rows = op.compare_latest(entities, snapshots, key="pid", name="pname", ts="date",
+                             order_id="sid", metric="rating", select=["%alice%", "%BOB%"],
+                             columns=[("alice", "%smith%"), ("bob", "%jones%")]).collect()
+    assert [(r.period, r.alice, r.bob, r.difference) for r in rows] == [
+        (2019, 85, 90, -5),       # latest of two 2019 snapshots
+        (2020, 86, None, None),   # missing side: NULL column and NULL difference
+        (2021, 84, 91, -7),
+    ]
+
+
+def test_latest_per_period_breaks_timestamp_ties_by_id(spark):
+    s = spark.createDataFrame([(1, 7, "2020-01-01 00:00:00", 1), (2, 7, "2020-01-01 00:00:00", 2)],
+                              "sid long, pid long, date string, v long")
+    assert op.latest_per_period(s, "pid", "date", "sid", ["v"]).first().v == 2
+
+
+def test_malformed_date_text_raises(snaps, spark):
+    entities, _ = snaps
+    bad = spark.createDataFrame([(1, 1, "not a date", 80)], "sid long, pid long, date string, rating long")
+    with pytest.raises(PySparkException):
+        op.compare_latest(entities, bad, key="pid", name="pname", ts="date", order_id="sid",
+                          metric="rating", select=["%alice%"], columns=[("alice", "%alice%")]).collect()
+
+
+def test_yearly_evolution_previous_available_year_and_mean(snaps):
+    entities, snapshots = snaps
+    rows = op.yearly_evolution(entities, snapshots, key="pid", name="pname", ts="date",
+                               order_id="sid", metrics=["rating"], only=["Bob Jones"],
+                               name_as="player").collect()
+    assert [(r.player, r.year, r.rating, r.prev_rating, r.delta_rating, r.mean_rating)
+            for r in rows] == [("Bob Jones", 2019, 90, None, None, 90.5),
+                               ("Bob Jones", 2021, 91, 90, 1, 90.5)]   # gap year: 2019 is previous
+    alice = [r for r in op.yearly_evolution(entities, snapshots, key="pid", name="pname", ts="date",
+                                            order_id="sid", metrics=["rating"]).collect()
+             if r.name == "Alice Smith"]
+    assert [r.rating for r in alice] == [85, 86, 84]
+    assert alice[0].mean_rating == 85.0    # (85 + 86 + 84) / 3
