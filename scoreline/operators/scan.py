@@ -4,17 +4,20 @@
 ``RANK() OVER (PARTITION BY p ORDER BY v DESC)`` are planned by Spark as one
 sort of each whole partition in one task. When one team (or one round)
 holds a third of all rows, that task holds a third of the data. The two
-operators here give the same results without any task seeing a whole group:
-
-* ``running_sum`` cuts each partition into blocks — contiguous ranges of
-  the order, bounded in size by construction — sums inside blocks, and adds
-  an offset per block (the total of all earlier blocks of its partition)
-  computed on the much smaller table of block totals. The data is shuffled
-  once, on (partition, block); the block sums reuse that partitioning and
-  the offsets are joined back on the same keys.
-* ``rank_desc`` ranks by counting: rank = 1 + number of rows of the group
-  with a strictly greater value. The rows are first collapsed to a histogram
-  (group, value, count) with map-side partial aggregation, so the window
+operators here give the same results without any task seeing a whole
+oversized group:
+
+* a count per partition key first finds the "heavy" keys (more rows than
+  ``MAX_GROUP_ROWS``). If there are none — the usual case — the plan is
+  the plain single window. Heavy keys number at most rows / MAX_GROUP_ROWS,
+  so they are broadcast with a proven bound;
+* ``running_sum`` cuts heavy partitions into blocks — contiguous ranges of
+  the order — sums inside blocks, and adds per block the total of all
+  earlier blocks, computed on the small table of block totals. The block
+  sums and the offsets join reuse the blocks' partitioning;
+* ``rank_desc`` ranks heavy groups by counting: rank = 1 + number of rows
+  of the group with a strictly greater value, from a histogram (group,
+  value, count) built with map-side partial aggregation, so the window
   runs over distinct values, not over rows.
 
 Possibly-NULL key columns are replaced by non-null pairs
@@ -71,17 +74,20 @@ def _eq(left_names: list[str], right_names: list[str]) -> Column:
                   [F.col(a) == F.col(b) for a, b in zip(left_names, right_names)])
 
 
-def _flag_heavy(df: DataFrame, partition_by: list[str], max_group_rows: int) -> DataFrame:
-    """Add ``_heavy`` (true/NULL): does the row's partition hold > ``max_group_rows`` rows?
+def _heavy_keys(df: DataFrame, partition_by: list[str], max_group_rows: int) -> DataFrame:
+    """Partition keys holding more than ``max_group_rows`` rows (map-side combined count).
 
-    The heavy keys come from a count per partition (map-side combined);
-    at most rows / ``max_group_rows`` keys qualify, so broadcasting them
-    has a bound that holds at any scale.
+    At most rows / ``max_group_rows`` keys qualify, so broadcasting them has
+    a bound that holds at any scale.
     """
     sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows")) \
         .filter(F.col("_rows") > max_group_rows)
-    heavy = sizes.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(partition_by)],
-                         F.lit(True).alias("_heavy"))
+    return sizes.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(partition_by)],
+                        F.lit(True).alias("_heavy"))
+
+
+def _flag_heavy(df: DataFrame, partition_by: list[str], heavy: DataFrame) -> DataFrame:
+    """Add ``_heavy`` (true or NULL) by a broadcast join with the heavy keys."""
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{i}"))
                                      for i, c in enumerate(partition_by)])
     return df.join(F.broadcast(heavy), on, "left") \
@@ -94,7 +100,7 @@ def _is_heavy() -> Column:
 
 def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column | str],
                 value: str, out: str, block_by: list[Column],
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                max_group_rows: int = MAX_GROUP_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = running total of ``value`` (non-NULL) per partition in order.
 
     ``order_by`` must be a total order within a partition (end it with a
@@ -102,14 +108,19 @@ def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column |
     never contradicts ``order_by`` — e.g. ``[date, id div BLOCK_IDS]`` for
     the order ``(date, id)`` — so each block is a contiguous range of rows.
 
-    Partitions with at most ``max_group_rows`` rows are summed by one window
-    as usual. Larger ("heavy") partitions are cut into blocks: summed inside
-    each block, plus the total of all earlier blocks of the partition. The
-    heavy keys are found by a count per partition; there are at most
-    rows / ``max_group_rows`` of them, which bounds the broadcast.
+    A small count job first looks for partitions above ``max_group_rows``
+    rows (on ``sizes_from`` when given: any frame with the same rows per
+    partition key, cheaper to scan). Without any, this is one window. With
+    some, those partitions are cut into blocks: summed inside each block,
+    plus the total of all earlier blocks of the partition; the others still
+    take the single window.
     """
+    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, max_group_rows)
+    if heavy.isEmpty():
+        return running_sum_plain(df, partition_by, order_by, value, out)
+
     blocks = [f"_blk{i}" for i in range(len(block_by))]
-    flagged = _flag_heavy(df, partition_by, max_group_rows)
+    flagged = _flag_heavy(df, partition_by, heavy)
     is_heavy = _is_heavy()
     with_blocks = flagged.select("*", *[F.when(is_heavy, c).alias(b) for c, b in zip(block_by, blocks)])
     key_exprs, keys = _pair_keys(with_blocks, list(partition_by) + blocks, "k")
@@ -135,14 +146,19 @@ def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column |
 
 
 def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
-              max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+              max_group_rows: int = MAX_GROUP_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST).
 
-    Groups up to ``max_group_rows`` rows are ranked by one window. Larger
-    groups are ranked by counting: rank = 1 + rows of the group with a
-    greater value (NULL counts as greatest), from a histogram of values.
+    As in ``running_sum``, a count job first looks for groups above
+    ``max_group_rows`` rows. Without any, this is one window. Groups above
+    it are ranked by counting: rank = 1 + rows of the group with a greater
+    value (NULL counts as greatest), from a histogram of (group, value).
     """
-    flagged = _flag_heavy(df, partition_by, max_group_rows)
+    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, max_group_rows)
+    if heavy.isEmpty():
+        return rank_desc_plain(df, partition_by, value, out)
+
+    flagged = _flag_heavy(df, partition_by, heavy)
     w = Window.partitionBy(*partition_by).orderBy(F.col(value).desc_nulls_first())
     light = flagged.filter(~_is_heavy()).withColumn(out, F.rank().over(w).cast("long"))
 
@@ -156,9 +172,9 @@ def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
         .rowsBetween(Window.unboundedPreceding, -1)
     ranks = hist.select(*[F.col(k).alias("o" + k) for k in keys],
                         (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(out))
-    heavy = t.join(ranks, _eq(keys, ["o" + k for k in keys])) \
+    heavy_rows = t.join(ranks, _eq(keys, ["o" + k for k in keys])) \
         .drop(*keys, *["o" + k for k in keys])
-    return light.unionByName(heavy).drop("_heavy")
+    return light.unionByName(heavy_rows).drop("_heavy")
 
 
 def running_sum_plain(df: DataFrame, partition_by: list[str], order_by: list[Column | str],

@@ -126,7 +126,10 @@ def running_standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
         "round_points", "total_points",
         block_by=[F.col("stage"), F.col("date"), F.call_function("div", F.col("id"), F.lit(BLOCK_IDS))])
-    ranked = rank_desc(totals, ["league_id", "season", "stage"], "total_points", "position")
+    # Rows per (league, season, round) are the same before and after the
+    # running sum, so the heavy-group check scans the cheaper long table.
+    ranked = rank_desc(totals, ["league_id", "season", "stage"], "total_points", "position",
+                       sizes_from=long)
     t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
     out = (ranked.join(lg, F.col("league_id") == F.col("_l_id"))
            .join(t, F.col("team_api_id") == F.col("_t_id")))
