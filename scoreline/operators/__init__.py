@@ -6,8 +6,8 @@ from scoreline.operators.matchups import head_to_head, head_to_head_summary
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import rank_desc, running_sum
 from scoreline.operators.scoring import (biggest_margins, group_overview, high_scoring,
-                                         home_advantage, scoring_profile, scoring_profile_both,
-                                         top_winners)
+                                         home_advantage, margin_tallies, scoring_profile,
+                                         scoring_profile_both, top_winners)
 from scoreline.operators.snapshots import compare_latest, latest_per_period, yearly_evolution
 from scoreline.operators.standings import gap_to_leader, running_standings, season_table, standings
 from scoreline.operators.streaks import longest_run_per_team, runs, streaks
@@ -15,7 +15,7 @@ from scoreline.operators.streaks import longest_run_per_team, runs, streaks
 __all__ = [
     "to_participants", "running_sum", "rank_desc",
     "group_overview", "top_winners", "home_advantage", "biggest_margins", "scoring_profile",
-    "scoring_profile_both", "high_scoring",
+    "scoring_profile_both", "high_scoring", "margin_tallies",
     "season_table", "standings", "gap_to_leader", "running_standings",
     "runs", "streaks", "longest_run_per_team",
     "head_to_head", "head_to_head_summary",

@@ -206,3 +206,20 @@ def high_scoring(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         .orderBy(F.col("goals_per_match").desc_nulls_first(), "team", "league")
         .limit(k)
     )
+
+
+def margin_tallies(matches: DataFrame, teams: DataFrame, min_margin: int = 5) -> DataFrame:
+    """How often each team won and lost by at least ``min_margin`` goals.
+
+    One aggregation over the long form of the wide-margin matches only (the
+    margin filter is pushed into the scan); teams with neither are absent.
+    """
+    big = matches.filter(F.abs(F.col("home_team_goal") - F.col("away_team_goal")) >= min_margin)
+    long = to_participants(big, keep=())
+    t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
+    return (long.groupBy("team_api_id")
+            .agg(F.count_if(F.col("gf") > F.col("ga")).alias("big_wins"),
+                 F.count_if(F.col("gf") < F.col("ga")).alias("big_losses"))
+            .join(t, F.col("team_api_id") == F.col("_t_id"))
+            .select("team", "big_wins", "big_losses")
+            .orderBy(F.col("big_wins").desc(), F.col("big_losses").desc(), "team"))

@@ -83,13 +83,16 @@ def compare_latest(entities: DataFrame, snapshots: DataFrame, *, key: str, name:
 def yearly_evolution(entities: DataFrame, snapshots: DataFrame, *, key: str, name: str,
                      ts: str, order_id: str, metrics: Sequence[str],
                      passthrough: Sequence[str] = (), only: Iterable[str] | None = None,
-                     name_as: str = "name", digits: int = 1) -> DataFrame:
+                     name_as: str = "name", digits: int = 1,
+                     abrupt: dict[str, int] | None = None) -> DataFrame:
     """Per entity and year: each metric, its previous available value, the change,
     and the entity's mean over all its years (rounded half up); plus pass-through columns.
 
     "Previous" is the previous *available* year of that entity, not the
     calendar year before. ``only`` restricts to entities with those names
     (applied before the windows: it is a filter on the window's partition key).
+    ``abrupt`` = {metric: n} keeps only years where some listed metric moved
+    by at least n (absolute change), applied after the windows.
     """
     chosen = entities.select(key, F.col(name).alias(name_as))
     if only is not None:
@@ -107,4 +110,7 @@ def yearly_evolution(entities: DataFrame, snapshots: DataFrame, *, key: str, nam
                   .withColumn(f"mean_{m}", half_up(F.sum(m).over(whole), F.count(m).over(whole), digits)))
         cols += [m, f"prev_{m}", f"delta_{m}", f"mean_{m}"]
     cols += list(passthrough)
+    if abrupt:
+        yearly = yearly.filter(reduce(lambda a, b: a | b,
+                                      [F.abs(F.col(f"delta_{m}")) >= n for m, n in abrupt.items()]))
     return yearly.join(chosen, on=key).select(*cols).orderBy(name_as, "year")

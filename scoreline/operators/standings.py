@@ -70,12 +70,12 @@ def standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame, top: int
 
 def gap_to_leader(matches: DataFrame, teams: DataFrame, leagues: DataFrame, position: int = 2,
                   exclude_seasons: Iterable[str] = (), exclude_leagues: Iterable[str] = (),
-                  k: int = 15) -> DataFrame:
+                  k: int = 15, widest: bool = False) -> DataFrame:
     """Teams finishing at ``position`` (rank on points only) and their gap to the leader.
 
     When two teams share first place there is no rank 2, and that
     league-season has no row. Exclusions apply after ranking. Top k by the
-    smallest gap.
+    smallest gap (the closest seasons), or by the largest with ``widest=True``.
     """
     table = season_table(matches).select("team_api_id", "league_id", "season", "points")
     w = Window.partitionBy("league_id", "season").orderBy(F.col("points").desc_nulls_first())
@@ -96,7 +96,8 @@ def gap_to_leader(matches: DataFrame, teams: DataFrame, leagues: DataFrame, posi
         out = out.filter(~F.col("league").isin(names))
     return (out.select("league", "season", "runner_up", F.col("points").alias("runner_up_points"),
                        "leader_points", (F.col("leader_points") - F.col("points")).alias("gap"))
-            .orderBy(F.col("gap").asc_nulls_last(), "league", "season", "runner_up")
+            .orderBy(F.col("gap").desc_nulls_last() if widest else F.col("gap").asc_nulls_last(),
+                     "league", "season", "runner_up")
             .limit(k))
 
 

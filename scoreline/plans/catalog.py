@@ -29,6 +29,7 @@ RIVALS = ("Supplier#000000014", "Supplier#000000099")
 RIVAL_VENUES = ("Ground 14", "Ground 99")
 EVENT_SELECT = ["%CLICK%", "%Purchase%"]
 EVENT_COLUMNS = [("click", "%click%"), ("purchase", "%purchase%")]
+ABRUPT_PRIORITY_CHANGE = 3  # priorities run 1..5
 
 
 def _good_teams_refs(spark, sf_dir):
@@ -71,6 +72,11 @@ def high_scoring(spark, sf_dir):
     return op.high_scoring(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10)
 
 
+def margin_tallies(spark, sf_dir):
+    mt = match_tables(spark, sf_dir)
+    return op.margin_tallies(mt.matches, mt.teams, MIN_MARGIN)
+
+
 def season_standings(spark, sf_dir):
     mt = match_tables(spark, sf_dir)
     return op.standings(mt.matches, mt.teams, mt.leagues, top=3)
@@ -82,6 +88,12 @@ def gap_to_leader(spark, sf_dir):
                             EXCLUDED_LEAGUES, 15)
 
 
+def widest_gaps(spark, sf_dir):
+    mt = match_tables(spark, sf_dir)
+    return op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2, EXCLUDED_SEASONS,
+                            EXCLUDED_LEAGUES, 15, widest=True)
+
+
 def running_standings(spark, sf_dir):
     mt = match_tables(spark, sf_dir)
     return op.running_standings(mt.matches, mt.teams, mt.leagues)
@@ -126,7 +138,7 @@ def compare_latest(spark, sf_dir):
                              columns=EVENT_COLUMNS, period="day")
 
 
-def yearly_evolution(spark, sf_dir):
+def yearly_evolution(spark, sf_dir, abrupt: dict | None = None):
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
     entities = customer.select(F.col("c_custkey").alias("custkey"), "c_name")
@@ -137,7 +149,11 @@ def yearly_evolution(spark, sf_dir):
     return op.yearly_evolution(entities, snapshots, key="custkey", name="c_name",
                                ts="o_orderdate", order_id="o_orderkey",
                                metrics=["price_cents", "priority"], passthrough=["status"],
-                               name_as="customer")
+                               name_as="customer", abrupt=abrupt)
+
+
+def abrupt_changes(spark, sf_dir):
+    return yearly_evolution(spark, sf_dir, abrupt={"priority": ABRUPT_PRIORITY_CHANGE})
 
 
 def drop_orphans(spark, sf_dir):
@@ -192,8 +208,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scoring_profile": scoring_profile,
     "scoring_profile_both": scoring_profile_both,
     "high_scoring": high_scoring,
+    "margin_tallies": margin_tallies,
     "season_standings": season_standings,
     "gap_to_leader": gap_to_leader,
+    "widest_gaps": widest_gaps,
     "running_standings": running_standings,
     "win_streaks": win_streaks,
     "unbeaten_streaks": unbeaten_streaks,
@@ -202,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "head_to_head_summary": head_to_head_summary,
     "compare_latest": compare_latest,
     "yearly_evolution": yearly_evolution,
+    "abrupt_changes": abrupt_changes,
     "drop_orphans": drop_orphans,
     "check_unique": check_unique,
     "check_fk": check_fk,
