@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline import operators as op
+from scoreline.session import checkpoint_dir
 from scoreline.sources import match_tables, read_table, teams_in_good_standing
 
 # Report settings for the driver's data (fixed values).
@@ -181,7 +182,11 @@ def check_fk(spark, sf_dir):
 def integrity_report(spark, sf_dir):
     mt = match_tables(spark, sf_dir)
     good, refs = _good_teams_refs(spark, sf_dir)
-    kept = op.drop_orphans(mt.matches, refs)
+    # The cleaned table is committed before the constraints are checked on
+    # it: a reliable checkpoint in the shared folder, so the five checks
+    # that read it neither re-run the clean-up nor depend on its lineage.
+    checkpoint_dir(spark)
+    kept = op.drop_orphans(mt.matches, refs).checkpoint(eager=True)
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
     return op.integrity_report(
