@@ -4,8 +4,9 @@ biggest margins, scoring profile, high-scoring teams.
 All are one (or two, sharing one exchange) hash aggregations with map-side
 partial aggregation, so a team or league holding a third of the matches
 costs one partial row per map task before the shuffle. Dimension names are
-joined after aggregation, on aggregated rows, except where a report groups
-by *names* (two entities with one name then merge, as intended).
+joined onto aggregated rows, never onto every match. Reports that group by
+*names* (two entities with one name merge, as intended) aggregate per id
+first and merge per name after the join — exact, since counts and sums add.
 
 Top-k reports end in ``orderBy(...).limit(k)`` (``TakeOrderedAndProject``:
 a k-row heap per partition). Their sort keys are the report's own keys
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.functions import avg_rounded, pct, result
+from scoreline.functions import avg_rounded, mean, pct, result
 from scoreline.functions.outcomes import LOSS, WIN, DRAW
 from scoreline.functions.rounding import half_up
 from scoreline.operators.reshape import to_participants
@@ -65,21 +66,23 @@ def top_winners(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
                 min_matches: int = 150, k: int = 10) -> DataFrame:
     """W/D/L record per (team name, league name) with at least ``min_matches``; top k by wins.
 
-    A NULL score counts as a draw.
+    A NULL score counts as a draw. Counts are first aggregated per (team id,
+    league id) — the names are joined onto those few rows, not onto every
+    match — and then merged per name, which is exact because counts add up.
     """
-    long = to_participants(matches, keep=("league_id", "season")) \
+    long = to_participants(matches, keep=("league_id",)) \
         .withColumn("result", result("gf", "ga", null_as="draw"))
     r = F.col("result")
-    n = F.count(F.lit(1))
+    per_id = long.groupBy("team_api_id", "league_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(r == WIN).alias("_w"),
+        F.count_if(r == DRAW).alias("_d"), F.count_if(r == LOSS).alias("_l"))
     return (
-        _names(long, teams, leagues)
+        _names(per_id, teams, leagues)
         .groupBy("team", "league")
-        .agg(n.alias("matches"),
-             F.count_if(r == WIN).alias("wins"),
-             F.count_if(r == DRAW).alias("draws"),
-             F.count_if(r == LOSS).alias("losses"),
-             pct(F.count_if(r == WIN), n).alias("pct_wins"))
+        .agg(F.sum("_n").alias("matches"), F.sum("_w").alias("wins"),
+             F.sum("_d").alias("draws"), F.sum("_l").alias("losses"))
         .filter(F.col("matches") >= min_matches)
+        .withColumn("pct_wins", pct("wins", "matches"))
         .orderBy(F.col("wins").desc(), "team", "league")
         .limit(k)
     )
@@ -187,22 +190,27 @@ def high_scoring(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
                  min_matches: int = 150, k: int = 10, over: int = 3) -> DataFrame:
     """Goals per match (both sides), share of matches with >= ``over`` goals and of 0-0s.
 
-    Grouped by (team name, league name); top k by goals per match.
+    Grouped by (team name, league name); top k by goals per match. As in
+    ``top_winners``, sums and counts are aggregated per id before the names
+    are joined, then merged per name.
     """
     long = to_participants(matches, keep=("league_id",)) \
         .withColumn("match_goals", F.col("gf") + F.col("ga"))
     g = F.col("match_goals")
-    n = F.count(F.lit(1))
+    per_id = long.groupBy("team_api_id", "league_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(g).alias("_goals"), F.count(g).alias("_scored"),
+        F.count_if(g >= over).alias("_over"), F.count_if(g == 0).alias("_nil"))
     return (
-        _names(long, teams, leagues)
+        _names(per_id, teams, leagues)
         .groupBy("team", "league")
-        .agg(n.alias("matches"),
-             avg_rounded(g, 2).alias("goals_per_match"),
-             F.count_if(g >= over).alias("over_2_5"),
-             pct(F.count_if(g >= over), n).alias("pct_over_2_5"),
-             F.count_if(g == 0).alias("nil_nil"),
-             pct(F.count_if(g == 0), n).alias("pct_nil_nil"))
+        .agg(F.sum("_n").alias("matches"), F.sum("_goals").alias("_goals"),
+             F.sum("_scored").alias("_scored"), F.sum("_over").alias("over_2_5"),
+             F.sum("_nil").alias("nil_nil"))
         .filter(F.col("matches") >= min_matches)
+        .select("team", "league", "matches",
+                mean("_goals", "_scored", 2).alias("goals_per_match"), "over_2_5",
+                pct("over_2_5", "matches").alias("pct_over_2_5"), "nil_nil",
+                pct("nil_nil", "matches").alias("pct_nil_nil"))
         .orderBy(F.col("goals_per_match").desc_nulls_first(), "team", "league")
         .limit(k)
     )
