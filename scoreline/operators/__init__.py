@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame operators over matches, snapshots and keys."""
 
 from scoreline.operators.integrity import (check_fk, check_fks, check_unique, drop_orphans,
-                                           integrity_report)
+                                           enforce, integrity_report)
 from scoreline.operators.matchups import head_to_head, head_to_head_summary
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import rank_desc, running_sum
@@ -20,5 +20,5 @@ __all__ = [
     "runs", "streaks", "longest_run_per_team",
     "head_to_head", "head_to_head_summary",
     "latest_per_period", "compare_latest", "yearly_evolution",
-    "drop_orphans", "check_unique", "check_fk", "check_fks", "integrity_report",
+    "drop_orphans", "check_unique", "check_fk", "check_fks", "integrity_report", "enforce",
 ]

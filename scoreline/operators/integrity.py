@@ -113,3 +113,17 @@ def integrity_report(clean: Sequence[tuple[str, DataFrame, DataFrame]],
             F.lit(4).alias("step"), F.lit("foreign key").alias("kind"), F.lit(name).alias("constraint_name"),
             F.col("violations").cast("long").alias("violations")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def enforce(report: DataFrame) -> DataFrame:
+    """Fail like ``ADD CONSTRAINT`` would: raise if any key or foreign-key check
+    of an ``integrity_report`` has violations; otherwise return the report.
+
+    The report has one row per constraint, so collecting it is bounded.
+    """
+    bad = [(r.kind, r.constraint_name, r.violations) for r in
+           report.filter((F.col("kind") != "clean") & (F.col("violations") > 0)).collect()]
+    if bad:
+        lines = ", ".join(f"{kind} {name}: {n}" for kind, name, n in bad)
+        raise ValueError(f"constraint violations — {lines}")
+    return report

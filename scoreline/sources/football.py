@@ -59,17 +59,27 @@ class FootballTables:
 
 def read_football(spark: SparkSession, path: str, fmt: str = "parquet",
                   options: dict | None = None) -> FootballTables:
-    """Read the seven tables from ``{path}/{table}`` in ``fmt`` (parquet, csv, json, orc).
+    """Read the seven tables from ``{path}/{table}`` in ``fmt`` (parquet, csv, json, orc),
+    or with ``fmt="jdbc"`` from tables of that name in the database of
+    ``options["url"]`` (``path`` unused; the JDBC driver jar must be on the
+    classpath). JDBC tables are read in parallel only if ``options`` carry
+    ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``.
 
     Column names are matched case-insensitively (Spark's default), so
     exports that lower-case the tactical columns read the same.
     """
     frames = {}
     for name, schema in SCHEMAS.items():
-        reader = spark.read.format(fmt).schema(schema)
+        reader = spark.read.format(fmt)
         for k, v in (options or {}).items():
             reader = reader.option(k, v)
-        frames[name] = reader.load(f"{path.rstrip('/')}/{name}")
+        if fmt == "jdbc":
+            # JDBC takes no user schema: read, then project to the declared types.
+            raw = reader.option("dbtable", name).load()
+            frames[name] = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
+                                        for f in schema.fields])
+        else:
+            frames[name] = reader.schema(schema).load(f"{path.rstrip('/')}/{name}")
     return FootballTables(**frames)
 
 

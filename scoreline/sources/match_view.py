@@ -25,6 +25,7 @@ broadcast hint.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass
 
@@ -38,6 +39,7 @@ from scoreline.sources.tables import read_table
 
 # (application, sf_dir) -> path of the match table written by this application.
 _WRITTEN: dict[tuple[str, str], str] = {}
+_WRITE_LOCK = threading.Lock()
 
 MATCH_SCHEMA = StructType([
     StructField("id", LongType()), StructField("country_id", IntegerType()),
@@ -116,13 +118,14 @@ def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters) and no task ever holds a whole season.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    path = _WRITTEN.get(key)
-    if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
-        (derive_matches(spark, sf_dir)
-         .sortWithinPartitions("season", "league_id", "date", "id")
-         .write.mode("overwrite").partitionBy("season").parquet(path))
-        _WRITTEN[key] = path
+    with _WRITE_LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
+            (derive_matches(spark, sf_dir)
+             .sortWithinPartitions("season", "league_id", "date", "id")
+             .write.mode("overwrite").partitionBy("season").parquet(path))
+            _WRITTEN[key] = path
     # The declared schema keeps the partition column ``season`` a string.
     return spark.read.schema(MATCH_SCHEMA).parquet(path).select(*MATCH_COLUMNS)
 

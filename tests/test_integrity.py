@@ -69,3 +69,16 @@ def test_integrity_report_steps(spark):
     got = {(r.step, r.constraint_name): r.violations for r in rep.collect()}
     assert got == {(1, "child orphans"): 6 - len(_duck_keep([10, 20], True)), (2, "child.id"): 0,
                    (3, "parent.k"): 0, (4, "fk_a"): 0, (4, "fk_b"): 0}
+
+
+def test_enforce_raises_on_violations(spark):
+    child = spark.createDataFrame(CHILD, "id long, a long, b long")
+    par = spark.createDataFrame([(10,), (20,)], "k long")
+    rep = op.integrity_report(clean=[], primary_keys=[("child.id", child, ["id"])], unique_keys=[],
+                              foreign_keys=[("fk_a", child, "a", par, "k")])
+    with pytest.raises(ValueError, match="fk_a: 2"):
+        op.enforce(rep)
+    kept = op.drop_orphans(child, [("a", par, "k")])
+    ok = op.integrity_report(clean=[], primary_keys=[], unique_keys=[],
+                             foreign_keys=[("fk_a", kept, "a", par, "k")])
+    assert op.enforce(ok) is ok

@@ -79,3 +79,12 @@ def test_yearly_evolution_previous_available_year_and_mean(snaps):
              if r.name == "Alice Smith"]
     assert [r.rating for r in alice] == [85, 86, 84]
     assert alice[0].mean_rating == 85.0    # (85 + 86 + 84) / 3
+
+
+def test_tolerant_date_parsing(spark):
+    from scoreline.sources.football import parse_snapshot_dates
+    df = spark.createDataFrame([("2020-01-02 03:04:05",), ("garbage",)], "date string")
+    got = [r.snapshot_ts for r in parse_snapshot_dates(df, strict=False).collect()]
+    assert got == [dt.datetime(2020, 1, 2, 3, 4, 5), None]
+    with pytest.raises(PySparkException):
+        parse_snapshot_dates(df, strict=True).collect()
