@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreline.functions import sql_asc
+
 DRAW_LABEL = "Draw"
 
 
@@ -37,7 +39,7 @@ def head_to_head(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str,
                              F.lit(" "), a).alias("scoreline"),
                     F.when(hg > ag, h).when(hg < ag, a).otherwise(F.lit(DRAW_LABEL)).alias("winner"),
                     (hg + ag).alias("total_goals"))
-            .orderBy("match_date", "round", "scoreline"))
+            .orderBy(*sql_asc("match_date", "round", "scoreline")))
 
 
 def head_to_head_summary(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str) -> DataFrame:

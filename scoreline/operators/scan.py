@@ -100,13 +100,16 @@ def _is_heavy() -> Column:
 
 def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column | str],
                 value: str, out: str, block_by: list[Column],
-                max_group_rows: int = MAX_GROUP_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
+                max_group_rows: int = MAX_GROUP_ROWS, sizes_from: DataFrame | None = None,
+                nulls_last: bool = False) -> DataFrame:
     """Add ``out`` = running total of ``value`` (non-NULL) per partition in order.
 
     ``order_by`` must be a total order within a partition (end it with a
-    unique id), ascending. ``block_by`` are expressions whose tuple order
-    never contradicts ``order_by`` — e.g. ``[date, id div BLOCK_IDS]`` for
-    the order ``(date, id)`` — so each block is a contiguous range of rows.
+    unique id), ascending, with NULLs first — or last with ``nulls_last``
+    (the SQL default for ascending order). ``block_by`` are expressions
+    whose tuple order never contradicts ``order_by`` — e.g.
+    ``[date, id div BLOCK_IDS]`` for the order ``(date, id)`` — so each
+    block is a contiguous range of rows.
 
     A small count job first looks for partitions above ``max_group_rows``
     rows (on ``sizes_from`` when given: any frame with the same rows per
@@ -132,8 +135,10 @@ def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column |
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = t.withColumn("_loc", F.sum(value).over(inside))
 
-    # Blocks of heavy partitions in row order: NULL first (ascending order).
-    block_order = [F.col(k).desc() if k.endswith("n") else F.col(k).asc()
+    # Blocks of heavy partitions in row order; the NULL flag sorts NULL
+    # blocks first (flag descending) or last (flag ascending).
+    flag_order = (lambda c: c.asc()) if nulls_last else (lambda c: c.desc())
+    block_order = [flag_order(F.col(k)) if k.endswith("n") else F.col(k).asc()
                    for pair in zip(b_keys[1::2], b_keys[0::2]) for k in pair]
     earlier = Window.partitionBy(*p_keys).orderBy(*block_order) \
         .rowsBetween(Window.unboundedPreceding, -1)

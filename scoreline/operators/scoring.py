@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.functions import avg_rounded, mean, pct, result
+from scoreline.functions import avg_rounded, mean, pct, result, sql_asc
 from scoreline.functions.outcomes import LOSS, WIN, DRAW
 from scoreline.functions.rounding import half_up
 from scoreline.operators.reshape import to_participants
@@ -58,7 +58,7 @@ def group_overview(matches: DataFrame, leagues: DataFrame, countries: DataFrame)
              pct(F.count_if(h == a), F.count(F.lit(1))).alias("pct_draws"),
              F.min("date").cast("date").alias("first_date"),
              F.max("date").cast("date").alias("last_date"))
-        .orderBy(F.col("goals_per_match").desc_nulls_first(), "country", "league")
+        .orderBy(F.col("goals_per_match").desc_nulls_first(), *sql_asc("country", "league"))
     )
 
 
@@ -83,7 +83,7 @@ def top_winners(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
              F.sum("_d").alias("draws"), F.sum("_l").alias("losses"))
         .filter(F.col("matches") >= min_matches)
         .withColumn("pct_wins", pct("wins", "matches"))
-        .orderBy(F.col("wins").desc(), "team", "league")
+        .orderBy(F.col("wins").desc(), *sql_asc("team", "league"))
         .limit(k)
     )
 
@@ -115,8 +115,8 @@ def home_advantage(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         .select("team", "league", "home_matches", "home_wins",
                 pct(hw, hm).alias("pct_home_wins"), "away_matches", "away_wins",
                 pct(aw, am).alias("pct_away_wins"), gap.alias("home_away_gap"))
-        .orderBy(F.col("home_away_gap").desc_nulls_first(), "team", "league",
-                 "home_matches", "home_wins", "away_matches", "away_wins")
+        .orderBy(F.col("home_away_gap").desc_nulls_first(),
+                 *sql_asc("team", "league", "home_matches", "home_wins", "away_matches", "away_wins"))
         .limit(k)
     )
 
@@ -134,7 +134,7 @@ def biggest_margins(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         .join(home, F.col("home_team_api_id") == F.col("_h_id"))
         .join(away, F.col("away_team_api_id") == F.col("_a_id"))
         .join(lg, F.col("league_id") == F.col("_l_id"))
-        .orderBy(F.abs(h - a).desc(), (h + a).desc(), "id")
+        .orderBy(F.abs(h - a).desc(), (h + a).desc(), *sql_asc("id"))
         .limit(k)
         .select(F.col("date").cast("date").alias("match_date"), "league", "season", "stage",
                 F.concat(F.col("_home"), F.lit(" "), h.cast("string"), F.lit("-"),
@@ -171,7 +171,7 @@ def scoring_profile(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         raise ValueError(f"by must be 'attack' or 'defence', not {by!r}")
     return (
         _names(_profile(matches, min_matches), teams, leagues)
-        .orderBy(first, "team", "league", "team_api_id", "league_id")
+        .orderBy(first, *sql_asc("team", "league", "team_api_id", "league_id"))
         .limit(k)
         .select(F.lit(category).alias("category"), "team", "league", "matches",
                 "goals_for_pg", "goals_against_pg", "goal_diff_pg")
@@ -211,7 +211,7 @@ def high_scoring(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
                 mean("_goals", "_scored", 2).alias("goals_per_match"), "over_2_5",
                 pct("over_2_5", "matches").alias("pct_over_2_5"), "nil_nil",
                 pct("nil_nil", "matches").alias("pct_nil_nil"))
-        .orderBy(F.col("goals_per_match").desc_nulls_first(), "team", "league")
+        .orderBy(F.col("goals_per_match").desc_nulls_first(), *sql_asc("team", "league"))
         .limit(k)
     )
 
@@ -230,4 +230,4 @@ def margin_tallies(matches: DataFrame, teams: DataFrame, min_margin: int = 5) ->
                  F.count_if(F.col("gf") < F.col("ga")).alias("big_losses"))
             .join(t, F.col("team_api_id") == F.col("_t_id"))
             .select("team", "big_wins", "big_losses")
-            .orderBy(F.col("big_wins").desc(), F.col("big_losses").desc(), "team"))
+            .orderBy(F.col("big_wins").desc(), F.col("big_losses").desc(), *sql_asc("team")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from scoreline.functions import sql_asc
 from scoreline.functions.rounding import half_up
 
 
@@ -77,7 +78,7 @@ def compare_latest(entities: DataFrame, snapshots: DataFrame, *, key: str, name:
     out = named.groupBy("period").agg(*pivots)
     if len(columns) >= 2:
         out = out.withColumn("difference", F.col(columns[0][0]) - F.col(columns[1][0]))
-    return out.orderBy("period")
+    return out.orderBy(*sql_asc("period"))
 
 
 def yearly_evolution(entities: DataFrame, snapshots: DataFrame, *, key: str, name: str,
@@ -113,4 +114,4 @@ def yearly_evolution(entities: DataFrame, snapshots: DataFrame, *, key: str, nam
     if abrupt:
         yearly = yearly.filter(reduce(lambda a, b: a | b,
                                       [F.abs(F.col(f"delta_{m}")) >= n for m, n in abrupt.items()]))
-    return yearly.join(chosen, on=key).select(*cols).orderBy(name_as, "year")
+    return yearly.join(chosen, on=key).select(*cols).orderBy(*sql_asc(name_as, "year"))

@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.functions import drawn, lost, points, won
+from scoreline.functions import drawn, lost, points, sql_asc, won
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import BLOCK_IDS, rank_desc, running_sum
 
@@ -65,7 +65,7 @@ def standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame, top: int
             .join(lg, F.col("league_id") == F.col("_l_id"))
             .select("league", "season", "position", "team", "points", "won", "drawn", "lost",
                     "goals_for", "goals_against", "goal_diff")
-            .orderBy("league", "season", "position", "team"))
+            .orderBy(*sql_asc("league", "season", "position", "team")))
 
 
 def gap_to_leader(matches: DataFrame, teams: DataFrame, leagues: DataFrame, position: int = 2,
@@ -97,7 +97,7 @@ def gap_to_leader(matches: DataFrame, teams: DataFrame, leagues: DataFrame, posi
     return (out.select("league", "season", "runner_up", F.col("points").alias("runner_up_points"),
                        "leader_points", (F.col("leader_points") - F.col("points")).alias("gap"))
             .orderBy(F.col("gap").desc_nulls_last() if widest else F.col("gap").asc_nulls_last(),
-                     "league", "season", "runner_up")
+                     *sql_asc("league", "season", "runner_up"))
             .limit(k))
 
 
@@ -123,10 +123,13 @@ def running_standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         m = m.join(lg.select("_l_id"), F.col("league_id") == F.col("_l_id"), "left_semi")
     long = to_participants(m, keep=("id", "league_id", "season", "stage", "date")) \
         .withColumn("round_points", points("gf", "ga"))
+    # SQL order: ascending, NULLs last.
     totals = running_sum(
-        long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
+        long, ["league_id", "season", "team_api_id"],
+        [F.col(c).asc_nulls_last() for c in ("stage", "date", "id")],
         "round_points", "total_points",
-        block_by=[F.col("stage"), F.col("date"), F.call_function("div", F.col("id"), F.lit(BLOCK_IDS))])
+        block_by=[F.col("stage"), F.col("date"), F.call_function("div", F.col("id"), F.lit(BLOCK_IDS))],
+        nulls_last=True)
     # Rows per (league, season, round) are the same before and after the
     # running sum, so the heavy-group check scans the cheaper long table.
     ranked = rank_desc(totals, ["league_id", "season", "stage"], "total_points", "position",
@@ -139,4 +142,4 @@ def running_standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     return (out.select("league", "season", F.col("stage").alias("round"),
                        F.col("date").cast("date").alias("match_date"), "team", "round_points",
                        "total_points", "position")
-            .orderBy("league", "season", "round", "position", "team", "match_date"))
+            .orderBy(*sql_asc("league", "season", "round", "position", "team", "match_date")))

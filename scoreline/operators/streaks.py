@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.functions import in_run
+from scoreline.functions import in_run, sql_asc
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import BLOCK_IDS, running_sum
 
@@ -34,9 +34,12 @@ def runs(matches: DataFrame, kind: str = "win") -> DataFrame:
     long = (to_participants(matches, keep=("id", "league_id", "date"))
             .withColumn("_in", in_run("gf", "ga", kind))
             .withColumn("_break", F.when(F.col("_in"), F.lit(0)).otherwise(F.lit(1))))
+    # SQL order: ascending, NULL dates last.
     numbered = running_sum(
-        long, ["team_api_id"], ["date", "id"], "_break", "island",
-        block_by=[F.col("date"), F.call_function("div", F.col("id"), F.lit(BLOCK_IDS))])
+        long, ["team_api_id"], [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()],
+        "_break", "island",
+        block_by=[F.col("date"), F.call_function("div", F.col("id"), F.lit(BLOCK_IDS))],
+        nulls_last=True)
     return (numbered.filter(F.col("_in"))
             .groupBy("team_api_id", "league_id", "island")
             .agg(F.count(F.lit(1)).alias("length"),
@@ -61,8 +64,8 @@ def streaks(matches: DataFrame, teams: DataFrame, leagues: DataFrame, kind: str
     names = list(exclude_leagues)
     if names:
         out = out.filter(~F.col("league").isin(names))
-    return (out.orderBy(F.col("length").desc(), F.col("start_date").asc_nulls_last(),
-                        "team", "league", F.col("end_date").asc_nulls_last())
+    return (out.orderBy(F.col("length").desc(),
+                        *sql_asc("start_date", "team", "league", "end_date"))
             .limit(k)
             .select("team", "league", F.col("length").alias(length_col), "start_date",
                     "end_date", F.col("days").alias("streak_days")))
@@ -87,8 +90,9 @@ def runs_single_window(matches: DataFrame, kind: str = "win") -> DataFrame:
     """The same runs from the classic two-row-number form (test oracle)."""
     long = to_participants(matches, keep=("id", "league_id", "date")) \
         .withColumn("_in", in_run("gf", "ga", kind))
-    all_rows = Window.partitionBy("team_api_id").orderBy("date", "id")
-    by_class = Window.partitionBy("team_api_id", "_in").orderBy("date", "id")
+    order = [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    all_rows = Window.partitionBy("team_api_id").orderBy(*order)
+    by_class = Window.partitionBy("team_api_id", "_in").orderBy(*order)
     return (long.withColumn("island", F.row_number().over(all_rows) - F.row_number().over(by_class))
             .filter(F.col("_in"))
             .groupBy("team_api_id", "league_id", "island")

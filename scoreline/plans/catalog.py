@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scoreline import operators as op
 from scoreline.session import checkpoint_dir
-from scoreline.sources import match_tables, read_table, teams_in_good_standing
+from scoreline.sources import MatchTables, match_tables, read_table, teams_in_good_standing
 
 # Report settings for the driver's data (fixed values).
 MIN_MATCHES = 12            # top_winners, scoring_profile, high_scoring
@@ -33,96 +33,58 @@ EVENT_COLUMNS = [("click", "%click%"), ("purchase", "%purchase%")]
 ABRUPT_PRIORITY_CHANGE = 3  # priorities run 1..5
 
 
-def _good_teams_refs(spark, sf_dir):
-    good = teams_in_good_standing(spark, sf_dir)
-    return good, [("home_team_api_id", good, "team_api_id"), ("away_team_api_id", good, "team_api_id")]
-
-
-def group_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mt = match_tables(spark, sf_dir)
-    return op.group_overview(mt.matches, mt.leagues, mt.countries)
-
-
-def top_winners(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.top_winners(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10)
-
-
-def home_advantage(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.home_advantage(mt.matches, mt.teams, mt.leagues, MIN_HOME_MATCHES, 15)
-
-
-def biggest_margins(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.biggest_margins(mt.matches, mt.teams, mt.leagues, MIN_MARGIN, 15)
-
-
-def scoring_profile(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.scoring_profile(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10)
-
-
-def scoring_profile_both(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.scoring_profile_both(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10)
-
-
-def high_scoring(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.high_scoring(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10)
-
-
-def margin_tallies(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.margin_tallies(mt.matches, mt.teams, MIN_MARGIN)
-
-
-def season_standings(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.standings(mt.matches, mt.teams, mt.leagues, top=3)
-
-
-def gap_to_leader(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2, EXCLUDED_SEASONS,
-                            EXCLUDED_LEAGUES, 15)
-
-
-def widest_gaps(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2, EXCLUDED_SEASONS,
-                            EXCLUDED_LEAGUES, 15, widest=True)
-
-
-def running_standings(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.running_standings(mt.matches, mt.teams, mt.leagues)
-
-
-def win_streaks(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.streaks(mt.matches, mt.teams, mt.leagues, "win", 10, EXCLUDED_LEAGUES)
-
-
-def unbeaten_streaks(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.streaks(mt.matches, mt.teams, mt.leagues, "unbeaten", 10, EXCLUDED_LEAGUES)
-
-
-def longest_win_per_team(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.longest_run_per_team(mt.matches, mt.teams, "win")
+def _refs(good: DataFrame):
+    return [("home_team_api_id", good, "team_api_id"), ("away_team_api_id", good, "team_api_id")]
+
+
+# Reports over any match tables: (MatchTables, parent team table) -> DataFrame.
+MATCH_REPORTS: dict[str, Callable[[MatchTables, DataFrame], DataFrame]] = {
+    "group_overview": lambda mt, good: op.group_overview(mt.matches, mt.leagues, mt.countries),
+    "top_winners": lambda mt, good: op.top_winners(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10),
+    "home_advantage": lambda mt, good: op.home_advantage(mt.matches, mt.teams, mt.leagues,
+                                                         MIN_HOME_MATCHES, 15),
+    "biggest_margins": lambda mt, good: op.biggest_margins(mt.matches, mt.teams, mt.leagues,
+                                                           MIN_MARGIN, 15),
+    "scoring_profile": lambda mt, good: op.scoring_profile(mt.matches, mt.teams, mt.leagues,
+                                                           MIN_MATCHES, 10),
+    "scoring_profile_both": lambda mt, good: op.scoring_profile_both(mt.matches, mt.teams, mt.leagues,
+                                                                     MIN_MATCHES, 10),
+    "high_scoring": lambda mt, good: op.high_scoring(mt.matches, mt.teams, mt.leagues, MIN_MATCHES, 10),
+    "margin_tallies": lambda mt, good: op.margin_tallies(mt.matches, mt.teams, MIN_MARGIN),
+    "season_standings": lambda mt, good: op.standings(mt.matches, mt.teams, mt.leagues, top=3),
+    "gap_to_leader": lambda mt, good: op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2,
+                                                       EXCLUDED_SEASONS, EXCLUDED_LEAGUES, 15),
+    "widest_gaps": lambda mt, good: op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2,
+                                                     EXCLUDED_SEASONS, EXCLUDED_LEAGUES, 15,
+                                                     widest=True),
+    "running_standings": lambda mt, good: op.running_standings(mt.matches, mt.teams, mt.leagues),
+    "win_streaks": lambda mt, good: op.streaks(mt.matches, mt.teams, mt.leagues, "win", 10,
+                                               EXCLUDED_LEAGUES),
+    "unbeaten_streaks": lambda mt, good: op.streaks(mt.matches, mt.teams, mt.leagues, "unbeaten", 10,
+                                                    EXCLUDED_LEAGUES),
+    "longest_win_per_team": lambda mt, good: op.longest_run_per_team(mt.matches, mt.teams, "win"),
+    "head_to_head": lambda mt, good: op.head_to_head(mt.matches, mt.teams, RIVALS[0], RIVALS[1],
+                                                     RIVAL_VENUES),
+    "head_to_head_summary": lambda mt, good: op.head_to_head_summary(mt.matches, mt.teams,
+                                                                     RIVALS[0], RIVALS[1]),
+    "drop_orphans": lambda mt, good: op.drop_orphans(mt.matches, _refs(good)),
+    "check_fk": lambda mt, good: op.check_fks([
+        ("fk_match_home_team", mt.matches, "home_team_api_id", good, "team_api_id"),
+        ("fk_match_away_team", mt.matches, "away_team_api_id", good, "team_api_id"),
+        ("fk_match_league", mt.matches, "league_id", mt.leagues, "id"),
+        ("fk_match_country", mt.matches, "country_id", mt.countries, "id"),
+    ]),
+}
 
 
-def head_to_head(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.head_to_head(mt.matches, mt.teams, RIVALS[0], RIVALS[1], RIVAL_VENUES)
+def _on_driver_tables(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    report = MATCH_REPORTS[key]
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(match_tables(spark, sf_dir), teams_in_good_standing(spark, sf_dir))
 
-def head_to_head_summary(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    return op.head_to_head_summary(mt.matches, mt.teams, RIVALS[0], RIVALS[1])
+    run.__name__ = key
+    return run
 
 
 def compare_latest(spark, sf_dir):
@@ -157,31 +119,15 @@ def abrupt_changes(spark, sf_dir):
     return yearly_evolution(spark, sf_dir, abrupt={"priority": ABRUPT_PRIORITY_CHANGE})
 
 
-def drop_orphans(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    _, refs = _good_teams_refs(spark, sf_dir)
-    return op.drop_orphans(mt.matches, refs)
-
-
 def check_unique(spark, sf_dir):
     lineitem = read_table(spark, sf_dir, "lineitem")
     return op.check_unique(lineitem, ["l_orderkey", "l_linenumber"], primary=True)
 
 
-def check_fk(spark, sf_dir):
-    mt = match_tables(spark, sf_dir)
-    good, _ = _good_teams_refs(spark, sf_dir)
-    return op.check_fks([
-        ("fk_match_home_team", mt.matches, "home_team_api_id", good, "team_api_id"),
-        ("fk_match_away_team", mt.matches, "away_team_api_id", good, "team_api_id"),
-        ("fk_match_league", mt.matches, "league_id", mt.leagues, "id"),
-        ("fk_match_country", mt.matches, "country_id", mt.countries, "id"),
-    ])
-
-
 def integrity_report(spark, sf_dir):
     mt = match_tables(spark, sf_dir)
-    good, refs = _good_teams_refs(spark, sf_dir)
+    good = teams_in_good_standing(spark, sf_dir)
+    refs = _refs(good)
     # The cleaned table is committed before the constraints are checked on
     # it: a reliable checkpoint in the shared folder, so the five checks
     # that read it neither re-run the clean-up nor depend on its lineage.
@@ -206,28 +152,12 @@ def integrity_report(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "group_overview": group_overview,
-    "top_winners": top_winners,
-    "home_advantage": home_advantage,
-    "biggest_margins": biggest_margins,
-    "scoring_profile": scoring_profile,
-    "scoring_profile_both": scoring_profile_both,
-    "high_scoring": high_scoring,
-    "margin_tallies": margin_tallies,
-    "season_standings": season_standings,
-    "gap_to_leader": gap_to_leader,
-    "widest_gaps": widest_gaps,
-    "running_standings": running_standings,
-    "win_streaks": win_streaks,
-    "unbeaten_streaks": unbeaten_streaks,
-    "longest_win_per_team": longest_win_per_team,
-    "head_to_head": head_to_head,
-    "head_to_head_summary": head_to_head_summary,
+    **{key: _on_driver_tables(key) for key in MATCH_REPORTS if key not in ("drop_orphans", "check_fk")},
     "compare_latest": compare_latest,
     "yearly_evolution": yearly_evolution,
     "abrupt_changes": abrupt_changes,
-    "drop_orphans": drop_orphans,
+    "drop_orphans": _on_driver_tables("drop_orphans"),
     "check_unique": check_unique,
-    "check_fk": check_fk,
+    "check_fk": _on_driver_tables("check_fk"),
     "integrity_report": integrity_report,
 }
