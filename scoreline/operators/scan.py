@@ -100,7 +100,7 @@ def _is_heavy() -> Column:
 
 def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column | str],
                 value: str, out: str, block_by: list[Column],
-                max_group_rows: int = MAX_GROUP_ROWS, sizes_from: DataFrame | None = None,
+                max_group_rows: int | None = None, sizes_from: DataFrame | None = None,
                 nulls_last: bool = False) -> DataFrame:
     """Add ``out`` = running total of ``value`` (non-NULL) per partition in order.
 
@@ -118,7 +118,8 @@ def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column |
     plus the total of all earlier blocks of the partition; the others still
     take the single window.
     """
-    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, max_group_rows)
+    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, limit)
     if heavy.isEmpty():
         return running_sum_plain(df, partition_by, order_by, value, out)
 
@@ -151,7 +152,7 @@ def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column |
 
 
 def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
-              max_group_rows: int = MAX_GROUP_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
+              max_group_rows: int | None = None, sizes_from: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST).
 
     As in ``running_sum``, a count job first looks for groups above
@@ -159,7 +160,8 @@ def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
     it are ranked by counting: rank = 1 + rows of the group with a greater
     value (NULL counts as greatest), from a histogram of (group, value).
     """
-    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, max_group_rows)
+    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, limit)
     if heavy.isEmpty():
         return rank_desc_plain(df, partition_by, value, out)
 

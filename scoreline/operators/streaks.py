@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import in_run, sql_asc
 from scoreline.operators.reshape import to_participants
-from scoreline.operators.scan import BLOCK_IDS, running_sum
+from scoreline.operators.scan import running_sum
+from scoreline.operators import scan
 
 
 def runs(matches: DataFrame, kind: str = "win") -> DataFrame:
@@ -38,7 +39,7 @@ def runs(matches: DataFrame, kind: str = "win") -> DataFrame:
     numbered = running_sum(
         long, ["team_api_id"], [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()],
         "_break", "island",
-        block_by=[F.col("date"), F.call_function("div", F.col("id"), F.lit(BLOCK_IDS))],
+        block_by=[F.col("date"), F.call_function("div", F.col("id"), F.lit(scan.BLOCK_IDS))],
         nulls_last=True)
     return (numbered.filter(F.col("_in"))
             .groupBy("team_api_id", "league_id", "island")
