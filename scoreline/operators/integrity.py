@@ -97,10 +97,10 @@ def integrity_report(clean: Sequence[tuple[str, DataFrame, DataFrame]],
     """
     parts = []
     for name, before, after in clean:
-        removed = before.select(F.count(F.lit(1))).scalar() - after.select(F.count(F.lit(1))).scalar()
-        parts.append(before.sparkSession.range(1).select(
+        kept = after.select(F.count(F.lit(1))).scalar()
+        parts.append(before.agg(F.count(F.lit(1)).alias("_before")).select(
             F.lit(1).alias("step"), F.lit("clean").alias("kind"), F.lit(name).alias("constraint_name"),
-            removed.cast("long").alias("violations")))
+            (F.col("_before") - kept).cast("long").alias("violations")))
     for step, kind, specs in ((2, "primary key", primary_keys), (3, "unique", unique_keys)):
         for name, df, cols in specs:
             bad = check_unique(df, cols, primary=(kind == "primary key"))

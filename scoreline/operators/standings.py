@@ -48,17 +48,25 @@ def season_table(matches: DataFrame, win: int = 3, draw: int = 1, loss: int = 0)
                  F.sum(gf - ga).alias("goal_diff")))
 
 
-def standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame, top: int = 3,
-              tie_breaks: Iterable[str] = TIE_BREAKS) -> DataFrame:
-    """The first ``top`` positions of every league-season (ties share a position).
+RANKINGS = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
+
 
-    Positions are RANK over the tie-break columns, all descending (NULL
-    first), so more than ``top`` rows can come back when teams tie.
+def standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame, top: int = 3,
+              tie_breaks: Iterable[str] = TIE_BREAKS, method: str = "rank") -> DataFrame:
+    """The first ``top`` positions of every league-season.
+
+    Positions follow the tie-break columns, all descending (NULL first).
+    With ``method="rank"`` ties share a position and the next is skipped
+    (1, 2, 2, 4), so more than ``top`` rows can come back; ``"dense_rank"``
+    does not skip (1, 2, 2, 3); ``"row_number"`` numbers every team
+    (ties then fall in team-id order).
     """
     table = season_table(matches)
-    w = Window.partitionBy("league_id", "season") \
-        .orderBy(*[F.col(c).desc_nulls_first() for c in tie_breaks])
-    ranked = table.withColumn("position", F.rank().over(w).cast("long")) \
+    order = [F.col(c).desc_nulls_first() for c in tie_breaks]
+    if method == "row_number":
+        order.append(F.col("team_api_id").asc_nulls_last())
+    w = Window.partitionBy("league_id", "season").orderBy(*order)
+    ranked = table.withColumn("position", RANKINGS[method]().over(w).cast("long")) \
         .filter(F.col("position") <= top)
     t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
     lg = leagues.select(F.col("id").alias("_l_id"), F.col("name").alias("league"))

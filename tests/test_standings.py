@@ -96,3 +96,13 @@ def test_last_running_total_is_season_total(driver):
     diff = last.join(table, ["league", "season", "team"]).filter(F.col("pts") != F.col("points"))
     assert diff.count() == 0
     assert last.count() == table.count()
+
+
+def test_standings_ranking_methods(t):
+    m, tm, lg = t
+    for method, expected in (("rank", [1, 1, 1, 1]), ("dense_rank", [1, 1, 1, 1]),
+                             ("row_number", [1, 2, 3])):
+        south = op.standings(m, tm, lg, top=3, method=method).filter("league = 'South'").collect()
+        assert sorted(r.position for r in south) == expected, method
+    north = op.standings(m, tm, lg, top=4, method="dense_rank").filter("league = 'North'").collect()
+    assert [r.position for r in north] == [1, 2, 3, 4]
