@@ -37,3 +37,12 @@ def test_scans_are_pruned_and_filtered(spark):
 def test_fixed_size_dimensions_are_broadcast(spark):
     plan = plan_text(entry_mod.queries()["group_overview"](spark, SF001))
     assert plan.count("BroadcastExchange") >= 2 and "SortMergeJoin" not in plan
+
+
+def test_exclusions_prune_before_the_window(spark):
+    # The excluded season is a partition key of the rank window, so the filter
+    # legally moves below it, down to the stored table's season partitions.
+    plan = plan_text(entry_mod.queries()["gap_to_leader"](spark, SF001))
+    assert "PartitionFilters: [isnotnull(season" in plan or "NOT (season" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*NOT \(season#\d+ = 2001\)", plan)
+    assert "Not(EqualTo(n_name,NATION_24))" in plan
