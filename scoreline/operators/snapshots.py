@@ -103,12 +103,17 @@ def yearly_evolution(entities: DataFrame, snapshots: DataFrame, *, key: str, nam
         .withColumnRenamed("period", "year")
     by_year = Window.partitionBy(key).orderBy("year")
     whole = Window.partitionBy(key)
+    # All window calls in one projection: one Window node per distinct spec
+    # (previous year; whole history), both on the same partitioning.
+    yearly = yearly.select(
+        "*",
+        *[F.lag(m).over(by_year).alias(f"prev_{m}") for m in metrics],
+        *[F.sum(m).over(whole).alias(f"_sum_{m}") for m in metrics],
+        *[F.count(m).over(whole).alias(f"_cnt_{m}") for m in metrics])
     cols = [name_as, "year"]
     for m in metrics:
-        prev = F.lag(m).over(by_year)
-        yearly = (yearly.withColumn(f"prev_{m}", prev)
-                  .withColumn(f"delta_{m}", F.col(m) - F.col(f"prev_{m}"))
-                  .withColumn(f"mean_{m}", half_up(F.sum(m).over(whole), F.count(m).over(whole), digits)))
+        yearly = (yearly.withColumn(f"delta_{m}", F.col(m) - F.col(f"prev_{m}"))
+                  .withColumn(f"mean_{m}", half_up(f"_sum_{m}", f"_cnt_{m}", digits)))
         cols += [m, f"prev_{m}", f"delta_{m}", f"mean_{m}"]
     cols += list(passthrough)
     if abrupt:
