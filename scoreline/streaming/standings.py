@@ -26,14 +26,31 @@ def live_season_table(matches: DataFrame) -> DataFrame:
 
 
 def start_live_table(matches: DataFrame, name: str, sink: str = "memory",
-                     output_mode: str = "complete", path: str | None = None) -> StreamingQuery:
-    """Start maintaining the season table; state and progress are checkpointed
-    under the session's shared checkpoint folder, so a restarted driver or a
-    lost executor resumes from the last committed batch."""
+                     output_mode: str = "complete", path: str | None = None,
+                     checkpoint: str | None = None) -> StreamingQuery:
+    """Start maintaining the season table.
+
+    Aggregation state and progress are checkpointed (default: under the
+    session's shared checkpoint folder), so a restarted query — after a lost
+    executor or driver — resumes from the last committed batch.
+
+    ``sink="memory"`` keeps the table in memory as ``name`` (tests, notebooks);
+    ``sink="table"`` rewrites the whole current table to ``path`` as Parquet
+    after every batch (complete output, overwrite: replaying a batch gives the
+    same files); any other value is a Structured Streaming format.
+    """
     spark = matches.sparkSession
-    location = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     writer = (live_season_table(matches).writeStream.outputMode(output_mode)
               .option("checkpointLocation", location))
     if sink == "memory":
         return writer.format("memory").queryName(name).start()
+    if sink == "table":
+        if not path:
+            raise ValueError("sink='table' needs a path")
+
+        def overwrite(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+
+        return writer.foreachBatch(overwrite).queryName(name).start()
     return writer.format(sink).start(path)

@@ -30,3 +30,24 @@ def test_stream_keeps_the_season_table(spark):
         assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
     finally:
         q.stop()
+
+
+def test_stream_resumes_from_its_checkpoint(spark):
+    source = tempfile.mkdtemp(prefix="scoreline-stream-src-")
+    table = tempfile.mkdtemp(prefix="scoreline-stream-out-")
+    ckpt = tempfile.mkdtemp(prefix="scoreline-stream-ckpt-")
+    matches = derive_matches(spark, SF001)
+    first, second = matches.filter("season < '1998'"), matches.filter("season >= '1998'")
+    first.write.mode("append").parquet(source)
+    q = start_live_table(match_stream(spark, source), "resume_test", sink="table",
+                         path=f"{table}/t", checkpoint=ckpt)
+    q.processAllAvailable()
+    q.stop()
+    second.write.mode("append").parquet(source)          # more matches arrive while stopped
+    q = start_live_table(match_stream(spark, source), "resume_test", sink="table",
+                         path=f"{table}/t", checkpoint=ckpt)
+    q.processAllAvailable()
+    q.stop()
+    live = spark.read.parquet(f"{table}/t")
+    batch = op.season_table(spark.read.parquet(source))
+    assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
