@@ -21,12 +21,32 @@ BASE_CONF = {
 }
 
 
+def sized_conf(input_bytes: float, partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for an input of ``input_bytes``.
+
+    Aims at ~``partition_bytes`` per scan split and per shuffle partition, so
+    a partition fits comfortably in an executor core's memory share: e.g.
+    100 TB -> ~400k initial shuffle partitions, which AQE then coalesces
+    towards the advisory size where stages shrink (aggregations, filters).
+    """
+    partitions = max(200, int(input_bytes // partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "scoreline", extra: dict | None = None) -> SparkSession:
+                app: str = "scoreline", extra: dict | None = None,
+                input_bytes: float | None = None) -> SparkSession:
     """Return the active session, or build one with ``BASE_CONF``.
 
     ``master`` and ``shuffle_partitions`` are for local runs (tests, bench);
-    on a cluster leave them unset so the submit-time settings win.
+    on a cluster leave them unset so the submit-time settings win, or pass
+    ``input_bytes`` to size scans and shuffles with ``sized_conf``.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -35,6 +55,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if input_bytes:
+        conf.update(sized_conf(input_bytes))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

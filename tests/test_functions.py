@@ -53,3 +53,11 @@ def test_pct_stays_in_codegen(spark):
     df = spark.range(10).select(pct(F.col("id"), F.lit(7)).alias("p"))
     plan = plan_text(df)
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_sized_conf_scales_with_input():
+    from scoreline.session import sized_conf
+    small, big = sized_conf(10 << 20), sized_conf(100 * (1 << 40))
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20) + 1
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
