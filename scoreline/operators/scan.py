@@ -7,18 +7,30 @@ holds a third of all rows, that task holds a third of the data. The two
 operators here give the same results without any task seeing a whole
 oversized group:
 
-* a count per partition key first finds the "heavy" keys (more rows than
-  ``MAX_GROUP_ROWS``). If there are none — the usual case — the plan is
-  the plain single window. Heavy keys number at most rows / MAX_GROUP_ROWS,
-  so they are broadcast with a proven bound;
-* ``running_sum`` cuts heavy partitions into blocks — contiguous ranges of
-  the order — sums inside blocks, and adds per block the total of all
-  earlier blocks, computed on the small table of block totals. The block
-  sums and the offsets join reuse the blocks' partitioning;
-* ``rank_desc`` ranks heavy groups by counting: rank = 1 + number of rows
-  of the group with a strictly greater value, from a histogram (group,
-  value, count) built with map-side partial aggregation, so the window
-  runs over distinct values, not over rows.
+* A count per partition key first finds the "heavy" keys (more rows than
+  ``MAX_GROUP_ROWS``). With none — the usual case — the plan is the plain
+  single window. Heavy keys number at most rows / MAX_GROUP_ROWS, so they
+  are broadcast with a proven bound; normal partitions keep the window.
+* ``running_sum`` on a heavy partition: the order is (coarse keys..., id),
+  where the coarse keys have a bounded number of values per partition (a
+  day, a round) and ``id`` is an integer unique within the partition. Rows
+  are cut into blocks (coarse keys, id div BLOCK_IDS) — at most BLOCK_IDS
+  rows each — and summed inside each block. A block's offset is the sum of
+  all earlier blocks of its partition: a running sum again, over the table
+  of block totals, computed by the same function with ids BLOCK_IDS times
+  coarser. Each level divides the id range by BLOCK_IDS, so the recursion
+  ends within a few levels, and no window ever spans more than
+  MAX_GROUP_ROWS rows or one block.
+* ``rank_desc`` on a heavy group ranks by counting: rank = 1 + rows of the
+  group with a greater value (NULL counts as greatest). Rows collapse to a
+  histogram (group, value, count) by partial aggregation, and "rows with a
+  greater value" is a running sum of counts in descending value order —
+  ``running_sum`` again, so a group with very many distinct values is split
+  the same way.
+
+The split path checkpoints its intermediate tables (block totals, the
+value histogram) to the session's shared checkpoint folder, so each level
+is computed once and recomputation after a lost executor starts there.
 
 Possibly-NULL key columns are replaced by non-null pairs
 (``coalesce(k, default)``, ``k IS NULL``) for partitioning and joining, which
@@ -32,19 +44,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DataType, DateType, NumericType, StringType,
-                               TimestampNTZType, TimestampType)
+from pyspark.sql.types import (BooleanType, DataType, DateType, IntegralType, NumericType,
+                               StringType, TimestampNTZType, TimestampType)
 
-# Ids per block when a block key splits on an id column: a (team, date)
-# holding more than this many matches is cut into several blocks.
+from scoreline.session import checkpoint_dir
+
+# Ids per block: a block of a heavy partition holds at most this many rows.
 BLOCK_IDS = 1 << 16
 
-# Rows above which one window partition is split into blocks. One task
-# sorts this many narrow rows comfortably; at most rows / MAX_GROUP_ROWS
-# keys can exceed it (e.g. < 400k keys for 3e12 rows), so the heavy-key
-# list is small enough to broadcast at any scale.
+# Rows above which one window partition is split. One task sorts this many
+# narrow rows comfortably; at most rows / MAX_GROUP_ROWS keys can exceed it
+# (e.g. < 400k keys for 3e12 rows), so the heavy-key list is small enough to
+# broadcast at any scale.
 MAX_GROUP_ROWS = 1 << 23
 
+# Levels of id coarsening; 64-bit ids need at most 4 at BLOCK_IDS = 2^16.
+_MAX_DEPTH = 8
+
 
 def _default(dtype: DataType) -> Column:
     if isinstance(dtype, NumericType):
@@ -75,11 +91,7 @@ def _eq(left_names: list[str], right_names: list[str]) -> Column:
 
 
 def _heavy_keys(df: DataFrame, partition_by: list[str], max_group_rows: int) -> DataFrame:
-    """Partition keys holding more than ``max_group_rows`` rows (map-side combined count).
-
-    At most rows / ``max_group_rows`` keys qualify, so broadcasting them has
-    a bound that holds at any scale.
-    """
+    """Partition keys holding more than ``max_group_rows`` rows (map-side combined count)."""
     sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows")) \
         .filter(F.col("_rows") > max_group_rows)
     return sizes.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(partition_by)],
@@ -87,7 +99,7 @@ def _heavy_keys(df: DataFrame, partition_by: list[str], max_group_rows: int) ->
 
 
 def _flag_heavy(df: DataFrame, partition_by: list[str], heavy: DataFrame) -> DataFrame:
-    """Add ``_heavy`` (true or NULL) by a broadcast join with the heavy keys."""
+    """Add ``_heavy`` (true or NULL) by a broadcast join with the bounded heavy-key list."""
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{i}"))
                                      for i, c in enumerate(partition_by)])
     return df.join(F.broadcast(heavy), on, "left") \
@@ -98,57 +110,58 @@ def _is_heavy() -> Column:
     return F.coalesce(F.col("_heavy"), F.lit(False))
 
 
-def running_sum(df: DataFrame, partition_by: list[str], order_by: list[Column | str],
-                value: str, out: str, block_by: list[Column],
-                max_group_rows: int | None = None, sizes_from: DataFrame | None = None,
-                nulls_last: bool = False) -> DataFrame:
-    """Add ``out`` = running total of ``value`` (non-NULL) per partition in order.
-
-    ``order_by`` must be a total order within a partition (end it with a
-    unique id), ascending, with NULLs first — or last with ``nulls_last``
-    (the SQL default for ascending order). ``block_by`` are expressions
-    whose tuple order never contradicts ``order_by`` — e.g.
-    ``[date, id div BLOCK_IDS]`` for the order ``(date, id)`` — so each
-    block is a contiguous range of rows.
-
-    A small count job first looks for partitions above ``max_group_rows``
-    rows (on ``sizes_from`` when given: any frame with the same rows per
-    partition key, cheaper to scan). Without any, this is one window. With
-    some, those partitions are cut into blocks: summed inside each block,
-    plus the total of all earlier blocks of the partition; the others still
-    take the single window.
+def _order(cols: list[str], nulls_last: bool) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in cols]
+
+
+def running_sum(df: DataFrame, partition_by: list[str], order_by: list[str], value: str,
+                out: str, *, nulls_last: bool = False, max_group_rows: int | None = None,
+                sizes_from: DataFrame | None = None, _depth: int = 0) -> DataFrame:
+    """Add ``out`` = running total of ``value`` (non-NULL) per partition, in order.
+
+    ``order_by`` are column names sorted ascending (NULLs first, or last with
+    ``nulls_last`` — the SQL default); the last one is an integer column
+    unique within a partition, the others are coarse keys with a bounded
+    number of values per partition. The count that looks for heavy
+    partitions scans ``sizes_from`` when given (any frame with the same rows
+    per partition key, cheaper to scan).
     """
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
     heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, limit)
-    if heavy.isEmpty():
-        return running_sum_plain(df, partition_by, order_by, value, out)
+    if _depth >= _MAX_DEPTH or heavy.isEmpty():
+        return running_sum_plain(df, partition_by, _order(order_by, nulls_last), value, out)
+    id_col = order_by[-1]
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"the last order column {id_col!r} must be an integer")
 
-    blocks = [f"_blk{i}" for i in range(len(block_by))]
     flagged = _flag_heavy(df, partition_by, heavy)
-    is_heavy = _is_heavy()
-    with_blocks = flagged.select("*", *[F.when(is_heavy, c).alias(b) for c, b in zip(block_by, blocks)])
-    key_exprs, keys = _pair_keys(with_blocks, list(partition_by) + blocks, "k")
-    t = with_blocks.select("*", *key_exprs)
-    n_p = 2 * len(partition_by)
-    p_keys, b_keys = keys[:n_p], keys[n_p:]
-
-    inside = Window.partitionBy(*keys).orderBy(*order_by) \
+    light = running_sum_plain(flagged.filter(~_is_heavy()), partition_by,
+                              _order(order_by, nulls_last), value, out)
+
+    # Heavy partitions: blocks of at most BLOCK_IDS ids within (partition, coarse keys).
+    blk = f"_blk{_depth}"
+    heavy_rows = flagged.filter(_is_heavy()) \
+        .withColumn(blk, F.call_function("div", F.col(id_col), F.lit(BLOCK_IDS)))
+    block_cols = list(partition_by) + list(order_by[:-1]) + [blk]
+    key_exprs, keys = _pair_keys(heavy_rows, block_cols, f"k{_depth}_")
+    t = heavy_rows.select("*", *key_exprs)
+    inside = Window.partitionBy(*keys).orderBy(*_order(order_by, nulls_last)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = t.withColumn("_loc", F.sum(value).over(inside))
 
-    # Blocks of heavy partitions in row order; the NULL flag sorts NULL
-    # blocks first (flag descending) or last (flag ascending).
-    flag_order = (lambda c: c.asc()) if nulls_last else (lambda c: c.desc())
-    block_order = [flag_order(F.col(k)) if k.endswith("n") else F.col(k).asc()
-                   for pair in zip(b_keys[1::2], b_keys[0::2]) for k in pair]
-    earlier = Window.partitionBy(*p_keys).orderBy(*block_order) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (t.filter(is_heavy).groupBy(*keys).agg(F.sum(value).alias("_bsum"))
-               .select(*[F.col(k).alias("o" + k) for k in keys],
-                       F.coalesce(F.sum("_bsum").over(earlier), F.lit(0)).alias("_off")))
-    joined = local.join(offsets, _eq(keys, ["o" + k for k in keys]), "left")
-    return (joined.withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_loc"))
-            .drop("_loc", "_off", "_heavy", *blocks, *keys, *["o" + k for k in keys]))
+    # Offsets: running sum over the block totals (one row per block), recursively.
+    # The totals are checkpointed to the shared folder: computed once, read
+    # back by the next level with a short lineage.
+    checkpoint_dir(df.sparkSession)
+    totals = heavy_rows.groupBy(*block_cols).agg(F.sum(value).alias("_bsum")).checkpoint(eager=True)
+    incl = running_sum(totals, list(partition_by), list(order_by[:-1]) + [blk], "_bsum", "_incl",
+                       nulls_last=nulls_last, max_group_rows=limit, _depth=_depth + 1)
+    o_exprs, o_keys = _pair_keys(incl, block_cols, f"o{_depth}_")
+    offsets = incl.select(*o_exprs, (F.col("_incl") - F.col("_bsum")).alias("_off"))
+    joined = local.join(offsets, _eq(keys, o_keys))
+    heavy_out = (joined.withColumn(out, F.col("_off") + F.col("_loc"))
+                 .drop("_loc", "_off", blk, *keys, *o_keys))
+    return light.unionByName(heavy_out).drop("_heavy")
 
 
 def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
@@ -156,32 +169,43 @@ def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
     """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST).
 
     As in ``running_sum``, a count job first looks for groups above
-    ``max_group_rows`` rows. Without any, this is one window. Groups above
-    it are ranked by counting: rank = 1 + rows of the group with a greater
-    value (NULL counts as greatest), from a histogram of (group, value).
+    ``max_group_rows`` rows; without any, this is one window. Heavy groups
+    (``value`` must then be an integer) are ranked by counting from a
+    histogram of (group, value); see the module notes.
     """
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
     heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, limit)
     if heavy.isEmpty():
         return rank_desc_plain(df, partition_by, value, out)
+    if not isinstance(df.schema[value].dataType, IntegralType):
+        raise TypeError(f"ranking a heavy group needs an integer value, not {value!r}")
 
     flagged = _flag_heavy(df, partition_by, heavy)
-    w = Window.partitionBy(*partition_by).orderBy(F.col(value).desc_nulls_first())
-    light = flagged.filter(~_is_heavy()).withColumn(out, F.rank().over(w).cast("long"))
-
-    cols = list(partition_by) + [value]
-    key_exprs, keys = _pair_keys(flagged, cols, "r")
-    t = flagged.filter(_is_heavy()).select("*", *key_exprs)
-    p_keys = keys[:2 * len(partition_by)]
-    hist = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    greater_first = [F.col(keys[-1]).desc(), F.col(keys[-2]).desc()]  # isnull desc: NULL first
-    before = Window.partitionBy(*p_keys).orderBy(*greater_first) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ranks = hist.select(*[F.col(k).alias("o" + k) for k in keys],
-                        (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(out))
-    heavy_rows = t.join(ranks, _eq(keys, ["o" + k for k in keys])) \
-        .drop(*keys, *["o" + k for k in keys])
-    return light.unionByName(heavy_rows).drop("_heavy")
+    light = rank_desc_plain(flagged.filter(~_is_heavy()), partition_by, value, out)
+
+    h = flagged.filter(_is_heavy())
+    checkpoint_dir(df.sparkSession)
+    hist = h.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+    n_null = hist.filter(F.col(value).isNull()) \
+        .select(*[F.col(c).alias(f"_z{i}") for i, c in enumerate(partition_by)],
+                F.col("_n").alias("_nulls"))
+    # Greater values first = ascending order of the negated value.
+    valued = hist.filter(F.col(value).isNotNull()).withColumn("_neg", -F.col(value))
+    greater = running_sum(valued, list(partition_by), ["_neg"], "_n", "_incl", max_group_rows=limit)
+    on_group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_z{i}"))
+                                          for i, c in enumerate(partition_by)])
+    ranks = (greater.join(n_null, on_group, "left")
+             .select(*partition_by, value,
+                     (F.col("_incl") - F.col("_n") + F.coalesce(F.col("_nulls"), F.lit(0)) + 1)
+                     .alias(out))
+             .unionByName(hist.filter(F.col(value).isNull())
+                          .select(*partition_by, value, F.lit(1).cast("long").alias(out))))
+    key_exprs, keys = _pair_keys(h, list(partition_by) + [value], "r")
+    r_exprs, r_keys = _pair_keys(ranks, list(partition_by) + [value], "q")
+    heavy_out = (h.select("*", *key_exprs)
+                 .join(ranks.select(*r_exprs, out), _eq(keys, r_keys))
+                 .drop(*keys, *r_keys))
+    return light.unionByName(heavy_out).drop("_heavy")
 
 
 def running_sum_plain(df: DataFrame, partition_by: list[str], order_by: list[Column | str],

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from scoreline.functions import drawn, lost, points, sql_asc, won
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import rank_desc, running_sum
-from scoreline.operators import scan
 
 TIE_BREAKS = ("points", "goal_diff", "goals_for")
 
@@ -133,12 +132,8 @@ def running_standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     long = to_participants(m, keep=("id", "league_id", "season", "stage", "date")) \
         .withColumn("round_points", points("gf", "ga"))
     # SQL order: ascending, NULLs last.
-    totals = running_sum(
-        long, ["league_id", "season", "team_api_id"],
-        [F.col(c).asc_nulls_last() for c in ("stage", "date", "id")],
-        "round_points", "total_points",
-        block_by=[F.col("stage"), F.col("date"), F.call_function("div", F.col("id"), F.lit(scan.BLOCK_IDS))],
-        nulls_last=True)
+    totals = running_sum(long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
+                         "round_points", "total_points", nulls_last=True)
     # Rows per (league, season, round) are the same before and after the
     # running sum, so the heavy-group check scans the cheaper long table.
     ranked = rank_desc(totals, ["league_id", "season", "stage"], "total_points", "position",

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from scoreline.functions import in_run, sql_asc
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import running_sum
-from scoreline.operators import scan
 
 
 def runs(matches: DataFrame, kind: str = "win") -> DataFrame:
@@ -36,11 +35,8 @@ def runs(matches: DataFrame, kind: str = "win") -> DataFrame:
             .withColumn("_in", in_run("gf", "ga", kind))
             .withColumn("_break", F.when(F.col("_in"), F.lit(0)).otherwise(F.lit(1))))
     # SQL order: ascending, NULL dates last.
-    numbered = running_sum(
-        long, ["team_api_id"], [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()],
-        "_break", "island",
-        block_by=[F.col("date"), F.call_function("div", F.col("id"), F.lit(scan.BLOCK_IDS))],
-        nulls_last=True)
+    numbered = running_sum(long, ["team_api_id"], ["date", "id"], "_break", "island",
+                           nulls_last=True)
     return (numbered.filter(F.col("_in"))
             .groupBy("team_api_id", "league_id", "island")
             .agg(F.count(F.lit(1)).alias("length"),

@@ -18,37 +18,56 @@ def skewed(spark):
         day = rnd.randint(1, 50)
         rows.append((i, g, day, rnd.choice([0, 1, 1, 3]), rnd.choice([None, 1, 2, 2, 5])))
     rows.append((3000, None, 1, 1, 2))                          # a NULL group
+    rows += [(3001, 0, None, 2, 1), (3002, 0, None, 1, None), (None, 0, 7, 1, 2)]  # NULL order keys
     return spark.createDataFrame(rows, "id long, g long, day int, v int, score int")
 
 
-@pytest.mark.parametrize("max_rows", [5, 500, 1 << 23])
-def test_running_sum_matches_window(skewed, max_rows):
-    blocks = [F.col("day"), F.call_function("div", F.col("id"), F.lit(16))]
-    a = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", blocks, max_group_rows=max_rows)
-    b = scan.running_sum_plain(skewed, ["g"], ["day", "id"], "v", "run")
+@pytest.mark.parametrize("max_rows", [5, 1 << 23])
+@pytest.mark.parametrize("nulls_last", [False, True])
+def test_running_sum_matches_window(skewed, max_rows, nulls_last, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_IDS", 16)
+    a = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", max_group_rows=max_rows,
+                         nulls_last=nulls_last)
+    order = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first()
+             for c in ("day", "id")]
+    b = scan.running_sum_plain(skewed, ["g"], order, "v", "run")
     cols = ["id", "g", "run"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
-    assert a.count() == b.count() == 3001
+    assert a.count() == b.count() == 3004
 
 
-@pytest.mark.parametrize("max_rows", [5, 1 << 23])
-def test_rank_matches_window_with_nulls_and_ties(skewed, max_rows):
+def test_sparse_ids_recurse_into_coarser_blocks(spark, monkeypatch):
+    # One hot group whose ids are far apart: first-level blocks hold one row
+    # each, so the block totals are themselves heavy and split again.
+    monkeypatch.setattr(scan, "BLOCK_IDS", 4)
+    rows = [(i * 1000 + 7, 0, i % 3, 1 + i % 2) for i in range(400)] + \
+           [(i * 1000 + 9, 1, 0, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, g long, day int, v int")
+    a = scan.running_sum(df, ["g"], ["day", "id"], "v", "run", max_group_rows=10)
+    b = scan.running_sum_plain(df, ["g"], ["day", "id"], "v", "run")
+    assert a.select("id", "run").exceptAll(b.select("id", "run")).count() == 0
+    assert a.count() == 405
+
+
+@pytest.mark.parametrize("max_rows", [2, 1 << 23])
+def test_rank_matches_window_with_nulls_and_ties(skewed, max_rows, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_IDS", 2)
     a = scan.rank_desc(skewed, ["g"], "score", "r", max_group_rows=max_rows)
     b = scan.rank_desc_plain(skewed, ["g"], "score", "r")
-    cols = ["id", "r"]
+    cols = ["id", "g", "r"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
-    assert a.count() == 3001
+    assert a.count() == 3004
 
 
-def test_result_does_not_depend_on_partition_count(spark, skewed):
-    blocks = [F.col("day"), F.call_function("div", F.col("id"), F.lit(16))]
+def test_result_does_not_depend_on_partition_count(spark, skewed, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_IDS", 16)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         out = []
         for n in ("1", "7"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            df = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", blocks, max_group_rows=50)
-            out.append(sorted((r.id, r.run) for r in df.collect()))
+            df = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", max_group_rows=50)
+            out.append(sorted(((r.id is None, r.id or 0), r.run) for r in df.collect()))
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
