@@ -65,3 +65,28 @@ def test_break_count_equals_dual_row_numbers(spark, kind):
     a, b = op.runs(m, kind).drop("island"), runs_single_window(m, kind).drop("island")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.count() > 1000
+
+
+@pytest.mark.parametrize("kind", ["win", "unbeaten"])
+def test_runs_partition_the_qualifying_matches(spark, kind):
+    # Disjoint and covering: run lengths add up to the matches that qualify.
+    from pyspark.sql import functions as F
+    from scoreline.functions import in_run
+    m = match_tables(spark, SF01).matches
+    qualifying = op.to_participants(m, keep=("id",)).filter(in_run("gf", "ga", kind)).count()
+    total = op.runs(m, kind).agg(F.sum("length")).first()[0]
+    assert total == qualifying
+    # A run is reported in several parts only across leagues.
+    parts = op.runs(m, kind).groupBy("team_api_id", "island").agg(F.count("*").alias("parts"))
+    leagues = op.to_participants(m, keep=("league_id",)).groupBy("team_api_id") \
+        .agg(F.countDistinct("league_id").alias("leagues"))
+    assert parts.join(leagues, "team_api_id").filter("parts > leagues").count() == 0
+    # Maximal: per team, a new run needs a break before it.
+    islands = op.runs(m, kind).select("team_api_id", "island").distinct()
+    breaks = (op.to_participants(m, keep=("id", "date"))
+              .filter(~in_run("gf", "ga", kind)).groupBy("team_api_id").count())
+    # islands of a team <= breaks + 1 (each new island needs a break before it)
+    per_team = islands.groupBy("team_api_id").count().withColumnRenamed("count", "islands")
+    over = per_team.join(breaks, "team_api_id", "left").filter(
+        F.col("islands") > F.coalesce(F.col("count"), F.lit(0)) + 1)
+    assert over.count() == 0
