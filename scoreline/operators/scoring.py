@@ -97,6 +97,11 @@ def home_advantage(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     a team that played in several leagues gets one row per pair of home
     league and away league. ``same_league=True`` joins on both keys.
     The gap is rounded once, from the exact difference of the two rates.
+
+    Size: both sides are aggregates (one row per team and league), and the
+    team-only join yields at most L_home x L_away rows per team, where L is
+    the number of leagues the team played in — a small domain constant, not
+    a function of the number of matches; the top-k then keeps k rows.
     """
     h, a = F.col("home_team_goal"), F.col("away_team_goal")
     home = (matches.groupBy(F.col("home_team_api_id").alias("team_api_id"), "league_id")
