@@ -29,7 +29,7 @@ def tables(seed: int):
     good = [t for t in teams if t[0] != 5]
     pool = TEAM_IDS + [7]                       # 7 has no team row
     rows = []
-    for i in range(1, 601):
+    for i in range(1, 901):
         league = rnd.choice([23, 24])
         season = rnd.choice(["1999", "2000", "2001"])
         stage = rnd.randint(1, 12)
@@ -43,7 +43,7 @@ def tables(seed: int):
     return rows, teams, leagues, countries, good
 
 
-@pytest.fixture(scope="module", params=[1, 2])
+@pytest.fixture(scope="module", params=[1])
 def both(spark, request):
     rows, teams, leagues, countries, good = tables(request.param)
     mt = MatchTables(
