@@ -1,0 +1,30 @@
+"""The match view against the counts and checksums recorded in FIXTURES.md §3."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001, SF01
+from scoreline.sources import match_tables
+from scoreline.sources.match_view import MATCH_COLUMNS, derive_matches
+
+EXPECTED = {SF001: (1347, 11_653_697), SF01: (13_606, 1_189_441_453)}
+
+
+@pytest.mark.parametrize("sf_dir", [SF001, SF01])
+@pytest.mark.parametrize("stored", [False, True])
+def test_match_view_count_and_checksum(spark, sf_dir, stored):
+    m = match_tables(spark, sf_dir, stored=stored).matches
+    h, a = F.col("home_team_goal"), F.col("away_team_goal")
+    checksum = (F.col("id") * (h + 7 * a) + 3 * F.col("home_team_api_id")
+                + 5 * F.col("away_team_api_id") + F.col("league_id") + F.col("stage"))
+    row = m.agg(F.count(F.lit(1)).alias("n"), F.sum(checksum).alias("c")).first()
+    assert (row.n, row.c) == EXPECTED[sf_dir]
+
+
+def test_stored_table_keeps_the_schema(spark):
+    derived = derive_matches(spark, SF001)
+    stored = match_tables(spark, SF001).matches
+    assert stored.columns == MATCH_COLUMNS == derived.columns
+    # Types are kept; nullability may differ (the stored copy is read with a declared schema).
+    assert [f.dataType for f in stored.schema] == [f.dataType for f in derived.schema]
+    assert stored.exceptAll(derived).count() == 0 and derived.exceptAll(stored).count() == 0
