@@ -28,3 +28,22 @@ def test_stored_table_keeps_the_schema(spark):
     # Types are kept; nullability may differ (the stored copy is read with a declared schema).
     assert [f.dataType for f in stored.schema] == [f.dataType for f in derived.schema]
     assert stored.exceptAll(derived).count() == 0 and derived.exceptAll(stored).count() == 0
+
+
+RECORDED = {  # FIXTURES.md §3: rank<=3 rows, league-seasons with a rank 2 / all, margin>=5
+    SF001: (526, 128, 174, 13),
+    SF01: (529, 142, 175, 128),
+}
+
+
+@pytest.mark.parametrize("sf_dir", [SF001, SF01])
+def test_recorded_report_sizes(spark, sf_dir):
+    from scoreline import operators as op
+    mt = match_tables(spark, sf_dir)
+    top3, with_rank2, seasons, margins = RECORDED[sf_dir]
+    assert op.standings(mt.matches, mt.teams, mt.leagues, top=3).count() == top3
+    runners = op.gap_to_leader(mt.matches, mt.teams, mt.leagues, position=2, k=10**6)
+    assert runners.select("league", "season").distinct().count() == with_rank2
+    assert mt.matches.select("league_id", "season").distinct().count() == seasons
+    h, a = F.col("home_team_goal"), F.col("away_team_goal")
+    assert mt.matches.filter(F.abs(h - a) >= 5).count() == margins
