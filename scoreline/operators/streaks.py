@@ -29,16 +29,21 @@ from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import running_sum
 
 
-def runs(matches: DataFrame, kind: str = "win") -> DataFrame:
-    """All runs: team_api_id, league_id, island, length, start_date, end_date, days."""
+def runs(matches: DataFrame, kind: str = "win", by_league: bool = True) -> DataFrame:
+    """All runs: team_api_id, [league_id,] island, length, start_date, end_date, days.
+
+    ``by_league=True`` reports a run that crosses leagues once per league (as
+    the streak reports do); ``False`` keeps each run whole across leagues.
+    """
     long = (to_participants(matches, keep=("id", "league_id", "date"))
             .withColumn("_in", in_run("gf", "ga", kind))
             .withColumn("_break", F.when(F.col("_in"), F.lit(0)).otherwise(F.lit(1))))
     # SQL order: ascending, NULL dates last.
     numbered = running_sum(long, ["team_api_id"], ["date", "id"], "_break", "island",
                            nulls_last=True)
+    keys = ["team_api_id", "league_id", "island"] if by_league else ["team_api_id", "island"]
     return (numbered.filter(F.col("_in"))
-            .groupBy("team_api_id", "league_id", "island")
+            .groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("length"),
                  F.min("date").cast("date").alias("start_date"),
                  F.max("date").cast("date").alias("end_date"))
@@ -69,13 +74,14 @@ def streaks(matches: DataFrame, teams: DataFrame, leagues: DataFrame, kind: str
 
 
 def longest_run_per_team(matches: DataFrame, teams: DataFrame, kind: str = "win") -> DataFrame:
-    """The longest run of every team; on ties the earliest start, then lowest league id, then earliest end."""
-    best = (runs(matches, kind)
+    """The longest run of every team over its whole history (runs kept whole
+    across leagues); on ties the earliest start, then the earliest end."""
+    days = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    best = (runs(matches, kind, by_league=False)
             .groupBy("team_api_id")
-            .agg(F.max_by(F.struct("length", "start_date", "end_date", "days", "league_id"),
-                          F.struct(F.col("length"), -F.datediff("start_date", F.lit("1970-01-01")),
-                                   -F.col("league_id"),
-                                   -F.datediff("end_date", F.lit("1970-01-01")))).alias("best")))
+            .agg(F.max_by(F.struct("length", "start_date", "end_date", "days"),
+                          F.struct(F.col("length"), -days("start_date"), -days("end_date")))
+                 .alias("best")))
     t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
     return (best.join(t, F.col("team_api_id") == F.col("_t_id"))
             .select("team", F.col("best.length").alias("length"),

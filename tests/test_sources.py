@@ -47,3 +47,13 @@ def test_recorded_report_sizes(spark, sf_dir):
     assert mt.matches.select("league_id", "season").distinct().count() == seasons
     h, a = F.col("home_team_goal"), F.col("away_team_goal")
     assert mt.matches.filter(F.abs(h - a) >= 5).count() == margins
+
+
+@pytest.mark.parametrize("sf_dir,win,unbeaten", [(SF001, 8, 14), (SF01, 10, 18)])
+def test_recorded_longest_runs(spark, sf_dir, win, unbeaten):
+    # FIXTURES.md §3 records the longest runs of any team over its whole history.
+    from scoreline import operators as op
+    mt = match_tables(spark, sf_dir)
+    for kind, expected in (("win", win), ("unbeaten", unbeaten)):
+        best = op.longest_run_per_team(mt.matches, mt.teams, kind).agg(F.max("length")).first()[0]
+        assert best == expected, kind
