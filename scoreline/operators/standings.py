@@ -7,10 +7,11 @@ those aggregated rows:
 * ``standings`` keeps the top n per league-season with ``rank() <= n``;
   Catalyst plans that as a ``WindowGroupLimit`` below the shuffle, so each
   map task forwards at most n ranks (plus ties) per group.
-* ``gap_to_leader`` needs rank = 2 and the leader's points. The leader's
-  points are ``max(points)`` per league-season — an aggregate with map-side
-  combine — joined back, which keeps the rank filter a group limit too
-  (a whole-partition ``first_value`` frame would prevent that).
+* ``gap_to_leader`` needs rank = 2 and the leader's points. It keeps
+  ``rank <= 2`` (a group limit), then takes the leader's points as a max over
+  the surviving rows of the same partition, then keeps rank 2: one shuffle,
+  no join (a whole-partition ``first_value`` next to the rank would prevent
+  the group limit).
 * ``running_standings`` is the cumulative table round by round: a running
   total per (league, season, team) and a rank per (league, season, round),
   both through ``operators.scan`` so no task holds a whole group.
@@ -86,15 +87,17 @@ def gap_to_leader(matches: DataFrame, teams: DataFrame, leagues: DataFrame, posi
     smallest gap (the closest seasons), or by the largest with ``widest=True``.
     """
     table = season_table(matches).select("team_api_id", "league_id", "season", "points")
-    w = Window.partitionBy("league_id", "season").orderBy(F.col("points").desc_nulls_first())
-    at_position = table.withColumn("_pos", F.rank().over(w)).filter(F.col("_pos") == position)
-    leader = table.groupBy(F.col("league_id").alias("_ld_league"), F.col("season").alias("_ld_season")) \
-        .agg(F.max("points").alias("leader_points"))
+    group = Window.partitionBy("league_id", "season")
+    # rank <= position is a group limit below the shuffle; the leader's rows
+    # (rank 1) survive it, so the leader's points are a max over what is left,
+    # on the same partitioning — no second shuffle and no join.
+    at_position = (table.withColumn("_pos", F.rank().over(group.orderBy(F.col("points").desc_nulls_first())))
+                   .filter(F.col("_pos") <= position)
+                   .withColumn("leader_points", F.max("points").over(group))
+                   .filter(F.col("_pos") == position))
     t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("runner_up"))
     lg = leagues.select(F.col("id").alias("_l_id"), F.col("name").alias("league"))
     out = (at_position
-           .join(leader, (F.col("league_id") == F.col("_ld_league")) &
-                 (F.col("season") == F.col("_ld_season")))
            .join(t, F.col("team_api_id") == F.col("_t_id"))
            .join(lg, F.col("league_id") == F.col("_l_id")))
     seasons, names = list(exclude_seasons), list(exclude_leagues)
