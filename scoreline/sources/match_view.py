@@ -29,6 +29,7 @@ import threading
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
@@ -105,7 +106,22 @@ def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches
 
 
-def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Does ``path`` hold a completed Spark write (its ``_SUCCESS`` marker)?"""
+    try:
+        spark.read.text(f"{path.rstrip('/')}/_SUCCESS").limit(1).collect()
+        return True
+    except AnalysisException:
+        return False
+
+
+def _write_matches(spark: SparkSession, sf_dir: str, path: str) -> None:
+    (derive_matches(spark, sf_dir)
+     .sortWithinPartitions("season", "league_id", "date", "id")
+     .write.mode("overwrite").partitionBy("season").parquet(path))
+
+
+def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """The match table, derived once per session and written as Parquet.
 
     Like the import step of a warehouse: every report then reads a stored
@@ -116,16 +132,23 @@ def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each task writes its own rows sorted by (season, league, date, id), so
     files are clustered by league (tight min/max statistics for league
     filters) and no task ever holds a whole season.
+
+    With ``path`` (a persistent shared location chosen by the caller), the
+    table is written there once and reused by later applications as long
+    as that write completed; keeping it in step with the source tables is
+    then the caller's job (write a new path when they change).
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
     with _WRITE_LOCK:
-        path = _WRITTEN.get(key)
-        if path is None:
-            path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
-            (derive_matches(spark, sf_dir)
-             .sortWithinPartitions("season", "league_id", "date", "id")
-             .write.mode("overwrite").partitionBy("season").parquet(path))
-            _WRITTEN[key] = path
+        if path is not None:
+            if not _committed(spark, path):
+                _write_matches(spark, sf_dir, path)
+        else:
+            key = (spark.sparkContext.applicationId, sf_dir)
+            path = _WRITTEN.get(key)
+            if path is None:
+                path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
+                _write_matches(spark, sf_dir, path)
+                _WRITTEN[key] = path
     # The declared schema keeps the partition column ``season`` a string.
     return spark.read.schema(MATCH_SCHEMA).parquet(path).select(*MATCH_COLUMNS)
 

@@ -57,3 +57,16 @@ def test_recorded_longest_runs(spark, sf_dir, win, unbeaten):
     for kind, expected in (("win", win), ("unbeaten", unbeaten)):
         best = op.longest_run_per_team(mt.matches, mt.teams, kind).agg(F.max("length")).first()[0]
         assert best == expected, kind
+
+
+def test_persistent_match_table_is_written_once(spark):
+    import os
+    import tempfile
+    from scoreline.sources.match_view import stored_matches
+    path = os.path.join(tempfile.mkdtemp(prefix="scoreline-persist-"), "matches")
+    first = stored_matches(spark, SF001, path=path)
+    marker = os.path.join(path, "_SUCCESS")
+    stamp = os.stat(marker).st_mtime_ns
+    second = stored_matches(spark, SF001, path=path)            # reused, not rewritten
+    assert os.stat(marker).st_mtime_ns == stamp
+    assert first.count() == second.count() == EXPECTED[SF001][0]
