@@ -116,7 +116,12 @@ def _committed(spark: SparkSession, path: str) -> bool:
 
 
 def _write_matches(spark: SparkSession, sf_dir: str, path: str) -> None:
+    # REBALANCE lets AQE size the write tasks to the advisory partition size:
+    # small (season, league) groups are coalesced, a hot one is split across
+    # tasks, so the folder gets few, evenly sized files instead of one file
+    # per upstream task and season.
     (derive_matches(spark, sf_dir)
+     .hint("rebalance", "season", "league_id")
      .sortWithinPartitions("season", "league_id", "date", "id")
      .write.mode("overwrite").partitionBy("season").parquet(path))
 
@@ -129,9 +134,11 @@ def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     ``season``) instead of re-deriving it from line items. The table goes to
     a fresh folder under the shared ``spark.checkpoint.dir`` — lineage is
     cut there, so a lost executor costs a re-read, not a re-derivation.
-    Each task writes its own rows sorted by (season, league, date, id), so
-    files are clustered by league (tight min/max statistics for league
-    filters) and no task ever holds a whole season.
+    Rows are rebalanced on (season, league) before the write and sorted by
+    (season, league, date, id) within each task, so files are few, evenly
+    sized and clustered by league (tight min/max statistics for league
+    filters); AQE splits a hot (season, league) rather than giving it to one
+    task.
 
     With ``path`` (a persistent shared location chosen by the caller), the
     table is written there once and reused by later applications as long
