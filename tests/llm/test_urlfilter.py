@@ -1,0 +1,49 @@
+import random
+
+import pytest
+
+from scoreline.llm import urlfilter as uf
+
+
+def _brute(rules, url):
+    host, path = uf.url_parts(url)
+    fits = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in rules.items()
+            if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits)[2:]) if fits else (host, path, None, "allow")
+
+
+def test_parts():
+    assert uf.url_parts(None) == uf.url_parts("no scheme/x") == ("", "")
+    assert uf.url_parts("HTTP://Ab.Cé.NET?x#y") == ("ab.cé.net", "")
+    assert uf.url_parts("a://H/p/Q?x/y") == ("h", "/p/Q")
+    assert uf.url_parts("a://h#/x") == ("h", "")
+    assert uf.url_parts("a://h/x://y") == ("h", "/x://y")
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_longest_rule_wins(tmp_path, monkeypatch, collide):
+    if collide:  # every key the same: only the stored strings decide
+        monkeypatch.setattr(uf.xxhash, "xxh64_intdigest", lambda s: 7)
+    rng = random.Random(2)
+    labels, segs = ["a", "b", "net", "org", "x"], ["/", "/en/", "/e", "/en", "", "/fr/x"]
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+    rules = {(host(), rng.choice(segs)): rng.choice(["allow", "block"]) for _ in range(60)}
+    (tmp_path / "r").write_bytes(uf.digest_bytes([(h + p, v) for (h, p), v in rules.items()]))
+    found = uf.DigestArray(str(tmp_path / "r"))
+    urls = [f"http://{host()}{rng.choice(segs)}{rng.choice(['', 'q', '?a', '#b'])}" for _ in range(400)] + [None, "", "://", "x"]
+    parts = [uf.url_parts(u) for u in urls]
+    best = uf.match(found, [h for h, _ in parts], [p for _, p in parts])
+    for u, i, (h, p) in zip(urls, best, parts):
+        want = _brute(rules, u)
+        got = None if i < 0 else found.map[found.text + int(found.off[i]):found.text + int(found.off[i + 1])].decode()
+        assert got == want[2] and (i < 0 or ("block" if found.verdict[i] else "allow") == want[3])
+
+
+def test_operator_edges(spark):
+    df = spark.createDataFrame([(1, "http://A.net/x", "clash", "c"), (None, None, None, None), (1, "http://A.net/x", "clash", "c")],
+                               "page_id long, url string, host string, verdict string")
+    got = uf.filter_urls(df, [("net/", "block"), ("", "block"), ("NET/", "allow")]).collect()
+    assert [tuple(r) for r in got] == [(1, "http://A.net/x", "a.net", "/x", "net/", "block"), (None, None, "", "", None, "allow"),
+                                       (1, "http://A.net/x", "a.net", "/x", "net/", "block")]
+    assert uf.filter_urls(df.limit(0), []).count() == 0
+    assert [r.verdict for r in uf.filter_urls(df, []).collect()] == ["allow"] * 3
