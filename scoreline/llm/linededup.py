@@ -18,6 +18,9 @@ same, or reaches it over lines within ``threshold`` edits. (Li et al., "PASS-JOI
 
 from __future__ import annotations
 
+import zlib
+from struct import pack
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +39,8 @@ CHARS = 1 << 20  # code points signed at once
 
 
 def line_id(line: str) -> bytes:
-    """128-bit hash that stands for the line's text."""
-    return xxhash.xxh3_128_digest(line.encode())
+    """96-bit hash that stands for the line's text."""
+    return xxhash.xxh3_128_digest(line.encode())[:12]
 
 
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -112,7 +115,11 @@ def signatures(lines: list[str], threshold: int):
 
 
 def signature_rows(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(sig, salt, kind, id): kind 0 index, 1 probe, 2 marker of a salted hash."""
+    """(sig, hi, lo): a segment's hash and the line that has it, in 24 bytes.
+
+    hi and the upper bits of lo hold the line id; lo's lower 16 bits are kind (0 marker of a salted
+    hash, 1 index, 2 probe) and salt (0 for most).
+    """
     def sliced(texts):
         seen: set = set()  # bounded: repeats within a task need not be signed twice
         part, chars = [], 0
@@ -136,66 +143,64 @@ def signature_rows(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame
 
     def run(batches):
         for part in sliced(t for b in batches for t in b.column(0).to_pylist()):
-            ids = np.frombuffer(b"".join(k for _, k in part), dtype="V16")
+            ids = np.frombuffer(b"".join(k for _, k in part), dtype=np.dtype([("hi", ">i8"), ("lo", ">u4")]))
             got = list(signatures([x for x, _ in part], threshold))
             who = np.concatenate([w for w, _, _ in got])
             sig = np.concatenate([s for _, s, _ in got])
-            kind = np.concatenate([np.full(len(w), p, dtype=np.int8) for w, _, p in got])
-            salt = np.zeros(len(sig), dtype=np.int16)
+            kind = np.concatenate([np.full(len(w), 1 + p, dtype=np.int64) for w, _, p in got])
+            hi, low = ids["hi"].astype(np.int64)[who], ids["lo"].astype(np.int64)[who]
+            salt = np.zeros(len(sig), dtype=np.int64)
             uniq, inv, count = np.unique(sig, return_inverse=True, return_counts=True)
             hot = np.flatnonzero(count > HOT)
             if len(hot):
                 flood = np.isin(inv, hot)
-                salt[flood] = 1 + ids[who[flood]].view(np.uint8).reshape(-1, 16)[:, 0] % SALTS
-                who = np.r_[who, np.zeros(len(hot), dtype=who.dtype)]
-                sig, kind = np.r_[sig, uniq[hot]], np.r_[kind, np.full(len(hot), 2, np.int8)]
-                salt = np.r_[salt, np.zeros(len(hot), np.int16)]
-            out = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(who), [None, pa.py_buffer(ids[who].tobytes())])
-            table = pa.table([pa.array(sig), pa.array(salt), pa.array(kind), out.cast(pa.binary())],
-                             names=["sig", "salt", "kind", "id"])
+                salt[flood] = 1 + low[flood] % SALTS
+                none = np.zeros(len(hot), dtype=np.int64)
+                sig, hi, low, kind, salt = (np.r_[x, y] for x, y in ((sig, uniq[hot]), (hi, none), (low, none), (kind, none), (salt, none)))
+            table = pa.table([pa.array(sig), pa.array(hi), pa.array((low << 16) | (kind << 8) | salt)], names=["sig", "hi", "lo"])
             yield from table.to_batches(max_chunksize=1 << 16)
-    return docs.select("text").mapInArrow(run, "sig long, salt short, kind byte, id binary")
+    return docs.select("text").mapInArrow(run, "sig long, hi long, lo long")
 
 
 def live_members(rows: DataFrame) -> DataFrame:
     """(sig, kind, id) of hashes held by an index row and a probe row of different lines.
 
-    Rows arrive sorted by (sig, salt, kind, id); one pass in constant memory. Salted rows and the
-    rows of a marked hash are always live.
+    kind 0 is an index row, 1 a probe row. Rows arrive sorted by (sig, salt, kind, line); one pass in
+    constant memory. Salted rows and the rows of a marked hash are always live.
     """
     def run(batches):
         sig = first = None
         live = False
         for batch in batches:
             keep: list[tuple] = []
-            s, salt, kind = (batch.column(c).to_numpy() for c in (0, 1, 2))
-            ids = batch.column(3).to_pylist()
+            s, hi, lo = (batch.column(c).to_numpy() for c in range(3))
             if not len(s):
                 continue
+            salt, kind = lo & 255, lo >> 8 & 255
             # A hash that appears once in the batch and does not touch its ends needs no look.
             alone = np.r_[False, (s[1:-1] != s[:-2]) & (s[1:-1] != s[2:]), False][:len(s)] & (salt == 0)
             for j in np.flatnonzero(~alone):
                 if s[j] != sig:
                     sig, first, live = s[j], None, False
-                if salt[j] or live:
-                    keep.append((s[j], kind[j], ids[j]))
-                elif kind[j] == 2:
+                line = (hi[j], lo[j] >> 16)
+                if kind[j] == 0:
                     live = True
+                elif salt[j] or live:
+                    keep.append((s[j], kind[j], *line))
                 elif first is None:
-                    if kind[j] == 0:  # without an index row the hash is dead: first stays None
-                        first = ids[j]
-                elif ids[j] != first:
+                    if kind[j] == 1:  # without an index row the hash is dead: first stays None
+                        first = line
+                elif line != first:
                     live = True
-                    keep += [(sig, 0, first), (s[j], kind[j], ids[j])]
-            if len(s) and alone[-1:].any():
-                sig = None
+                    keep += [(sig, 1, *first), (s[j], kind[j], *line)]
             if keep:
-                a, b, c = zip(*keep)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int8()),
-                                                  pa.array(c, pa.binary())], names=["sig", "kind", "id"])
-    order = F.when(F.col("kind") == 2, -1).otherwise(F.col("kind"))
-    return (rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", order, "id")
-            .mapInArrow(run, "sig long, kind byte, id binary").where("kind < 2"))
+                sigs, kinds, his, los = zip(*keep)
+                ids = [pack(">qI", int(h), int(low)) for h, low in zip(his, los)]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([k - 1 for k in kinds], pa.int8()),
+                                                  pa.array(ids, pa.binary())], names=["sig", "kind", "id"])
+    salt, kind = F.expr("lo & 255"), F.expr("shiftright(lo, 8) & 255")
+    return (rows.repartition("sig", salt).sortWithinPartitions("sig", salt, kind, "hi", "lo")
+            .mapInArrow(run, "sig long, kind byte, id binary"))
 
 
 # -- verification ------------------------------------------------------------------------------------
@@ -312,11 +317,13 @@ def links(docs: DataFrame, threshold: int = 2, min_chars: int = 20, block: int =
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     if len(line) >= min_chars:
-                        out[line_id(line)] = line
-            table = pa.table([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.string())], names=["id", "line"])
+                        out.setdefault(line_id(line), line)
+            # Packed, because all lines go through the shuffle that finds the needed ones.
+            packed = [zlib.compress(x.encode(), 1) for x in out.values()]
+            table = pa.table([pa.array(out.keys(), pa.binary()), pa.array(packed, pa.binary())], names=["id", "line"])
             yield from table.to_batches(max_chunksize=4096)
 
-    texts = staged(docs.select("text").mapInArrow(lines, "id binary, line string")
+    texts = staged(docs.select("text").mapInArrow(lines, "id binary, line binary")
                    .join(needed, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "lines")
 
     def verify(batches):
@@ -362,7 +369,7 @@ def _blocks(batches):
                     yield ids, texts, np.array(kinds)
                 key, ids, texts, kinds = (s, i, q), [], [], []
             ids.append(id_)
-            texts.append(line)
+            texts.append(zlib.decompress(line).decode())
             kinds.append(kind)
     if ids:
         yield ids, texts, np.array(kinds)
