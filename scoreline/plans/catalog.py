@@ -31,6 +31,9 @@ RIVAL_VENUES = ("Ground 14", "Ground 99")
 EVENT_SELECT = ["%CLICK%", "%Purchase%"]
 EVENT_COLUMNS = [("click", "%click%"), ("purchase", "%purchase%")]
 ABRUPT_PRIORITY_CHANGE = 3  # priorities run 1..5
+ONE_LEAGUE, ONE_SEASON = "NATION_7", "1996"
+SOME_TEAMS = ("Supplier#000000003", "Supplier#000000014", "Supplier#000000042")
+SOME_CUSTOMERS = ("Customer#000000010", "Customer#000000077")
 
 
 def _refs(good: DataFrame):
@@ -54,6 +57,11 @@ MATCH_REPORTS: dict[str, Callable[[MatchTables, DataFrame], DataFrame]] = {
     "season_standings": lambda mt, good: op.standings(mt.matches, mt.teams, mt.leagues, top=3),
     "gap_to_leader": lambda mt, good: op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2,
                                                        EXCLUDED_SEASONS, EXCLUDED_LEAGUES, 15),
+    "season_standings_row_number": lambda mt, good: op.standings(mt.matches, mt.teams, mt.leagues, top=3,
+                                                                 method="row_number"),
+    "gap_to_leader_all": lambda mt, good: op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2, k=15),
+    "running_standings_selected": lambda mt, good: op.running_standings(
+        mt.matches, mt.teams, mt.leagues, league=ONE_LEAGUE, season=ONE_SEASON, only_teams=SOME_TEAMS),
     "widest_gaps": lambda mt, good: op.gap_to_leader(mt.matches, mt.teams, mt.leagues, 2,
                                                      EXCLUDED_SEASONS, EXCLUDED_LEAGUES, 15,
                                                      widest=True),
@@ -101,7 +109,7 @@ def compare_latest(spark, sf_dir):
                              columns=EVENT_COLUMNS, period="day")
 
 
-def yearly_evolution(spark, sf_dir, abrupt: dict | None = None):
+def yearly_evolution(spark, sf_dir, abrupt: dict | None = None, only=None):
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
     entities = customer.select(F.col("c_custkey").alias("custkey"), "c_name")
@@ -112,13 +120,17 @@ def yearly_evolution(spark, sf_dir, abrupt: dict | None = None):
     return op.yearly_evolution(entities, snapshots, key="custkey", name="c_name",
                                ts="o_orderdate", order_id="o_orderkey",
                                metrics=["price_cents", "priority"], passthrough=["status"],
-                               name_as="customer", abrupt=abrupt)
+                               name_as="customer", abrupt=abrupt, only=only)
 
 
 def abrupt_changes(spark, sf_dir):
     return yearly_evolution(spark, sf_dir, abrupt={"priority": ABRUPT_PRIORITY_CHANGE})
 
 
+def yearly_evolution_selected(spark, sf_dir):
+    return yearly_evolution(spark, sf_dir, only=SOME_CUSTOMERS)
+
+
 def check_unique(spark, sf_dir):
     lineitem = read_table(spark, sf_dir, "lineitem")
     return op.check_unique(lineitem, ["l_orderkey", "l_linenumber"], primary=True)
@@ -155,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{key: _on_driver_tables(key) for key in MATCH_REPORTS if key not in ("drop_orphans", "check_fk")},
     "compare_latest": compare_latest,
     "yearly_evolution": yearly_evolution,
+    "yearly_evolution_selected": yearly_evolution_selected,
     "abrupt_changes": abrupt_changes,
     "drop_orphans": _on_driver_tables("drop_orphans"),
     "check_unique": check_unique,
