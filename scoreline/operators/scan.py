@@ -1,222 +1,80 @@
-"""Ordered scans over groups that may be too big for one task.
+"""Ordered scans whose groups may be larger than any task: one plan for all sizes.
 
 ``SUM(x) OVER (PARTITION BY p ORDER BY o ROWS UNBOUNDED PRECEDING)`` and
-``RANK() OVER (PARTITION BY p ORDER BY v DESC)`` are planned by Spark as one
-sort of each whole partition in one task. When one team (or one round)
-holds a third of all rows, that task holds a third of the data. The two
-operators here give the same results without any task seeing a whole
-oversized group:
-
-* A count per partition key first finds the "heavy" keys (more rows than
-  ``MAX_GROUP_ROWS``). With none — the usual case — the plan is the plain
-  single window. Heavy keys number at most rows / MAX_GROUP_ROWS, so they
-  are broadcast with a proven bound; normal partitions keep the window.
-* ``running_sum`` on a heavy partition: the order is (coarse keys..., id),
-  where the coarse keys have a bounded number of values per partition (a
-  day, a round) and ``id`` is an integer unique within the partition. Rows
-  are cut into blocks (coarse keys, id div BLOCK_IDS) — at most BLOCK_IDS
-  rows each — and summed inside each block. A block's offset is the sum of
-  all earlier blocks of its partition: a running sum again, over the table
-  of block totals, computed by the same function with ids BLOCK_IDS times
-  coarser. Each level divides the id range by BLOCK_IDS, so the recursion
-  ends within a few levels, and no window ever spans more than
-  MAX_GROUP_ROWS rows or one block.
-* ``rank_desc`` on a heavy group ranks by counting: rank = 1 + rows of the
-  group with a greater value (NULL counts as greatest). Rows collapse to a
-  histogram (group, value, count) by partial aggregation, and "rows with a
-  greater value" is a running sum of counts in descending value order —
-  ``running_sum`` again, so a group with very many distinct values is split
-  the same way.
-
-The split path checkpoints its intermediate tables (block totals, the
-value histogram) to the session's shared checkpoint folder, so each level
-is computed once and recomputation after a lost executor starts there.
-
-Possibly-NULL key columns are replaced by non-null pairs
-(``coalesce(k, default)``, ``k IS NULL``) for partitioning and joining, which
-keeps NULL as a group of its own (as a window's PARTITION BY does) while the
-joins stay plain equi-joins on already co-partitioned keys.
+``RANK() OVER (PARTITION BY p ORDER BY v DESC)`` make Spark sort each whole
+group in one task. Here no task sees more of a group than its range:
+
+* ``running_sum`` range-partitions the rows by (group, order columns) and writes
+  them once as Parquet to the shared folder with the number of the range, so a
+  hot group covers many ranges, whatever its order columns are (timestamps
+  included). Totals per (group, range) — at most one row per range and group —
+  give each range its offset; a window inside (group, range) adds the rest.
+* ``rank_desc`` collapses rows to a histogram (group, value, count) by partial
+  aggregation; the rank is 1 + the running count of greater values (NULL counts
+  as greatest), which is ``running_sum`` over the histogram. Any orderable value
+  type works.
+
+The write is the one step done while the query is built, as for the match
+table: it fixes the ranges, so a retried task and both readers see the same ones.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DataType, DateType, IntegralType, NumericType,
-                               StringType, TimestampNTZType, TimestampType)
 
 from scoreline.session import checkpoint_dir
 
-# Ids per block: a block of a heavy partition holds at most this many rows.
-BLOCK_IDS = 1 << 16
 
-# Rows above which one window partition is split. One task sorts this many
-# narrow rows comfortably; at most rows / MAX_GROUP_ROWS keys can exceed it
-# (e.g. < 400k keys for 3e12 rows), so the heavy-key list is small enough to
-# broadcast at any scale.
-MAX_GROUP_ROWS = 1 << 23
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/scan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-# Levels of id coarsening; 64-bit ids need at most 4 at BLOCK_IDS = 2^16.
-_MAX_DEPTH = 8
 
-
-def _default(dtype: DataType) -> Column:
-    if isinstance(dtype, NumericType):
-        return F.lit(0).cast(dtype)
-    if isinstance(dtype, StringType):
-        return F.lit("")
-    if isinstance(dtype, BooleanType):
-        return F.lit(False)
-    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
-        return F.lit("1970-01-01").cast(dtype)
-    raise TypeError(f"unsupported key type {dtype}")
-
-
-def _pair_keys(df: DataFrame, cols: list[str], tag: str) -> tuple[list[Column], list[str]]:
-    """Non-null stand-ins for key columns; returns (expressions, names)."""
-    exprs, names = [], []
-    for i, c in enumerate(cols):
-        dtype = df.schema[c].dataType
-        v, n = f"_{tag}{i}v", f"_{tag}{i}n"
-        exprs += [F.coalesce(F.col(c), _default(dtype)).alias(v), F.col(c).isNull().alias(n)]
-        names += [v, n]
-    return exprs, names
-
-
-def _eq(left_names: list[str], right_names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [F.col(a) == F.col(b) for a, b in zip(left_names, right_names)])
-
-
-def _heavy_keys(df: DataFrame, partition_by: list[str], max_group_rows: int) -> DataFrame:
-    """Partition keys holding more than ``max_group_rows`` rows (map-side combined count)."""
-    sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows")) \
-        .filter(F.col("_rows") > max_group_rows)
-    return sizes.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(partition_by)],
-                        F.lit(True).alias("_heavy"))
-
-
-def _flag_heavy(df: DataFrame, partition_by: list[str], heavy: DataFrame) -> DataFrame:
-    """Add ``_heavy`` (true or NULL) by a broadcast join with the bounded heavy-key list."""
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{i}"))
-                                     for i, c in enumerate(partition_by)])
-    return df.join(F.broadcast(heavy), on, "left") \
-        .drop(*[f"_h{i}" for i in range(len(partition_by))])
-
-
-def _is_heavy() -> Column:
-    return F.coalesce(F.col("_heavy"), F.lit(False))
-
-
-def _order(cols: list[str], nulls_last: bool) -> list[Column]:
-    return [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in cols]
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
 
 
 def running_sum(df: DataFrame, partition_by: list[str], order_by: list[str], value: str,
-                out: str, *, nulls_last: bool = False, max_group_rows: int | None = None,
-                sizes_from: DataFrame | None = None, _depth: int = 0) -> DataFrame:
-    """Add ``out`` = running total of ``value`` (non-NULL) per partition, in order.
-
-    ``order_by`` are column names sorted ascending (NULLs first, or last with
-    ``nulls_last`` — the SQL default); the last one is an integer column
-    unique within a partition, the others are coarse keys with a bounded
-    number of values per partition. The count that looks for heavy
-    partitions scans ``sizes_from`` when given (any frame with the same rows
-    per partition key, cheaper to scan).
-    """
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, limit)
-    if _depth >= _MAX_DEPTH or heavy.isEmpty():
-        return running_sum_plain(df, partition_by, _order(order_by, nulls_last), value, out)
-    id_col = order_by[-1]
-    if not isinstance(df.schema[id_col].dataType, IntegralType):
-        raise TypeError(f"the last order column {id_col!r} must be an integer")
-
-    flagged = _flag_heavy(df, partition_by, heavy)
-    light = running_sum_plain(flagged.filter(~_is_heavy()), partition_by,
-                              _order(order_by, nulls_last), value, out)
-
-    # Heavy partitions: blocks of at most BLOCK_IDS ids within (partition, coarse keys).
-    blk = f"_blk{_depth}"
-    heavy_rows = flagged.filter(_is_heavy()) \
-        .withColumn(blk, F.call_function("div", F.col(id_col), F.lit(BLOCK_IDS)))
-    block_cols = list(partition_by) + list(order_by[:-1]) + [blk]
-    key_exprs, keys = _pair_keys(heavy_rows, block_cols, f"k{_depth}_")
-    t = heavy_rows.select("*", *key_exprs)
-    inside = Window.partitionBy(*keys).orderBy(*_order(order_by, nulls_last)) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = t.withColumn("_loc", F.sum(value).over(inside))
-
-    # Offsets: running sum over the block totals (one row per block), recursively.
-    # The totals are checkpointed to the shared folder: computed once, read
-    # back by the next level with a short lineage.
-    checkpoint_dir(df.sparkSession)
-    totals = heavy_rows.groupBy(*block_cols).agg(F.sum(value).alias("_bsum")).checkpoint(eager=True)
-    incl = running_sum(totals, list(partition_by), list(order_by[:-1]) + [blk], "_bsum", "_incl",
-                       nulls_last=nulls_last, max_group_rows=limit, _depth=_depth + 1)
-    o_exprs, o_keys = _pair_keys(incl, block_cols, f"o{_depth}_")
-    offsets = incl.select(*o_exprs, (F.col("_incl") - F.col("_bsum")).alias("_off"))
-    joined = local.join(offsets, _eq(keys, o_keys))
-    heavy_out = (joined.withColumn(out, F.col("_off") + F.col("_loc"))
-                 .drop("_loc", "_off", blk, *keys, *o_keys))
-    return light.unionByName(heavy_out).drop("_heavy")
-
-
-def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str,
-              max_group_rows: int | None = None, sizes_from: DataFrame | None = None) -> DataFrame:
-    """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST).
-
-    As in ``running_sum``, a count job first looks for groups above
-    ``max_group_rows`` rows; without any, this is one window. Heavy groups
-    (``value`` must then be an integer) are ranked by counting from a
-    histogram of (group, value); see the module notes.
+                out: str, *, nulls_last: bool = False, descending: bool = False) -> DataFrame:
+    """Add ``out`` = running total of ``value`` (non-NULL) per group, in order.
+
+    ``order_by`` are columns of any orderable type that order a group's rows
+    totally (of rows that tie in all of them, either may come first): ascending,
+    NULLs first, or last with ``nulls_last``; ``descending`` reverses it, NULLs
+    first. An empty table gives no rows.
     """
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    heavy = _heavy_keys(sizes_from if sizes_from is not None else df, partition_by, limit)
-    if heavy.isEmpty():
-        return rank_desc_plain(df, partition_by, value, out)
-    if not isinstance(df.schema[value].dataType, IntegralType):
-        raise TypeError(f"ranking a heavy group needs an integer value, not {value!r}")
-
-    flagged = _flag_heavy(df, partition_by, heavy)
-    light = rank_desc_plain(flagged.filter(~_is_heavy()), partition_by, value, out)
-
-    h = flagged.filter(_is_heavy())
-    checkpoint_dir(df.sparkSession)
-    hist = h.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
-    n_null = hist.filter(F.col(value).isNull()) \
-        .select(*[F.col(c).alias(f"_z{i}") for i, c in enumerate(partition_by)],
-                F.col("_n").alias("_nulls"))
-    # Greater values first = ascending order of the negated value.
-    valued = hist.filter(F.col(value).isNotNull()).withColumn("_neg", -F.col(value))
-    greater = running_sum(valued, list(partition_by), ["_neg"], "_n", "_incl", max_group_rows=limit)
-    on_group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_z{i}"))
-                                          for i, c in enumerate(partition_by)])
-    ranks = (greater.join(n_null, on_group, "left")
-             .select(*partition_by, value,
-                     (F.col("_incl") - F.col("_n") + F.coalesce(F.col("_nulls"), F.lit(0)) + 1)
-                     .alias(out))
-             .unionByName(hist.filter(F.col(value).isNull())
-                          .select(*partition_by, value, F.lit(1).cast("long").alias(out))))
-    key_exprs, keys = _pair_keys(h, list(partition_by) + [value], "r")
-    r_exprs, r_keys = _pair_keys(ranks, list(partition_by) + [value], "q")
-    heavy_out = (h.select("*", *key_exprs)
-                 .join(ranks.select(*r_exprs, out), _eq(keys, r_keys))
-                 .drop(*keys, *r_keys))
-    return light.unionByName(heavy_out).drop("_heavy")
-
-
-def running_sum_plain(df: DataFrame, partition_by: list[str], order_by: list[Column | str],
-                      value: str, out: str) -> DataFrame:
-    """The single-window form of ``running_sum`` (for small groups and tests)."""
-    w = Window.partitionBy(*partition_by).orderBy(*order_by) \
+    def key(c: str) -> Column:
+        if descending:
+            return F.col(c).desc_nulls_first()
+        return F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first()
+    order = [key(c) for c in order_by]
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in partition_by], *order)
+    t = _written(ranged.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(partition_by))]).orderBy("_r") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    totals = (t.groupBy(*partition_by, "_range").agg(F.sum(value).alias("_total"))
+              .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_by)], F.col("_range").alias("_r"), "_total")
+              .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total"))
+    inside = Window.partitionBy(*partition_by, "_range").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(value).over(w))
-
-
-def rank_desc_plain(df: DataFrame, partition_by: list[str], value: str, out: str) -> DataFrame:
-    """The single-window form of ``rank_desc`` (for small groups and tests)."""
-    w = Window.partitionBy(*partition_by).orderBy(F.col(value).desc_nulls_first())
-    return df.withColumn(out, F.rank().over(w).cast("long"))
+    on = _same([(c, f"_g{i}") for i, c in enumerate(partition_by)]) & (F.col("_range") == F.col("_r"))
+    return (t.withColumn("_inside", F.sum(value).over(inside)).join(totals, on)
+            .withColumn(out, F.col("_offset") + F.col("_inside"))
+            .drop("_range", "_r", "_offset", "_inside", *[f"_g{i}" for i in range(len(partition_by))]))
+
+
+def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out`` = RANK() OVER (PARTITION BY partition_by ORDER BY value DESC NULLS FIRST)."""
+    keys = [*partition_by, value]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    places = running_sum(counts, partition_by, [value], "_n", "_upto", descending=True)
+    places = places.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                           (F.col("_upto") - F.col("_n") + 1).cast("long").alias(out))
+    return df.join(places, _same([(c, f"_k{i}") for i, c in enumerate(keys)])) \
+        .drop(*[f"_k{i}" for i in range(len(keys))])

@@ -1,9 +1,9 @@
-"""Blocked running sums and histogram ranks equal the single-window forms,
-also with one hot group holding a large share of the rows."""
+"""Ranged running sums and histogram ranks equal single windows, for hot groups and any order type."""
 
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreline.operators import scan
@@ -15,58 +15,60 @@ def skewed(spark):
     rows = []
     for i in range(3000):
         g = 0 if i % 3 == 0 else rnd.randint(1, 40)          # group 0 holds a third
-        day = rnd.randint(1, 50)
-        rows.append((i, g, day, rnd.choice([0, 1, 1, 3]), rnd.choice([None, 1, 2, 2, 5])))
+        rows.append((i, g, rnd.randint(1, 50), rnd.choice([0, 1, 1, 3]), rnd.choice([None, 1, 2, 2, 5])))
     rows.append((3000, None, 1, 1, 2))                          # a NULL group
     rows += [(3001, 0, None, 2, 1), (3002, 0, None, 1, None), (None, 0, 7, 1, 2)]  # NULL order keys
     return spark.createDataFrame(rows, "id long, g long, day int, v int, score int")
 
 
-@pytest.mark.parametrize("max_rows", [5, 1 << 23])
-@pytest.mark.parametrize("nulls_last", [False, True])
-def test_running_sum_matches_window(skewed, max_rows, nulls_last, monkeypatch):
-    monkeypatch.setattr(scan, "BLOCK_IDS", 16)
-    a = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", max_group_rows=max_rows,
-                         nulls_last=nulls_last)
-    order = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first()
-             for c in ("day", "id")]
-    b = scan.running_sum_plain(skewed, ["g"], order, "v", "run")
-    cols = ["id", "g", "run"]
+def _same(a, b, cols):
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
-    assert a.count() == b.count() == 3004
+    assert a.count() == b.count()
 
 
-def test_sparse_ids_recurse_into_coarser_blocks(spark, monkeypatch):
-    # One hot group whose ids are far apart: first-level blocks hold one row
-    # each, so the block totals are themselves heavy and split again.
-    monkeypatch.setattr(scan, "BLOCK_IDS", 4)
-    rows = [(i * 1000 + 7, 0, i % 3, 1 + i % 2) for i in range(400)] + \
-           [(i * 1000 + 9, 1, 0, 1) for i in range(5)]
-    df = spark.createDataFrame(rows, "id long, g long, day int, v int")
-    a = scan.running_sum(df, ["g"], ["day", "id"], "v", "run", max_group_rows=10)
-    b = scan.running_sum_plain(df, ["g"], ["day", "id"], "v", "run")
-    assert a.select("id", "run").exceptAll(b.select("id", "run")).count() == 0
-    assert a.count() == 405
+@pytest.mark.parametrize("nulls_last", [False, True])
+def test_running_sum_matches_window(skewed, nulls_last):
+    a = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", nulls_last=nulls_last)
+    order = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in ("day", "id")]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    _same(a, skewed.withColumn("run", F.sum("v").over(w)), ["id", "g", "run"])
+    assert scan.running_sum(skewed.limit(0), ["g"], ["day", "id"], "v", "run").count() == 0
 
 
-@pytest.mark.parametrize("max_rows", [2, 1 << 23])
-def test_rank_matches_window_with_nulls_and_ties(skewed, max_rows, monkeypatch):
-    monkeypatch.setattr(scan, "BLOCK_IDS", 2)
-    a = scan.rank_desc(skewed, ["g"], "score", "r", max_group_rows=max_rows)
-    b = scan.rank_desc_plain(skewed, ["g"], "score", "r")
-    cols = ["id", "g", "r"]
-    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
-    assert a.count() == 3004
+def test_hot_group_with_distinct_timestamps_is_split(spark):
+    """A group whose order key is a timestamp, distinct in every row, covers several ranges."""
+    df = spark.range(4000).selectExpr("0L AS g", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, 0, id) AS at", "1L AS v",
+                                      "cast(id AS string) AS id")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        written = []
+        plain, scan._written = scan._written, lambda d: written.append(plain(d)) or written[-1]
+        got = scan.running_sum(df, ["g"], ["at", "id"], "v", "run")
+        scan._written = plain
+        sizes = [r["count"] for r in written[0].groupBy("g", "_range").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1500  # 4 shuffle partitions in tests
+        assert [r.run for r in got.orderBy("at").collect()] == list(range(1, 4001))
+    finally:
+        scan._written = plain
+        spark.conf.set(conf, "true")
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "string"])
+def test_rank_matches_window_with_nulls_and_ties(skewed, kind):
+    df = skewed.withColumn("score", F.col("score").cast(kind))
+    a = scan.rank_desc(df, ["g"], "score", "r")
+    w = Window.partitionBy("g").orderBy(F.col("score").desc_nulls_first())
+    _same(a, df.withColumn("r", F.rank().over(w).cast("long")), ["id", "g", "r"])
 
 
-def test_result_does_not_depend_on_partition_count(spark, skewed, monkeypatch):
-    monkeypatch.setattr(scan, "BLOCK_IDS", 16)
+def test_result_does_not_depend_on_partition_count(spark, skewed):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         out = []
         for n in ("1", "7"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            df = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run", max_group_rows=50)
+            df = scan.running_sum(skewed, ["g"], ["day", "id"], "v", "run")
             out.append(sorted(((r.id is None, r.id or 0), r.run) for r in df.collect()))
         assert out[0] == out[1]
     finally:

@@ -6,7 +6,6 @@ import pytest
 
 from conftest import SF01
 from scoreline import operators as op
-from scoreline.operators.streaks import runs_single_window
 from scoreline.sources import match_tables
 
 TEAMS = {1: "One", 2: "Two", 3: "Three"}
@@ -60,11 +59,24 @@ def test_streaks_report_columns_and_days(fx):
 
 
 @pytest.mark.parametrize("kind", ["win", "unbeaten"])
-def test_break_count_equals_dual_row_numbers(spark, kind):
+def test_runs_equal_a_walk_through_each_teams_matches(spark, kind):
     m = match_tables(spark, SF01).matches
-    a, b = op.runs(m, kind).drop("island"), runs_single_window(m, kind).drop("island")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert a.count() > 1000
+    sides = []
+    for r in m.collect():
+        for team, gf, ga in ((r.home_team_api_id, r.home_team_goal, r.away_team_goal),
+                             (r.away_team_api_id, r.away_team_goal, r.home_team_goal)):
+            sides.append((team, r.date, r.id, r.league_id, gf > ga if kind == "win" else gf >= ga))
+    want, run, last = {}, 0, None
+    for team, date, _, league, good in sorted(sides):
+        if not good or team != last:
+            run += 1
+        last = team
+        if good:
+            start, end, n = want.get((team, run, league), (date, date, 0))
+            want[team, run, league] = (min(start, date), max(end, date), n + 1)
+    got = sorted((r.team_api_id, r.league_id, r.start_date, r.end_date, r.length) for r in op.runs(m, kind).collect())
+    assert got == sorted((t, lg, a.date(), b.date(), n) for (t, _, lg), (a, b, n) in want.items())
+    assert len(got) > 1000
 
 
 @pytest.mark.parametrize("kind", ["win", "unbeaten"])
