@@ -34,6 +34,16 @@ def half_up(n, d, digits: int) -> Column:
     return F.when(d > 0, signed / F.lit(k))
 
 
+def half_up_wide(n: Column, d: Column, digits: int) -> Column:
+    """``half_up`` for whole decimals of up to about 34 digits."""
+    wide = "decimal(38,0)"
+    k = 10 ** digits
+    q = F.call_function("div", (F.lit(2 * k).cast(wide) * F.abs(n).cast(wide) + d.cast(wide)).cast(wide),
+                        (F.lit(2).cast(wide) * d.cast(wide)).cast(wide))
+    signed = F.when(n < 0, -q).otherwise(q)
+    return F.when(d > 0, signed / F.lit(k))
+
+
 def pct(part, total, digits: int = 1) -> Column:
     """100 * part / total, rounded half up."""
     return half_up(F.lit(100) * _col(part).cast("long"), total, digits)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import avg_rounded, mean, pct, result, sql_asc
 from scoreline.functions.outcomes import LOSS, WIN, DRAW
-from scoreline.functions.rounding import half_up
+from scoreline.functions.rounding import half_up, half_up_wide
 from scoreline.operators.reshape import to_participants
 
 
@@ -103,18 +103,20 @@ def home_advantage(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     the number of leagues the team played in — a small domain constant, not
     a function of the number of matches; the top-k then keeps k rows.
     """
-    h, a = F.col("home_team_goal"), F.col("away_team_goal")
-    home = (matches.groupBy(F.col("home_team_api_id").alias("team_api_id"), "league_id")
-            .agg(F.count(F.lit(1)).alias("home_matches"), F.count_if(h > a).alias("home_wins"))
-            .filter(F.col("home_matches") >= min_home))
-    away = (matches.groupBy(F.col("away_team_api_id").alias("_a_team"),
-                            F.col("league_id").alias("_a_league"))
-            .agg(F.count(F.lit(1)).alias("away_matches"), F.count_if(a > h).alias("away_wins")))
+    won = F.col("gf") > F.col("ga")
+    record = (to_participants(matches, keep=("league_id",)).groupBy("team_api_id", "league_id")
+              .agg(F.count_if(F.col("is_home")).alias("home_matches"), F.count_if(F.col("is_home") & won).alias("home_wins"),
+                   F.count_if(~F.col("is_home")).alias("away_matches"), F.count_if(~F.col("is_home") & won).alias("away_wins")))
+    home = record.select("team_api_id", "league_id", "home_matches", "home_wins").filter(F.col("home_matches") >= min_home)
+    away = (record.filter(F.col("away_matches") > 0)
+            .select(F.col("team_api_id").alias("_a_team"), F.col("league_id").alias("_a_league"), "away_matches", "away_wins"))
     on = F.col("team_api_id") == F.col("_a_team")
     if same_league:
         on = on & (F.col("league_id") == F.col("_a_league"))
     hm, hw, am, aw = (F.col(c) for c in ("home_matches", "home_wins", "away_matches", "away_wins"))
-    gap = half_up(F.lit(100) * (hw * am - aw * hm), hm * am, 1)
+    hm_, hw_, am_, aw_ = (c.cast("decimal(19,0)") for c in (hm, hw, am, aw))
+    # Products of two counts leave 64 bits at large sizes, so the gap is exact in 38 digits.
+    gap = half_up_wide(F.lit(100).cast("decimal(3,0)") * (hw_ * am_ - aw_ * hm_), hm_ * am_, 1)
     return (
         _names(home.join(away, on), teams, leagues)
         .select("team", "league", "home_matches", "home_wins",

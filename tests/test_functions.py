@@ -61,3 +61,16 @@ def test_sized_conf_scales_with_input():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20) + 1
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+@pytest.mark.parametrize("n", [150_000_000, 10**10])
+def test_rate_gap_is_exact_beyond_64_bits(spark, n):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from scoreline.functions.rounding import half_up_wide
+    hm, hw, am, aw = n, n // 3 + 7, n - 11, n // 5
+    d = lambda x: F.lit(x).cast("decimal(19,0)")
+    gap = half_up_wide(F.lit(100).cast("decimal(3,0)") * (d(hw) * d(am) - d(aw) * d(hm)), d(hm) * d(am), 1)
+    got = spark.range(1).select(gap.alias("g")).first().g
+    want = Decimal(100 * (hw * am - aw * hm)) / Decimal(hm * am)
+    assert got == float(want.quantize(Decimal("0.1"), ROUND_HALF_UP))
