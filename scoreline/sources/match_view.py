@@ -28,6 +28,7 @@ from __future__ import annotations
 import threading
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +62,6 @@ class MatchTables:
     countries: DataFrame  # id, name
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    # Nation (25 rows) and region (5 rows) are fixed-size in every scale factor.
-    return F.broadcast(df)
-
-
 def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match rows as a lazy plan over line items, orders, customers, nations."""
     lineitem = read_table(spark, sf_dir, "lineitem")
@@ -88,7 +84,7 @@ def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer.select("c_custkey", "c_nationkey"),
               F.col("o_custkey") == F.col("c_custkey"))
-        .join(_bounded(nation.select("n_nationkey", "n_regionkey")),
+        .join(nation.select("n_nationkey", "n_regionkey"),
               F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("o_orderkey").alias("id"),
@@ -106,13 +102,26 @@ def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    """Does ``path`` hold a completed Spark write (its ``_SUCCESS`` marker)?"""
+SOURCES = ("lineitem", "orders", "customer", "nation")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files that the match table is derived from, as one digest."""
+    files = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{t}.parquet")
+             .select("path", "length", "modificationTime") for t in SOURCES]
+    digests = reduce(DataFrame.union, files).select(F.sha2(F.concat_ws("|", "path", "length", "modificationTime"), 256).alias("d"))
+    # Sum of 15 hex digits of every file's digest: independent of the order, one row whatever their number.
+    row = digests.agg(F.count("*"), F.sum(F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)"))).first()
+    return f"{row[0]}-{row[1]}"
+
+
+def _committed(spark: SparkSession, path: str) -> str | None:
+    """The source state noted beside a completed write of ``path``; None if there is none."""
     try:
         spark.read.text(f"{path.rstrip('/')}/_SUCCESS").limit(1).collect()
-        return True
+        return spark.read.text(f"{path.rstrip('/')}.source").first()[0]
     except AnalysisException:
-        return False
+        return None
 
 
 def _write_matches(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -141,21 +150,27 @@ def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     task.
 
     With ``path`` (a persistent shared location chosen by the caller), the
-    table is written there once and reused by later applications as long
-    as that write completed; keeping it in step with the source tables is
-    then the caller's job (write a new path when they change).
+    table is written there once and reused by later applications while the
+    source files are the ones it was derived from; a note beside it says so.
+    Other or changed sources raise: the table is never served for them and
+    never overwritten under its readers.
     """
-    with _WRITE_LOCK:
-        if path is not None:
-            if not _committed(spark, path):
-                _write_matches(spark, sf_dir, path)
-        else:
-            key = (spark.sparkContext.applicationId, sf_dir)
-            path = _WRITTEN.get(key)
-            if path is None:
-                path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
-                _write_matches(spark, sf_dir, path)
-                _WRITTEN[key] = path
+    state = source_state(spark, sf_dir)
+    if path is not None:
+        noted = _committed(spark, path)
+        if noted is None:
+            _write_matches(spark, sf_dir, path)
+            spark.createDataFrame([(state,)], "s string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.source")
+        elif noted != state:
+            raise ValueError(f"{path} was written from other source files; choose a new path")
+    else:
+        key = (spark.sparkContext.applicationId, sf_dir, state)
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/matches-{uuid.uuid4().hex}"
+            _write_matches(spark, sf_dir, path)
+            with _WRITE_LOCK:  # two threads may both have written; the first one's table is kept
+                path = _WRITTEN.setdefault(key, path)
     # The declared schema keeps the partition column ``season`` a string.
     return spark.read.schema(MATCH_SCHEMA).parquet(path).select(*MATCH_COLUMNS)
 
@@ -168,11 +183,9 @@ def match_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Match
     region = read_table(spark, sf_dir, "region")
     teams = supplier.select(F.col("s_suppkey").alias("team_api_id"),
                             F.col("s_name").alias("team_long_name"))
-    leagues = _bounded(nation.select(F.col("n_nationkey").alias("id"),
-                                     F.col("n_regionkey").alias("country_id"),
-                                     F.col("n_name").alias("name")))
-    countries = _bounded(region.select(F.col("r_regionkey").alias("id"),
-                                       F.col("r_name").alias("name")))
+    leagues = nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("country_id"),
+                            F.col("n_name").alias("name"))
+    countries = region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     return MatchTables(matches, teams, leagues, countries)
 
 

@@ -70,3 +70,14 @@ def test_persistent_match_table_is_written_once(spark):
     second = stored_matches(spark, SF001, path=path)            # reused, not rewritten
     assert os.stat(marker).st_mtime_ns == stamp
     assert first.count() == second.count() == EXPECTED[SF001][0]
+
+
+def test_a_stored_path_serves_its_own_sources_only(spark, tmp_path):
+    import pytest
+
+    from scoreline.sources.match_view import stored_matches
+    path = str(tmp_path / "matches")
+    small = stored_matches(spark, "/root/testdata/sf0.001", path=path).count()
+    assert stored_matches(spark, "/root/testdata/sf0.001", path=path).count() == small
+    with pytest.raises(ValueError, match="other source files"):
+        stored_matches(spark, "/root/testdata/sf0.01", path=path)
