@@ -25,6 +25,7 @@ from pyspark.sql.types import StringType, StructType
 HEAD = struct.Struct("<8sQQQ")  # magic, rules, shapes, bytes of strings
 MAGIC = b"urlrule1"
 _OPEN: dict = {}
+_SHIPPED: set = set()
 
 
 def digest_bytes(rules) -> bytes:
@@ -119,13 +120,19 @@ def match(rules: DigestArray, hosts: list[str], paths: list[str]) -> np.ndarray:
 
 
 def ship(spark: SparkSession, rules) -> str:
-    """Write the rule file on the driver and have Spark copy it to every executor; returns its name there."""
+    """Write the rule file on the driver and have Spark copy it to every executor; returns its name there.
+
+    An application registers a file name once, so the same rules are shipped once.
+    """
     data = digest_bytes(rules)
     name = f"urlrules-{xxhash.xxh3_128_hexdigest(data)}.bin"
+    if (spark.sparkContext.applicationId, name) in _SHIPPED:
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="urlrules-"), name)
     with open(path, "wb") as f:
         f.write(data)
     spark.sparkContext.addFile(path)  # executors fetch it from the driver, no folder is shared
+    _SHIPPED.add((spark.sparkContext.applicationId, name))
     return name
 
 

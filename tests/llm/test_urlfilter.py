@@ -47,3 +47,9 @@ def test_operator_edges(spark):
                                        (1, "http://A.net/x", "a.net", "/x", "net/", "block")]
     assert uf.filter_urls(df.limit(0), []).count() == 0
     assert [r.verdict for r in uf.filter_urls(df, []).collect()] == ["allow"] * 3
+
+
+def test_the_same_rules_again(spark):
+    df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    for _ in range(2):
+        assert uf.filter_urls(df, [("net/", "block")]).first().verdict == "block"
