@@ -14,9 +14,13 @@ def _pair(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str) -> Dat
     home = teams.select(F.col("team_api_id").alias("_h_id"), F.col("team_long_name").alias("home_team"))
     away = teams.select(F.col("team_api_id").alias("_a_id"), F.col("team_long_name").alias("away_team"))
     h, a = F.col("home_team"), F.col("away_team")
-    # The OR below is split by Catalyst into "name IN (a, b)" on each team
-    # side, so both dimension scans are filtered to the two names first.
-    return (matches.join(home, F.col("home_team_api_id") == F.col("_h_id"))
+    # The ids of the two names are one scalar row; with them the scan of the
+    # matches is filtered on both sides before any exchange or join.
+    ids = (teams.filter(F.col("team_long_name").isin(team_a, team_b))
+           .select(F.collect_set("team_api_id")).scalar())
+    met = matches.filter(F.array_contains(ids, F.col("home_team_api_id"))
+                         & F.array_contains(ids, F.col("away_team_api_id")))
+    return (met.join(home, F.col("home_team_api_id") == F.col("_h_id"))
             .join(away, F.col("away_team_api_id") == F.col("_a_id"))
             .filter(((h == team_a) & (a == team_b)) | ((h == team_b) & (a == team_a))))
 

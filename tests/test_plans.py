@@ -46,3 +46,17 @@ def test_exclusions_prune_before_the_window(spark):
     assert "PartitionFilters: [isnotnull(season" in plan or "NOT (season" in plan
     assert re.search(r"PartitionFilters: \[[^\]]*NOT \(season#\d+ = 2001\)", plan)
     assert "Not(EqualTo(n_name,NATION_24))" in plan
+
+
+def test_head_to_head_filters_the_matches_before_any_exchange(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_text(entry_mod.queries()["head_to_head"](spark, SF001), "simple").split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One filter holds both id conditions, below every exchange of the matches.
+    both = [i for i, line in enumerate(lines) if re.search(r"Filter .*array_contains.*array_contains", line)]
+    assert both and "home_team_api_id" in lines[both[0]] and "away_team_api_id" in lines[both[0]], lines
+    moved = [i for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\((home|away)_team_api_id", line)]
+    assert moved and max(moved) < both[0], lines
