@@ -25,7 +25,7 @@ def live_season_table(matches: DataFrame) -> DataFrame:
     return season_table(matches)
 
 
-def start_live_table(matches: DataFrame, name: str, sink: str = "memory",
+def start_live_table(matches: DataFrame, name: str, sink: str = "table",
                      output_mode: str = "complete", path: str | None = None,
                      checkpoint: str | None = None) -> StreamingQuery:
     """Start maintaining the season table.
@@ -34,8 +34,8 @@ def start_live_table(matches: DataFrame, name: str, sink: str = "memory",
     session's shared checkpoint folder), so a restarted query — after a lost
     executor or driver — resumes from the last committed batch.
 
-    ``sink="memory"`` keeps the table in memory as ``name`` (tests, notebooks);
-    ``sink="table"`` rewrites the whole current table to ``path`` as Parquet
+    ``sink="memory"`` keeps the whole table in the driver as ``name`` (tests,
+    notebooks); ``sink="table"`` (the default, needs ``path``) rewrites the whole current table to ``path`` as Parquet
     after every batch (complete output, overwrite: replaying a batch gives the
     same files); any other value is a Structured Streaming format.
     """

@@ -22,7 +22,7 @@ def test_stream_keeps_the_season_table(spark):
     derive_matches(spark, SF001).repartition(4).write.mode("overwrite").parquet(folder)
     stream = match_stream(spark, folder, max_files_per_trigger=1)
     assert stream.isStreaming and live_season_table(stream).isStreaming
-    q = start_live_table(stream, "live_table_test")
+    q = start_live_table(stream, "live_table_test", sink="memory")
     try:
         q.processAllAvailable()
         live = spark.table("live_table_test")
