@@ -53,6 +53,17 @@ def tables(spark):
     return read_football(spark, folder, fmt="csv", options={"header": "true"})
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
+def test_other_formats_read_the_same(spark, tables, tmp_path, fmt):
+    for name in SCHEMAS:
+        getattr(tables, name).write.format(fmt).save(f"{tmp_path}/{name}")
+    other = read_football(spark, str(tmp_path), fmt=fmt)
+    for name in SCHEMAS:
+        want, got = getattr(tables, name), getattr(other, name)
+        assert got.schema == want.schema, name
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
+
+
 def test_every_report_runs(tables):
     for name, report in REPORTS.items():
         assert report(tables).collect() is not None, name
