@@ -11,6 +11,7 @@ one pair), never a way to shrink the input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,24 +137,37 @@ def check_unique(spark, sf_dir):
     return op.check_unique(lineitem, ["l_orderkey", "l_linenumber"], primary=True)
 
 
+def _customers_in_good_standing(customer: DataFrame) -> DataFrame:
+    """Customers with a non-negative balance: the parent table of the single-key clean-up."""
+    return customer.filter(F.col("c_acctbal") >= 0)
+
+
+def drop_orphans_single(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    good = _customers_in_good_standing(read_table(spark, sf_dir, "customer"))
+    return op.drop_orphans(orders, [("o_custkey", good, "c_custkey")])
+
+
 def integrity_report(spark, sf_dir):
     mt = match_tables(spark, sf_dir)
     good = teams_in_good_standing(spark, sf_dir)
-    refs = _refs(good)
-    # The cleaned table is committed before the constraints are checked on
-    # it: a reliable checkpoint in the shared folder, so the five checks
-    # that read it neither re-run the clean-up nor depend on its lineage.
-    checkpoint_dir(spark)
-    kept = op.drop_orphans(mt.matches, refs).checkpoint(eager=True)
+    # The cleaned table is written to the shared folder before the constraints
+    # are checked on it: the checks that read it prune its columns and neither
+    # re-run the clean-up nor depend on its lineage.
+    cleaned = op.drop_orphans(mt.matches, _refs(good))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/cleaned-{uuid.uuid4().hex}"
+    cleaned.write.parquet(path)
+    kept = spark.read.schema(cleaned.schema).parquet(path)
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
+    kept_orders = op.drop_orphans(orders, [("o_custkey", _customers_in_good_standing(customer), "c_custkey")])
     return op.integrity_report(
-        clean=[("match orphans", mt.matches, kept)],
-        primary_keys=[("match.id", kept, ["id"]), ("team.team_api_id", good, ["team_api_id"]),
+        clean=[("match orphans", mt.matches, kept), ("orders orphans", orders, kept_orders)],
+        primary_keys=[("match.id", kept, ["id"]), ("team.team_api_id", mt.teams, ["team_api_id"]),
                       ("league.id", mt.leagues, ["id"]), ("country.id", mt.countries, ["id"]),
                       ("customer.c_custkey", customer, ["c_custkey"]),
                       ("orders.o_orderkey", orders, ["o_orderkey"])],
-        unique_keys=[("team.team_long_name", good, ["team_long_name"]),
+        unique_keys=[("team.team_long_name", mt.teams, ["team_long_name"]),
                      ("customer.c_name", customer, ["c_name"])],
         foreign_keys=[("fk_match_home_team", kept, "home_team_api_id", good, "team_api_id"),
                       ("fk_match_away_team", kept, "away_team_api_id", good, "team_api_id"),
@@ -170,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "yearly_evolution_selected": yearly_evolution_selected,
     "abrupt_changes": abrupt_changes,
     "drop_orphans": _on_driver_tables("drop_orphans"),
+    "drop_orphans_single": drop_orphans_single,
     "check_unique": check_unique,
     "check_fk": _on_driver_tables("check_fk"),
     "integrity_report": integrity_report,
