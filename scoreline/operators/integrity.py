@@ -18,7 +18,13 @@ A rewrite as ``NOT (fk NOT IN ...)`` would drop the NULL-key rows, and the
 OR of two NOT IN subqueries plans as nested-loop existence joins. Here each
 key is one equi-join against the distinct non-NULL parent keys (a hash or
 sort-merge join, broadcast only when AQE measures the key set small), and
-the parent's row count and NULL count are scalar subqueries evaluated once.
+the parent's row count and NULL count are one scalar subquery.
+
+Constraint checks share one plan: every table is read once, each of its rows
+becomes one (constraint, key) row per constraint, parents add their keys with
+a mark, and a single partial aggregation per key type counts child rows and
+finds the mark. No check needs a join, and a key held by a third of the rows
+leaves each map task as one row.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def drop_orphans(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -37,11 +44,11 @@ def drop_orphans(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]]) -
     for i, (fk, parent, pk) in enumerate(refs):
         keys = (parent.select(F.col(pk).alias(f"_pk{i}")).filter(F.col(f"_pk{i}").isNotNull())
                 .distinct().withColumn(f"_hit{i}", F.lit(True)))
-        parent_rows = parent.select(F.count(F.lit(1))).scalar()
-        parent_nulls = parent.select(F.count_if(F.col(pk).isNull())).scalar()
+        rows = parent.select(F.struct(F.count(F.lit(1)).alias("n"),
+                                      F.count_if(F.col(pk).isNull()).alias("nulls"))).scalar()
         out = out.join(keys, F.col(fk) == F.col(f"_pk{i}"), "left")
-        safe.append((parent_rows > 0) &
-                    (F.col(fk).isNull() | F.col(f"_hit{i}").isNotNull() | (parent_nulls > 0)))
+        safe.append((rows.getField("n") > 0) &
+                    (F.col(fk).isNull() | F.col(f"_hit{i}").isNotNull() | (rows.getField("nulls") > 0)))
     keep = reduce(lambda a, b: a & b, safe)
     helpers = [c for i in range(len(refs)) for c in (f"_pk{i}", f"_hit{i}")]
     return out.filter(keep).drop(*helpers)
@@ -61,27 +68,62 @@ def check_unique(df: DataFrame, cols: Sequence[str], primary: bool = True) -> Da
     return counted.filter((F.col("n") > 1) & ~any_null)
 
 
+def _key_types(df: DataFrame, cols: Sequence[str]) -> tuple[str, ...]:
+    """Types of a key's columns; all integer types count as bigint."""
+    types = [df.schema[c].dataType for c in cols]
+    return tuple("bigint" if isinstance(t, IntegralType) else t.simpleString() for t in types)
+
+
+def _key_counts(entries: Sequence[tuple[int, DataFrame, Sequence[str], bool]],
+                types: tuple[str, ...]) -> DataFrame:
+    """(tag, k0.., n, has_parent) per tag and key from ``entries`` = (tag, table, key columns, is_parent).
+
+    ``n`` counts the child rows. Each table is read once, however many entries name
+    it; an entry without key columns counts rows under a NULL key.
+    """
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for tag, df, cols, is_parent in entries:
+        values = [F.col(c) for c in cols] or [F.lit(None)] * len(types)
+        keys = [v.cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, types))]
+        row = F.struct(F.lit(tag).alias("tag"), F.lit(is_parent).alias("is_parent"), *keys)
+        tables.setdefault(id(df), (df, []))[1].append(row)
+    tagged = reduce(DataFrame.union, [df.select(F.inline(F.array(*rows))) for df, rows in tables.values()])
+    return (tagged.groupBy("tag", *[f"k{i}" for i in range(len(types))])
+            .agg(F.count_if(~F.col("is_parent")).alias("n"), F.max("is_parent").alias("has_parent")))
+
+
+def _foreign_entries(tag: int, name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str):
+    """Key types and the two entries of a foreign key; types that differ raise, as in DDL."""
+    types = _key_types(child, [fk])
+    if types != _key_types(parent, [pk]):
+        raise TypeError(f"{name}: {fk} and {pk} have different types")
+    return types, [(tag, child, [fk], False), (tag, parent, [pk], True)]
+
+
+def _orphaned() -> Column:
+    return (F.col("n") > 0) & ~F.col("has_parent") & F.col("k0").isNotNull()
+
+
 def check_fk(child: DataFrame, fk: str, parent: DataFrame, pk: str,
              constraint: str | None = None) -> DataFrame:
     """Foreign-key values of ``child`` with no parent: (constraint_name, fk_value, n_rows).
 
-    A NULL foreign key passes. Child keys are counted first (pre-aggregated
-    map-side, so a key held by a third of the rows is one row per map task),
-    then anti-joined with the parent's distinct keys.
+    A NULL foreign key passes, and a NULL parent key matches nothing.
     """
-    name = constraint or f"{fk} -> {pk}"
-    counted = (child.filter(F.col(fk).isNotNull())
-               .groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("n_rows")))
-    parents = parent.select(F.col(pk).alias("_pk")).filter(F.col("_pk").isNotNull()).distinct()
-    return (counted.join(parents, F.col("_fk") == F.col("_pk"), "left_anti")
-            .select(F.lit(name).alias("constraint_name"), F.col("_fk").cast("string").alias("fk_value"),
-                    "n_rows"))
+    return check_fks([(constraint or f"{fk} -> {pk}", child, fk, parent, pk)])
 
 
 def check_fks(checks: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """Several foreign keys at once: ``checks`` = (constraint, child, fk, parent, pk)."""
-    parts = [check_fk(child, fk, parent, pk, name) for name, child, fk, parent, pk in checks]
-    return reduce(DataFrame.unionByName, parts)
+    groups: dict[tuple[str, ...], list] = {}
+    for tag, (name, child, fk, parent, pk) in enumerate(checks):
+        types, entries = _foreign_entries(tag, name, child, fk, parent, pk)
+        groups.setdefault(types, []).extend(entries)
+    names = F.array(*[F.lit(c[0]) for c in checks])
+    parts = [_key_counts(entries, types).filter(_orphaned())
+             .select(names[F.col("tag")].alias("constraint_name"), F.col("k0").cast("string").alias("fk_value"),
+                     F.col("n").alias("n_rows")) for types, entries in groups.items()]
+    return reduce(DataFrame.union, parts)
 
 
 def integrity_report(clean: Sequence[tuple[str, DataFrame, DataFrame]],
@@ -92,27 +134,50 @@ def integrity_report(clean: Sequence[tuple[str, DataFrame, DataFrame]],
     1 orphan clean-up (rows removed), 2 primary keys, 3 unique keys,
     4 foreign keys (checked on the cleaned tables the caller passes).
 
-    ``clean`` = (name, before, after). Output: step, kind, constraint_name, violations.
-    Every part is a single-row aggregate; nothing is collected.
+    ``clean`` = (name, before, after). Output: step, kind, constraint_name, violations;
+    a constraint that holds has a row with 0. Passing the same DataFrame object to
+    several checks reads it once per key type. Empty tables violate nothing.
     """
-    parts = []
-    for name, before, after in clean:
-        kept = after.select(F.count(F.lit(1))).scalar()
-        parts.append(before.agg(F.count(F.lit(1)).alias("_before")).select(
-            F.lit(1).alias("step"), F.lit("clean").alias("kind"), F.lit(name).alias("constraint_name"),
-            (F.col("_before") - kept).cast("long").alias("violations")))
+    checks: list[tuple[int, str, str]] = []   # step, kind, name; the tag is the position
+    groups: dict[tuple[str, ...], list] = {}
     for step, kind, specs in ((2, "primary key", primary_keys), (3, "unique", unique_keys)):
         for name, df, cols in specs:
-            bad = check_unique(df, cols, primary=(kind == "primary key"))
-            parts.append(bad.agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit(step).alias("step"), F.lit(kind).alias("kind"), F.lit(name).alias("constraint_name"),
-                "violations"))
-    for name, child, fk, parent, pk in foreign_keys:
-        bad = check_fk(child, fk, parent, pk, name)
-        parts.append(bad.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("violations")).select(
-            F.lit(4).alias("step"), F.lit("foreign key").alias("kind"), F.lit(name).alias("constraint_name"),
-            F.col("violations").cast("long").alias("violations")))
-    return reduce(DataFrame.unionByName, parts)
+            groups.setdefault(_key_types(df, cols), []).append((len(checks), df, list(cols), False))
+            checks.append((step, kind, name))
+    for name, *foreign in foreign_keys:
+        types, entries = _foreign_entries(len(checks), name, *foreign)
+        groups.setdefault(types, []).extend(entries)
+        checks.append((4, "foreign key", name))
+    for name, before, after in clean:
+        for kind, df in (("clean", before), ("kept", after)):
+            # Counted in a pass that reads the table anyway, if there is one.
+            home = next((t for t, entries in groups.items() if any(e[1] is df for e in entries)), ("bigint",))
+            groups.setdefault(home, []).append((len(checks), df, [], False))
+            checks.append((1, kind, name))
+
+    def tags(kind: str) -> Column:
+        return F.col("tag").isin([i for i, c in enumerate(checks) if c[1] == kind])
+
+    parts = []
+    for types, entries in groups.items():
+        no_null = reduce(lambda a, b: a & b, [F.col(f"k{i}").isNotNull() for i in range(len(types))])
+        one = F.lit(1).cast("long")
+        found = (F.when(tags("clean"), F.col("n")).when(tags("kept"), -F.col("n"))
+                 .when(tags("primary key") & ((F.col("n") > 1) | ~no_null), one)
+                 .when(tags("unique") & (F.col("n") > 1) & no_null, one)
+                 .when(tags("foreign key") & _orphaned(), F.col("n")))
+        parts.append(_key_counts(entries, types).select("tag", found.alias("v")).filter("v IS NOT NULL"))
+    if not checks:
+        raise ValueError("nothing to check")
+    # "kept" rows lower the count of the clean-up right before them; every check starts from 0.
+    report = [i - 1 if c[1] == "kept" else i for i, c in enumerate(checks)]
+    spark = next(iter(groups.values()))[0][1].sparkSession
+    parts.append(spark.range(len(checks)).select(F.col("id").cast("int").alias("tag"), F.lit(0).cast("long").alias("v")))
+    row = F.array(*[F.struct(F.lit(step).alias("step"), F.lit("clean" if kind == "kept" else kind).alias("kind"),
+                             F.lit(name).alias("constraint_name")) for step, kind, name in checks])
+    return (reduce(DataFrame.union, parts)
+            .groupBy(F.array(*[F.lit(i) for i in report])[F.col("tag")].alias("tag")).agg(F.sum("v").alias("violations"))
+            .select(row[F.col("tag")].alias("r"), "violations").select("r.*", "violations"))
 
 
 def enforce(report: DataFrame) -> DataFrame:

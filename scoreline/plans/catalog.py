@@ -11,14 +11,12 @@ one pair), never a way to shrink the input.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline import operators as op
-from scoreline.session import checkpoint_dir
 from scoreline.sources import MatchTables, match_tables, read_table, teams_in_good_standing
 
 # Report settings for the driver's data (fixed values).
@@ -151,13 +149,8 @@ def drop_orphans_single(spark, sf_dir):
 def integrity_report(spark, sf_dir):
     mt = match_tables(spark, sf_dir)
     good = teams_in_good_standing(spark, sf_dir)
-    # The cleaned table is written to the shared folder before the constraints
-    # are checked on it: the checks that read it prune its columns and neither
-    # re-run the clean-up nor depend on its lineage.
-    cleaned = op.drop_orphans(mt.matches, _refs(good))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/cleaned-{uuid.uuid4().hex}"
-    cleaned.write.parquet(path)
-    kept = spark.read.schema(cleaned.schema).parquet(path)
+    # All checks of the cleaned table are one pass over it, so it is not stored.
+    kept = op.drop_orphans(mt.matches, _refs(good))
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
     kept_orders = op.drop_orphans(orders, [("o_custkey", _customers_in_good_standing(customer), "c_custkey")])

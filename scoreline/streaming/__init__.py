@@ -7,6 +7,7 @@ can be kept up to date as match files arrive (update / complete mode).
 Rank-based reports are then run on the table a stream maintains.
 """
 
-from scoreline.streaming.standings import live_season_table, match_stream, start_live_table
+from scoreline.streaming.standings import (live_season_table, match_stream, read_live_table,
+                                           start_live_table)
 
-__all__ = ["match_stream", "live_season_table", "start_live_table"]
+__all__ = ["match_stream", "live_season_table", "read_live_table", "start_live_table"]

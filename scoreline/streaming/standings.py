@@ -10,6 +10,8 @@ from scoreline.operators.standings import season_table
 from scoreline.session import checkpoint_dir
 from scoreline.sources.match_view import MATCH_SCHEMA
 
+KEPT_VERSIONS = 3  # complete versions of a live table that stay readable
+
 
 def match_stream(spark: SparkSession, path: str, schema: StructType = MATCH_SCHEMA,
                  max_files_per_trigger: int | None = None) -> DataFrame:
@@ -25,6 +27,42 @@ def live_season_table(matches: DataFrame) -> DataFrame:
     return season_table(matches)
 
 
+def _version_path(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/version={version}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, object]]:
+    """(version, folder status) of the versions under ``path``; at most a few, as old ones are dropped."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [(s.getPath().getName(), s) for s in fs.listStatus(root)]
+    return sorted(((int(n.split("=")[1]), s) for n, s in found if n.startswith("version=")), key=lambda v: v[0])
+
+
+def _drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    for version, status in _versions(spark, path):
+        if version < before:
+            folder = status.getPath()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_live_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of the live table at ``path``.
+
+    A version counts once its ``_SUCCESS`` file is there, which the write commits
+    last, so a reader never meets a batch half written. Older versions stay for
+    ``KEPT_VERSIONS`` batches, for readers that have already begun. Raises if no
+    version is complete yet.
+    """
+    for version, status in reversed(_versions(spark, path)):
+        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.parquet(_version_path(path, version))
+    raise FileNotFoundError(f"no complete version of the table under {path}")
+
+
 def start_live_table(matches: DataFrame, name: str, sink: str = "table",
                      output_mode: str = "complete", path: str | None = None,
                      checkpoint: str | None = None) -> StreamingQuery:
@@ -34,10 +72,10 @@ def start_live_table(matches: DataFrame, name: str, sink: str = "table",
     session's shared checkpoint folder), so a restarted query — after a lost
     executor or driver — resumes from the last committed batch.
 
-    ``sink="memory"`` keeps the whole table in the driver as ``name`` (tests,
-    notebooks); ``sink="table"`` (the default, needs ``path``) rewrites the whole current table to ``path`` as Parquet
-    after every batch (complete output, overwrite: replaying a batch gives the
-    same files); any other value is a Structured Streaming format.
+    ``sink="table"`` (the default, needs ``path``) writes the whole current table
+    after every batch as a version of its own under ``path``, read with
+    ``read_live_table``; ``sink="memory"`` keeps it in the driver as ``name``
+    (tests, notebooks); any other value is a Structured Streaming format.
     """
     spark = matches.sparkSession
     location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
@@ -49,8 +87,12 @@ def start_live_table(matches: DataFrame, name: str, sink: str = "table",
         if not path:
             raise ValueError("sink='table' needs a path")
 
-        def overwrite(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
+        def write_version(batch: DataFrame, batch_id: int) -> None:
+            if any(version > batch_id for version, _ in _versions(spark, path)):
+                raise ValueError(f"{path} holds the table of another stream")
+            # After a failure the batch is replayed into its own version.
+            batch.write.mode("overwrite").parquet(_version_path(path, batch_id))
+            _drop_versions(spark, path, before=batch_id - KEPT_VERSIONS + 1)
 
-        return writer.foreachBatch(overwrite).queryName(name).start()
+        return writer.foreachBatch(write_version).queryName(name).start()
     return writer.format(sink).start(path)

@@ -1,11 +1,14 @@
 """Driver contract smoke test and the streaming season table."""
 
+import os
 import tempfile
 
+import pytest
+
 from conftest import SF001
 from scoreline import operators as op
 from scoreline.sources.match_view import derive_matches
-from scoreline.streaming import live_season_table, match_stream, start_live_table
+from scoreline.streaming import live_season_table, match_stream, read_live_table, start_live_table
 
 
 def test_entry_and_registry(spark):
@@ -48,6 +51,24 @@ def test_stream_resumes_from_its_checkpoint(spark):
                          path=f"{table}/t", checkpoint=ckpt)
     q.processAllAvailable()
     q.stop()
-    live = spark.read.parquet(f"{table}/t")
+    live = read_live_table(spark, f"{table}/t")
     batch = op.season_table(spark.read.parquet(source))
     assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_readers_meet_complete_versions_only(spark):
+    source = tempfile.mkdtemp(prefix="scoreline-stream-src-")
+    table = tempfile.mkdtemp(prefix="scoreline-stream-out-") + "/t"
+    with pytest.raises(FileNotFoundError):
+        read_live_table(spark, table)
+    derive_matches(spark, SF001).repartition(5).write.mode("append").parquet(source)
+    q = start_live_table(match_stream(spark, source, max_files_per_trigger=1), "versions_test", sink="table",
+                         path=table, checkpoint=tempfile.mkdtemp(prefix="scoreline-stream-ckpt-"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(os.listdir(table)) == ["version=2", "version=3", "version=4"]
+    whole = read_live_table(spark, table)
+    assert whole.exceptAll(op.season_table(spark.read.parquet(source))).count() == 0
+    os.remove(f"{table}/version=4/_SUCCESS")   # as if the last batch were still being written
+    assert read_live_table(spark, table).count() <= whole.count()
+    assert "version=3" in read_live_table(spark, table).inputFiles()[0]

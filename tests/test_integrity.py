@@ -82,3 +82,26 @@ def test_enforce_raises_on_violations(spark):
     ok = op.integrity_report(clean=[], primary_keys=[], unique_keys=[],
                              foreign_keys=[("fk_a", kept, "a", par, "k")])
     assert op.enforce(ok) is ok
+
+
+def test_integrity_report_counts_every_kind(spark):
+    child = spark.createDataFrame([(1, 10, "x"), (1, 30, "x"), (None, 30, None), (2, None, None)], "id int, fk int, name string")
+    par = spark.createDataFrame([(10, 1), (None, 2)], "k long, v long")
+    rep = op.integrity_report(clean=[("all", child, child.filter("id = 1")), ("none", par, par)],
+                              primary_keys=[("child.id", child, ["id"]), ("child.id_name", child, ["id", "name"])],
+                              unique_keys=[("child.name", child, ["name"]), ("child.fk", child, ["fk"])],
+                              foreign_keys=[("fk", child, "fk", par, "k")])
+    got = {(r.step, r.kind, r.constraint_name): r.violations for r in rep.collect()}
+    assert got == {(1, "clean", "all"): 2, (1, "clean", "none"): 0, (2, "primary key", "child.id"): 2,
+                   (2, "primary key", "child.id_name"): 3, (3, "unique", "child.name"): 1,
+                   (3, "unique", "child.fk"): 1, (4, "foreign key", "fk"): 2}
+    with pytest.raises(TypeError, match="different types"):
+        op.check_fk(child, "name", par, "k")
+
+
+def test_integrity_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "id long, fk long")
+    par = spark.createDataFrame([], "k long")
+    rep = op.integrity_report(clean=[("c", empty, empty)], primary_keys=[("pk", empty, ["id"])],
+                              unique_keys=[], foreign_keys=[("fk", empty, "fk", par, "k")])
+    assert {r.constraint_name: r.violations for r in rep.collect()} == {"c": 0, "pk": 0, "fk": 0}

@@ -60,3 +60,11 @@ def test_head_to_head_filters_the_matches_before_any_exchange(spark):
     assert both and "home_team_api_id" in lines[both[0]] and "away_team_api_id" in lines[both[0]], lines
     moved = [i for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\((home|away)_team_api_id", line)]
     assert moved and max(moved) < both[0], lines
+
+
+def test_integrity_checks_shuffle_once_per_key_type(spark):
+    # Without the scalar subqueries (a parent's row and NULL counts), which run once each.
+    report = plan_text(entry_mod.queries()["integrity_report"](spark, SF001)).split("===== Subqueries")[0]
+    assert len(re.findall(r"^\(\d+\) Exchange\b", report, re.M)) < 10
+    fks = plan_text(entry_mod.queries()["check_fk"](spark, SF001))
+    assert len(re.findall(r"^\(\d+\) Exchange\b", fks, re.M)) == 1 and "Join" not in fks
