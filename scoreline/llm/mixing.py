@@ -8,8 +8,9 @@ level, in closed form with window sums over the (small) table of tree nodes.
 
 A leaf with budget T and A tokens takes every document T div A times, and of the next epoch, in an order
 seeded per epoch, the prefix that covers T mod A tokens. The prefix is found without a window over
-the leaf: token sums per (leaf, first 12 bits of the order key), a running sum over those 4096 sums, and
-a window over the one bucket that holds the boundary.
+the leaf: token sums per (leaf, first 12 bits of the order key) and a running sum over those 4096 sums; the
+one bucket that holds the boundary is divided by the next 12 bits in the same way, and only the last
+bucket, a 2^24th of the leaf, gets a window.
 """
 
 from __future__ import annotations
@@ -95,6 +96,20 @@ def leaf_budgets(table: DataFrame, targets: Targets, share_pct: int, max_epochs:
                   .select(*LEVELS, "avail", "alloc"), "budgets")
 
 
+def _divided(rows: DataFrame, digit: int) -> DataFrame:
+    """``rows`` by the three hex digits of ``key`` from ``digit``: new ``b0`` and ``edge``.
+
+    ``b0``: the leaf's tokens before the row's bucket (before the first bucket of ``rows``: the old ``b0``).
+    ``edge``: 1 the whole bucket lies in the prefix, 0 it holds the boundary, -1 it lies beyond.
+    """
+    rows = rows.withColumn("bucket", F.substring("key", digit, 3))
+    sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("r"), F.first("b0").alias("b"))
+    run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("b0", F.col("b") + F.coalesce(F.sum("n").over(run), F.lit(0)))
+    edge = F.when(F.col("b0") + F.col("n") <= F.col("r"), 1).when(F.col("b0") < F.col("r"), 0).otherwise(-1)
+    return rows.drop("b0", "edge").join(sums.select(*LEVELS, "bucket", "b0", edge.alias("edge")), [*LEVELS, "bucket"])
+
+
 def mix(docs: DataFrame, targets: Targets, share_pct: int = 60, max_epochs: int = 2, seed: int = 42,
         domain: Column | None = None) -> DataFrame:
     """One row per selected document: (doc_id, th, domain, lang, source, tokens, epochs, take_tokens).
@@ -110,18 +125,15 @@ def mix(docs: DataFrame, targets: Targets, share_pct: int = 60, max_epochs: int
     plan = budgets.select(*LEVELS, F.expr("alloc div avail").alias("full"), F.expr("alloc % avail").alias("rest"))
     key = F.md5(F.concat_ws("/", F.lit(seed), F.col("full") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
     rows = staged(table.join(plan.where("full > 0 OR rest > 0"), list(LEVELS)).withColumn("key", key)
-                  .withColumn("bucket", F.substring("key", 1, 3)), "keyed")
-    sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("r"))
-    run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("b0", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    edge = F.when(F.col("b0") + F.col("n") <= F.col("r"), 1).when(F.col("b0") < F.col("r"), 0).otherwise(-1)
-    sums = sums.select(*LEVELS, "bucket", "b0", edge.alias("edge"))
-    rows = rows.join(sums, [*LEVELS, "bucket"])
-    # Whole buckets need no order; the one bucket of a leaf that holds the boundary gets a window.
-    inside = rows.where("edge != 0").withColumn("part", F.when(F.col("edge") == 1, F.col("tokens")).otherwise(0))
+                  .withColumn("b0", F.lit(0).cast("bigint")), "keyed")
+    # Whole buckets need no order; what is left of a leaf after two divisions gets a window.
+    first = _divided(rows, 1)
+    second = _divided(staged(first.where("edge = 0"), "boundary"), 4)
+    inside = first.where("edge != 0").unionByName(second.where("edge != 0"))
+    inside = inside.withColumn("part", F.when(F.col("edge") == 1, F.col("tokens")).otherwise(0))
     order = Window.partitionBy(*LEVELS).orderBy("key", "th").rowsBetween(Window.unboundedPreceding, -1)
     cum = F.col("b0") + F.coalesce(F.sum("tokens").over(order), F.lit(0))
-    border = rows.where("edge = 0").withColumn("part", F.greatest(F.lit(0), F.least("tokens", F.col("rest") - cum)))
+    border = second.where("edge = 0").withColumn("part", F.greatest(F.lit(0), F.least("tokens", F.col("rest") - cum)))
     out = inside.unionByName(border)
     return (out.withColumn("epochs", (F.col("full") + (F.col("part") > 0).cast("bigint")))
             .withColumn("take_tokens", F.col("full") * F.col("tokens") + F.col("part"))
