@@ -5,7 +5,8 @@ learned tanh layer), gated attention a_k ~ exp(w . (tanh(V e_k) * sigmoid(U e_k)
 and the label is predicted from the weighted sum. Only document labels are used for learning.
 
 Fitting reads a bounded sample of labelled rows (``max_train`` documents, chosen by a hash of the
-id), whose features go to the driver: at most max_train documents' passages of ``FEATURES`` floats.
+id), whose features go to the driver: at most ``max_train`` x ``max_passages`` x ``FEATURES`` floats
+(280 MB by default, reached only if every sampled document is very long). Scores use every passage.
 Scoring is one map over all rows with the weights (a few KB) in the closure; no shuffle.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .common import text_key
+
 PASSAGE = 64
 # Byte classes: lower, upper, digit, space, line end, sentence mark, other symbol, beyond ASCII.
 CLASSES = 8
@@ -183,11 +186,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 8000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 8000,
+        max_passages: int = 128, **options) -> Model:
     """Fit on at most ``max_train`` labelled documents that are not held out.
 
     Labels other than 0 and 1, and null ids, are ignored; a doc_id labelled twice counts with its
-    smaller label; a doc_id with several texts gives one bag for each.
+    smaller label, a doc_id with several texts with that of the smallest hash. Of a document of more
+    than ``max_passages`` passages, that many at even distances are learned from.
     """
     chosen = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy("doc_id").agg(F.min(label).alias("__y"))
@@ -196,12 +201,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     def run(batches):
         for batch in batches:
             bags = [b for part in slices(batch.column(0).to_pylist()) for b in encode(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bags], pa.binary()), batch.column(1),
-                                              batch.column(2)], names=["bag", "y", "id"])
+            bags = [b[np.arange(max_passages) * len(b) // max_passages] if len(b) > max_passages else b for b in bags]
+            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bags], pa.binary()), *batch.columns[1:]],
+                                             names=["bag", "y", "id", "th"])
     # The sample is bounded by max_train rows of 16 bytes, so it may be broadcast.
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__y", "doc_id")
-            .mapInArrow(run, "bag binary, y int, id long").collect())
-    rows.sort(key=lambda r: (r.id, r.bag))
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__y", "doc_id", text_key())
+            .mapInArrow(run, "bag binary, y int, id long, th long")
+            .groupBy("id").agg(F.min(F.struct("th", "y", "bag")).alias("r")).select("id", "r.y", "r.bag").collect())
+    rows.sort(key=lambda r: r.id)
     bags = [np.frombuffer(r.bag, dtype=np.float32).reshape(-1, FEATURES) for r in rows]
     return fit_bags(bags, np.array([r.y for r in rows]), **options)
 

@@ -67,3 +67,17 @@ def test_edges(spark):
     assert mil.fit(df, one).prior == 1.0
     assert mil.score(df.limit(0), model).count() == 0
     assert mil.score(df, model).columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
+
+
+def test_fitting_is_bounded(spark):
+    """Repeated ids and long texts: one bag an id, of at most max_passages passages."""
+    df = docs(spark, ["a b c. " * 3000, "### " * 3000, "plain words here"])
+    df = df.union(df).union(df.withColumn("text", mil.F.lit("other")))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    real, mil.fit_bags = mil.fit_bags, lambda bags, y, **o: seen.extend([len(b) for b in bags])
+    try:
+        mil.fit(df, labels, max_passages=5)
+    finally:
+        mil.fit_bags = real
+    assert len(seen) == 3 and max(seen) <= 5
