@@ -102,3 +102,11 @@ def test_schema_checks(tables):
     assert rep[("clean", "team_attributes orphans")] == 0
     assert all(v == 0 for (kind, _), v in rep.items() if kind != "clean")
     assert len(rep) == 3 + 7 + 2 + 7
+
+
+def test_final_tables(tables):
+    rows = REPORTS["final_tables"](tables).filter("league = 'Spain LIGA BBVA'").collect()
+    assert sorted((r.position, r.team, r.points, r.won, r.drawn, r.lost, r.goals_for, r.goals_against, r.goal_diff)
+                  for r in rows) == [
+        (1, "Atlético Madrid", 7, 2, 1, 0, 10, 1, 9), (2, "FC Barcelona", 7, 2, 1, 0, 5, 1, 4),
+        (3, "Real Madrid CF", 2, 0, 2, 1, 2, 4, -2)]
