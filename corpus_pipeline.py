@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one holds; copies of earlier documents go."""
+    """Documents without lines that an earlier one holds; a document goes only when no text is left."""
     return linededup.dedup_lines(docs)
 
 

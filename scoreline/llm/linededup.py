@@ -409,11 +409,12 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) ->
                     F.coalesce("classes", F.expr("cast(array() AS array<bigint>)")).alias("classes")))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, least_kept: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, least_kept: float = 0.0) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text`` (columns as before; ``n_chars`` follows).
 
-    A document that keeps less than ``least_kept`` of its characters is a copy of earlier ones and
-    goes as a whole. Rows without duplicate lines come back unchanged, nulls included.
+    Only lines go, and a document of which no visible character is left. A ``least_kept`` above 0 also
+    drops documents that keep less than that share of their characters, lines of their own included.
+    Rows without duplicate lines come back unchanged, nulls included.
     """
     found = duplicate_lines(docs, threshold, min_chars).where("n_removed > 0").select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__key"), F.col("removed").alias("__removed"))
@@ -422,7 +423,8 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, least_
         found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__key")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(__removed, i)), '\\n')")
     joined = joined.withColumn("__text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
-    joined = joined.where(F.col("__removed").isNull() | (F.length("__text") >= least_kept * F.length("text")))
+    joined = joined.where(F.col("__removed").isNull() | (
+        F.col("__text").rlike(r"\S") & (F.length("__text") >= least_kept * F.length("text"))))
     changed = F.col("__removed").isNotNull()
     cols = {"text": F.col("__text").alias("text")}
     if "n_chars" in docs.columns:
