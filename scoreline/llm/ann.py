@@ -7,17 +7,21 @@
   size penalty, so lists stay balanced; their number grows with the square root of the classes.
 * A graph over the centroids, searched in memory by a vectorised beam search, routes vectors and
   queries. A vector goes to its nearest list and to every other one almost as near (boundary replicas);
-  a query probes the lists within a distance ratio of its nearest.
-* Rows meet on (list, vector block, query block); blocks have a bounded size, so a large list is
-  spread over tasks. A task scores a block by one matrix product and emits the best per query.
+  a query probes all lists within a distance ratio of its nearest, however many: the beam widens until
+  it has passed the ratio.
+* Lists are bundled. Vectors and queries travel once a bundle, with the lists they belong to, and meet
+  on (bundle, vector block, query block); blocks have a bounded size, so a large list is spread over
+  tasks. A task scores a block by one matrix product and emits the best per query of all its blocks.
 
-Every row is indexed; only centroids are fitted on the sample.
+Every row is indexed; only centroids are fitted on the sample. On vectors without clusters the ratio
+takes most lists, and the work nears that of all pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +50,14 @@ class Graph:
         beam = max(beam, want)
         q = len(x)
         sq = (x ** 2).sum(axis=1)
+        if 4 * want >= len(self.c):  # such a beam costs no less than all distances
+            dist = self.sq[None, :] - 2 * x @ self.c.T
+            ids = np.argsort(dist, axis=1, kind="stable")[:, :want].astype(np.int32)
+            return ids, np.sqrt(np.maximum(np.take_along_axis(dist, ids, axis=1) + sq[:, None], 0))
         ids = np.repeat(self.entry[None, :], q, axis=0)
         dist = self.sq[ids] - 2 * np.einsum("qd,qbd->qb", x, self.c[ids])
         open_ = np.ones(ids.shape, dtype=bool)
-        for _ in range(rounds):
+        for _ in range(max(rounds, beam // 4)):
             step = np.where(open_, dist, np.inf)
             pick = np.argsort(step, axis=1, kind="stable")[:, :8]  # expand the best unexpanded
             if not np.isfinite(np.take_along_axis(step, pick, axis=1)).any():
@@ -70,6 +78,21 @@ class Graph:
         ids, dist = np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
         return ids, np.sqrt(np.maximum(dist + sq[:, None], 0))
 
+    def within(self, x: np.ndarray, ratio: float, size: np.ndarray, least: int):
+        """Yield (rows, centroids) of all centroids of each row of ``x`` that are within ``ratio`` of its nearest.
+
+        A row gets further ones until the ``size`` of those it has adds up to ``least``.
+        """
+        todo, want = np.arange(len(x)), 64
+        while len(todo):
+            ids, d = self.search(x[todo], want)
+            before = np.cumsum(size[ids], axis=1) - size[ids]
+            take = np.isfinite(d) & ((d <= ratio * d[:, :1]) | (before < least))
+            done = ~take[:, -1] if want < len(self.c) else np.ones(len(todo), dtype=bool)
+            row, col = np.nonzero(take & done[:, None])
+            yield todo[row], ids[row, col]
+            todo, want = todo[~done], 2 * want
+
 
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8, weight: float = 0.5, seed: int = 3) -> np.ndarray:
     """k centroids of ``x``; a cluster's cost rises with its size in the round before."""
@@ -118,7 +141,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near: float = 1.15, probe: float = 1.35,
-           replicas: int = 4, most_lists: int = 48, least_classes: int = 2048, block: int = 2048) -> DataFrame:
+           replicas: int = 4, least_classes: int = 2048, block: int = 2048, bundle: int = 16) -> DataFrame:
     """The ``k`` candidates of largest inner product for every row where ``is_query`` (a condition on vec_id).
 
     (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id; every row but the
@@ -126,6 +149,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
     inner product of the original vectors in double precision. Null ids, and vectors that are null,
     empty, zero, of another dimension than most, or hold null or non-finite components take no part.
     Repeated rows count once. Up to ``least_classes`` distinct vectors form one list (exact search).
+    ``bundle`` lists share the rows that carry their vectors and queries.
     """
     spark = vectors.sparkSession
     rows = staged(valid_vectors(vectors), "vectors")
@@ -135,7 +159,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
     norm = F.expr("aggregate(e, 0D, (a, x) -> a + x * x)")
     n, most = classes.agg(F.count("*"), F.max(norm)).first()
     most = most or 0.0
-    lists = 1 if n <= least_classes else int(2 * n ** 0.5)
+    lists = 1 if n <= least_classes else max(1, int(2 * n ** 0.5))
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample if lists > 1 else 1).select("e").collect()  # bounded
     x = np.array([r.e for r in picked]) if picked else np.zeros((1, 1))
 
@@ -145,41 +169,51 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
 
     graph = spark.sparkContext.broadcast(Graph(balanced_kmeans(lifted(x, False), min(lists, len(x)))))  # lists x dimension
 
+    def bundled(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(rows, bundles, lists): the pairs (row, list) as one entry per row and bundle."""
+        order = np.lexsort((ids, row))
+        row, ids = row[order], ids[order].astype(np.int32)
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (ids[1:] // bundle != ids[:-1] // bundle)]) if len(row) else row
+        held = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)], pa.int32()), pa.array(ids, pa.int32()))
+        return row[new], ids[new] // bundle, held
+
     def post(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids, d = graph.value.search(lifted(_matrix(part.column(1)), False), replicas)
                 row, col = np.nonzero(d <= near * d[:, :1])
+                row, pack, held = bundled(row, ids[row, col])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row, col].astype(np.int64)), *(part.column(i).take(take) for i in range(3))],
-                    names=["list", "cid", "e", "ids"])
+                    [pa.array(pack.astype(np.int64)), *(part.column(i).take(take) for i in range(3)), held,
+                     pa.array(ids[row, 0].astype(np.int32))],
+                    names=["bundle", "cid", "e", "ids", "lists", "nearest"])
 
-    postings = staged(classes.mapInArrow(post, "list long, cid long, e array<double>, ids array<long>"), "postings")
-    sizes = np.zeros(len(graph.value.c), dtype=np.int64)
-    for c, m in postings.groupBy("list").count().collect():  # one row per list
+    postings = staged(classes.mapInArrow(
+        post, "bundle long, cid long, e array<double>, ids array<long>, lists array<int>, nearest int"), "postings")
+    sizes = np.zeros(len(graph.value.c), dtype=np.int64)  # of the lists, each class in its nearest one
+    for c, m in postings.where(F.array_contains("lists", F.col("nearest"))).groupBy("nearest").count().collect():
         sizes[c] = m
-    held = spark.sparkContext.broadcast(sizes)
+    held_sizes = spark.sparkContext.broadcast(sizes)
 
     def route(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, d = graph.value.search(lifted(_matrix(part.column(1)), True), most_lists)
-                before = np.cumsum(held.value[ids], axis=1) - held.value[ids]
-                row, col = np.nonzero(np.isfinite(d) & ((d <= probe * d[:, :1]) | (before < 4 * (k + 1))))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row, col].astype(np.int64)), part.column(0).take(take), part.column(1).take(take)],
-                    names=["list", "cid", "e"])
+                for row, ids in graph.value.within(lifted(_matrix(part.column(1)), True), probe, held_sizes.value, 4 * (k + 1)):
+                    row, pack, held = bundled(row, ids)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(pack.astype(np.int64)), part.column(0).take(take), part.column(1).take(take), held],
+                        names=["bundle", "cid", "e", "lists"])
 
     asking = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "e")
-    routed = staged(asking.mapInArrow(route, "list long, cid long, e array<double>"), "routed")
-    counts = np.ones((len(sizes), 2), dtype=np.int64)
-    counts[:, 0] = np.maximum(1, -(-sizes // block))
-    for c, m in routed.groupBy("list").count().collect():
-        counts[c, 1] = max(1, -(-m // block))
+    routed = staged(asking.mapInArrow(route, "bundle long, cid long, e array<double>, lists array<int>"), "routed")
+    counts = np.ones((len(sizes) // bundle + 1, 2), dtype=np.int64)
+    for side, met in enumerate((postings, routed)):
+        for c, m in met.groupBy("bundle").count().collect():  # one row per bundle
+            counts[c, side] = -(-m // block)
     dealt = spark.sparkContext.broadcast(counts)
 
     def deal(query: bool):
@@ -195,10 +229,48 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
                 ids = pa.nulls(len(row), pa.list_(pa.int64())) if query else batch.column(3).take(take)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((c[row] << 40) + (v << 20) + q), pa.array(np.full(len(row), query)),
-                     batch.column(1).take(take), batch.column(2).take(take), ids], names=["key", "ask", "cid", "e", "ids"])
+                     batch.column(1).take(take), batch.column(2).take(take), ids, batch.column(3 if query else 4).take(take)],
+                    names=["key", "ask", "cid", "e", "ids", "lists"])
         return run
 
+    def member(lists: pa.ListArray) -> np.ndarray:
+        """0/1 matrix: which of its bundle's lists each row has."""
+        out = np.zeros((len(lists), bundle), dtype=np.float32)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        out[row, lists.flatten().to_numpy(zero_copy_only=False) % bundle] = 1
+        return out
+
+    def merged(batches):
+        """The best of what a task has found; a query's earlier rows make way before they are shuffled."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 1 << 18:
+                held = reduced(held)
+                n = sum(x.num_rows for x in held)
+                if n >= 1 << 17:
+                    yield from held
+                    held, n = [], 0
+        if held:
+            yield from reduced(held)
+
+    def reduced(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        q, cid, score = (table.column(c).to_numpy() for c in range(3))
+        first = pc.list_element(table.column("ids"), 0).to_numpy()
+        order = np.lexsort((first, -score, q))  # equal classes of a query come together
+        q, cid = q[order], cid[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | (cid[1:] != cid[:-1])]
+        order, q = order[new], q[new]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        return table.take(pa.array(order[rank <= k])).combine_chunks().to_batches(max_chunksize=1 << 14)
+
     def best(batches):
+        yield from merged(scored(batches))
+
+    def scored(batches):
         for table in grouped(batches, 4 * block):
             table = table.combine_chunks()
             key = table.column("key").to_numpy()
@@ -207,22 +279,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
             cid = table.column("cid").to_numpy()
             e = _matrix(table.column("e").combine_chunks())
             ids = table.column("ids").combine_chunks()
+            lists = member(table.column("lists").combine_chunks())
             for a, b in zip(bounds, bounds[1:]):
-                v, q = a + np.flatnonzero(~ask[a:b]), a + np.flatnonzero(ask[a:b])
-                if not len(v) or not len(q):
-                    continue
-                s = e[q] @ e[v].T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k + 1]
-                qi, vi = np.repeat(q, top.shape[1]), v[top.ravel()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid[qi]), pa.array(cid[vi]), pa.array((e[qi] * e[vi]).sum(axis=1)), ids.take(pa.array(vi))],
-                    names=["q", "cid", "score", "ids"])
+                v, asks = a + np.flatnonzero(~ask[a:b]), a + np.flatnonzero(ask[a:b])
+                for at in range(0, len(asks) if len(v) else 0, 512):
+                    q = asks[at:at + 512]
+                    s = np.where(lists[q] @ lists[v].T > 0, e[q] @ e[v].T, -np.inf)
+                    top = np.argpartition(-s, k, axis=1)[:, :k + 1] if len(v) > k + 1 else np.tile(np.arange(len(v)), (len(q), 1))
+                    good = np.isfinite(np.take_along_axis(s, top, axis=1)).ravel()
+                    qi, vi = np.repeat(q, top.shape[1])[good], v[top.ravel()[good]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cid[qi]), pa.array(cid[vi]), pa.array((e[qi] * e[vi]).sum(axis=1)), ids.take(pa.array(vi))],
+                        names=["q", "cid", "score", "ids"])
 
-    schema = "key long, ask boolean, cid long, e array<double>, ids array<long>"
-    met = postings.mapInArrow(deal(False), schema).union(routed.mapInArrow(deal(True), schema))
+    schema = "key long, ask boolean, cid long, e array<double>, ids array<long>, lists array<int>"
+    met = postings.select("bundle", "cid", "e", "ids", "lists").mapInArrow(deal(False), schema) \
+        .union(routed.mapInArrow(deal(True), schema))
     found = (met.repartition("key").sortWithinPartitions("key")
              .mapInArrow(best, "q long, cid long, score double, ids array<long>"))
-    # A replicated class may come from several lists, always with the same score.
+    # A replicated class may come from several bundles, always with the same score.
     found = found.groupBy("q", "cid").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id"))
     few = Window.partitionBy("q").orderBy(F.desc("score"), F.expr("ids[0]"))
