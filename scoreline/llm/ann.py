@@ -8,7 +8,8 @@
 * A graph over the centroids, searched in memory by a vectorised beam search, routes vectors and
   queries. A vector goes to its nearest list and to every other one almost as near (boundary replicas);
   a query probes all lists within a distance ratio of its nearest, however many: the beam widens until
-  it has passed the ratio.
+  it has passed the ratio. Queries are routed at the length of the longest vector, as the order by inner
+  product does not depend on their own.
 * Lists are bundled. Vectors and queries travel once a bundle, with the lists they belong to, and meet
   on (bundle, vector block, query block); blocks have a bounded size, so a large list is spread over
   tasks. A task scores a block by one matrix product and emits the best per query of all its blocks.
@@ -164,6 +165,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
     x = np.array([r.e for r in picked]) if picked else np.zeros((1, 1))
 
     def lifted(v: np.ndarray, query: bool) -> np.ndarray:
+        if query:
+            v = v / np.abs(v).max(axis=1, keepdims=True)
+            v = v * (most ** 0.5 / np.linalg.norm(v, axis=1, keepdims=True))
         more = np.zeros(len(v)) if query else np.sqrt(np.maximum(most - (v ** 2).sum(axis=1), 0))
         return np.concatenate([v, more[:, None]], axis=1)
 

@@ -25,3 +25,10 @@ def _recall(spark, tmp_path, e, every, **options):
 def test_weakly_clustered(spark, tmp_path):
     e = np.random.default_rng(1).normal(size=(100_000, 64))
     assert _recall(spark, tmp_path, e / np.linalg.norm(e, axis=1, keepdims=True), 2000) >= 0.95
+
+
+def test_mixed_norms(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    e = rng.normal(size=(100, 64))[rng.integers(0, 100, 20_000)] + 0.5 * rng.normal(size=(20_000, 64))
+    e *= np.exp(rng.normal(size=(len(e), 1))) / np.linalg.norm(e, axis=1, keepdims=True)
+    assert _recall(spark, tmp_path, e, 400, least_classes=0) >= 0.95
