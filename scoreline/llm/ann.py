@@ -142,15 +142,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near: float = 1.15, probe: float = 1.35,
-           replicas: int = 4, least_classes: int = 2048, block: int = 2048, bundle: int = 16) -> DataFrame:
+           replicas: int = 4, least_classes: int = 0, block: int = 2048, bundle: int = 16) -> DataFrame:
     """The ``k`` candidates of largest inner product for every row where ``is_query`` (a condition on vec_id).
 
     (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id; every row but the
     query's own is a candidate, all of them are returned if there are fewer than k. ``score`` is the
     inner product of the original vectors in double precision. Null ids, and vectors that are null,
     empty, zero, of another dimension than most, or hold null or non-finite components take no part.
-    Repeated rows count once. Up to ``least_classes`` distinct vectors form one list (exact search).
-    ``bundle`` lists share the rows that carry their vectors and queries.
+    Repeated rows count once. Lists are used at any size; up to ``least_classes`` distinct vectors form
+    one list (exact search). ``bundle`` lists share the rows that carry their vectors and queries.
     """
     spark = vectors.sparkSession
     rows = staged(valid_vectors(vectors), "vectors")
