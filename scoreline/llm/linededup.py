@@ -1,7 +1,8 @@
 """Line dedup: exact copies by hash, near copies by a segment-partition edit join (Pass-Join).
 
-A line of at least ``min_chars`` characters is a duplicate if an earlier line of the corpus is the
-same, or reaches it over lines within ``threshold`` edits. (Li et al., "PASS-JOIN", 2011.)
+A line is a duplicate if an earlier line of the corpus is the same, or reaches it over lines within
+``threshold`` edits. Exact copies count from ``min_exact`` characters (1: every line that is not
+blank), edits link lines of at least ``min_chars``. (Li et al., "PASS-JOIN", 2011.)
 
 1. A line of length n is split into threshold + 1 segments; two lines within the threshold share
    one of them. Index rows carry the hash of (length, segment number, segment); probe rows carry
@@ -43,15 +44,18 @@ def line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode())[:12]
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, th, n_lines, line, id) for every line of at least ``min_chars`` characters."""
+def line_table(docs: DataFrame, min_chars: int, blank: int = 0) -> DataFrame:
+    """(doc_id, th, n_lines, line, id) for every line of at least ``min_chars`` characters.
+
+    Lines of white space alone count from ``blank`` characters.
+    """
     def run(batches):
         for batch in batches:
             out: tuple = ([], [], [], [])
             for row, text in enumerate(batch.column(2).to_pylist()):
                 lines = (text or "").split("\n")
                 for i, line in enumerate(lines):
-                    if len(line) >= min_chars:
+                    if len(line) >= min_chars and (len(line) >= blank or line.strip()):
                         out[0].append(row)
                         out[1].append(len(lines))
                         out[2].append(i)
@@ -375,16 +379,17 @@ def _blocks(batches):
         yield ids, texts, np.array(kinds)
 
 
-def duplicate_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) -> DataFrame:
+def duplicate_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, min_exact: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): (doc_id, th, n_lines, n_removed, removed, classes).
 
     ``removed`` lists the numbers (from 0) of lines that are not the first of their class, in line
     order, and ``classes`` the doc_id that holds each one's first. "First" is by (doc_id, text hash,
-    line number), null ids first. Lines shorter than ``min_chars`` characters are never touched,
-    nor do they link. Null or empty text: one empty line, none removed. Rows that repeat doc_id and
+    line number), null ids first. Lines shorter than ``min_chars`` characters do not link; they are
+    duplicates only of the same line, if they have ``min_exact`` characters (``min_chars`` if None) and
+    are not blank. Null or empty text: one empty line, none removed. Rows that repeat doc_id and
     text are one document. Empty table: no rows.
     """
-    table = staged(line_table(docs, min_chars), "linetable")
+    table = staged(line_table(docs, min_chars if min_exact is None else min_exact, min_chars), "linetable")
     joined = components(links(docs, threshold, min_chars))
     place = F.struct("doc_id", "th", "line")
     first = table.groupBy("id").agg(F.min(place).alias("p"), F.count("*").alias("n"))
@@ -409,14 +414,15 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) ->
                     F.coalesce("classes", F.expr("cast(array() AS array<bigint>)")).alias("classes")))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, least_kept: float = 0.0) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, least_kept: float = 0.0,
+                min_exact: int = 1) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text`` (columns as before; ``n_chars`` follows).
 
     Only lines go, and a document of which no visible character is left. A ``least_kept`` above 0 also
     drops documents that keep less than that share of their characters, lines of their own included.
     Rows without duplicate lines come back unchanged, nulls included.
     """
-    found = duplicate_lines(docs, threshold, min_chars).where("n_removed > 0").select(
+    found = duplicate_lines(docs, threshold, min_chars, min_exact).where("n_removed > 0").select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__key"), F.col("removed").alias("__removed"))
     found = staged(found, "removed")
     joined = docs.withColumn("__th", text_key()).join(

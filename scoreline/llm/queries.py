@@ -41,7 +41,7 @@ def op4_nearest(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    return linededup.duplicate_lines(read(spark, sf_dir, "documents")).drop("th")
+    return linededup.duplicate_lines(read(spark, sf_dir, "documents"), min_exact=1).drop("th")
 
 
 def op6_surrogates(spark, sf_dir):
