@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, arrowfile, linededup, mil, mixing, packing, pii, quality_rules, simhash, urlfilter
+from . import ann, arrowfile, balltree, hardneg, lexical, linededup, mil, mixing, packing, pii, quality_rules, simhash, urlfilter
 from .common import read
 
 WINDOW = 2048
@@ -71,9 +71,23 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_topk(spark, sf_dir):
+    return balltree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hardneg.mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_packing, op3_quality_rules, op4_nearest, op5_line_dedup, op6_surrogates,
-    op7_quality_classifier, op8_arrow_files, op9_mixing, op10_simhash)}
+    op7_quality_classifier, op8_arrow_files, op9_mixing, op10_simhash,
+    op11_exact_topk, op12_hard_negatives, op13_lexical_search)}
 
 # DuckDB SQL of the queries that SQL can express. The others (learned scores, tokenizers, approximate search,
 # edit joins, fingerprints) are tested against brute force in tests/llm.
@@ -171,4 +185,56 @@ SELECT doc_id, domain, lang, source, tokens, (whole + (part > 0)::INT)::BIGINT A
        (whole * tokens + part)::BIGINT AS take_tokens
 FROM c WHERE whole + (part > 0)::INT > 0
 """
-ORACLE_SQL = {"op1_url_filter": _URL, "op3_quality_rules": _RULES, "op9_mixing": _MIX}
+_FINITE = "{0} IS NOT NULL AND len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_TOPK = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND {_FINITE.format("embedding")}
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 10
+"""
+_HARD = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE.format("embedding")}
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LEXICAL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+), one AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY row, term
+), df AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, one GROUP BY term
+), item AS (
+  SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark
+), s AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id,
+         sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * docs) // words))))::BIGINT AS score
+  FROM item JOIN df USING (term) JOIN tf USING (term), one GROUP BY item_id, row
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY rank <= 50
+"""
+ORACLE_SQL = {"op11_exact_topk": _TOPK, "op12_hard_negatives": _HARD, "op13_lexical_search": _LEXICAL, "op1_url_filter": _URL, "op3_quality_rules": _RULES, "op9_mixing": _MIX}
