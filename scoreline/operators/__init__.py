@@ -1,10 +1,11 @@
 """DataFrame -> DataFrame operators over matches, snapshots and keys."""
 
+from scoreline.operators.form import recent_form, rest_days
 from scoreline.operators.integrity import (check_fk, check_fks, check_unique, drop_orphans,
                                            enforce, integrity_report)
 from scoreline.operators.matchups import head_to_head, head_to_head_summary
 from scoreline.operators.reshape import to_participants
-from scoreline.operators.scan import rank_desc, running_sum
+from scoreline.operators.scan import neighbours, range_sums, rank_desc, running_sum, running_sums
 from scoreline.operators.scoring import (biggest_margins, group_overview, high_scoring,
                                          home_advantage, margin_tallies, scoring_profile,
                                          scoring_profile_both, top_winners)
@@ -13,7 +14,8 @@ from scoreline.operators.standings import gap_to_leader, running_standings, seas
 from scoreline.operators.streaks import longest_run_per_team, runs, streaks
 
 __all__ = [
-    "to_participants", "running_sum", "rank_desc",
+    "to_participants", "running_sum", "running_sums", "range_sums", "neighbours", "rank_desc",
+    "recent_form", "rest_days",
     "group_overview", "top_winners", "home_advantage", "biggest_margins", "scoring_profile",
     "scoring_profile_both", "high_scoring", "margin_tallies",
     "season_table", "standings", "gap_to_leader", "running_standings",

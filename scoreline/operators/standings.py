@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import drawn, lost, points, sql_asc, won
 from scoreline.operators.reshape import to_participants
-from scoreline.operators.scan import rank_desc, running_sum
+from scoreline.operators.scan import rank_desc, running_sum, written
 
 TIE_BREAKS = ("points", "goal_diff", "goals_for")
 
@@ -135,8 +135,10 @@ def running_standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     long = to_participants(m, keep=("id", "league_id", "season", "stage", "date")) \
         .withColumn("round_points", points("gf", "ga"))
     # SQL order: ascending, NULLs last.
-    totals = running_sum(long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
-                         "round_points", "total_points", nulls_last=True)
+    # Written once: the ranks read the totals for their histogram and for the result.
+    totals = written(running_sum(long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
+                                 "round_points", "total_points", nulls_last=True)
+                     .select("league_id", "season", "stage", "date", "team_api_id", "round_points", "total_points"))
     ranked = rank_desc(totals, ["league_id", "season", "stage"], "total_points", "position")
     t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
     out = (ranked.join(lg, F.col("league_id") == F.col("_l_id"))

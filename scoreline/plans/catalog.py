@@ -23,6 +23,7 @@ from scoreline.sources import MatchTables, match_tables, read_table, teams_in_go
 MIN_MATCHES = 12            # top_winners, scoring_profile, high_scoring
 MIN_HOME_MATCHES = 8        # home_advantage
 MIN_MARGIN = 5              # biggest_margins
+FORM_DAYS = 60              # recent_form
 EXCLUDED_SEASONS = ["2001"]          # the last year is incomplete (orders stop in August)
 EXCLUDED_LEAGUES = ["NATION_24"]
 RIVALS = ("Supplier#000000014", "Supplier#000000099")
@@ -70,6 +71,8 @@ MATCH_REPORTS: dict[str, Callable[[MatchTables, DataFrame], DataFrame]] = {
     "unbeaten_streaks": lambda mt, good: op.streaks(mt.matches, mt.teams, mt.leagues, "unbeaten", 10,
                                                     EXCLUDED_LEAGUES),
     "longest_win_per_team": lambda mt, good: op.longest_run_per_team(mt.matches, mt.teams, "win"),
+    "recent_form": lambda mt, good: op.recent_form(mt.matches, mt.teams, mt.leagues, FORM_DAYS),
+    "rest_days": lambda mt, good: op.rest_days(mt.matches, mt.teams, mt.leagues),
     "head_to_head": lambda mt, good: op.head_to_head(mt.matches, mt.teams, RIVALS[0], RIVALS[1],
                                                      RIVAL_VENUES),
     "head_to_head_summary": lambda mt, good: op.head_to_head_summary(mt.matches, mt.teams,
