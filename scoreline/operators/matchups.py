@@ -59,3 +59,34 @@ def head_to_head_summary(matches: DataFrame, teams: DataFrame, team_a: str, team
                  (n - F.count_if(a_won) - F.count_if(b_won)).alias("draws"),
                  F.sum(hg + ag).alias("total_goals"))
             .select(F.lit(team_a).alias("team_a"), F.lit(team_b).alias("team_b"), "*"))
+
+
+def head_to_head_report(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str,
+                        venues: tuple[str, str] = ("Home of A", "Home of B")) -> DataFrame:
+    """Detail and balance of a pair in one result: every meeting, each season, each venue and all of them.
+
+    ``level`` is "match", "season", "venue" or "all" (GROUPING SETS over the meetings, which are read once); columns
+    that a level does not group by are NULL. A match row has its date, scoreline and winner, the others counts
+    and goals over their meetings. A meeting without a score is a draw, as in ``head_to_head``. No meeting: no rows.
+    """
+    hg, ag = F.col("home_team_goal"), F.col("away_team_goal")
+    at_home = F.col("home_team") == team_a
+    met = _pair(matches, teams, team_a, team_b).select(
+        "id", "season", F.when(at_home, F.lit(venues[0])).otherwise(F.lit(venues[1])).alias("venue"),
+        F.col("date").cast("date").alias("day"), F.col("stage"),
+        F.when(at_home, hg).otherwise(ag).alias("a"), F.when(at_home, ag).otherwise(hg).alias("b"),
+        F.concat("home_team", F.lit(" "), hg.cast("string"), F.lit("-"), ag.cast("string"), F.lit(" "), "away_team").alias("text"))
+    a, b = F.col("a"), F.col("b")
+    n, wins_a, wins_b = F.count(F.lit(1)), F.count_if(a > b), F.count_if(b > a)
+    one = F.grouping("id") == 0
+    level = (F.when(one, "match").when(F.grouping("season") == 0, "season").when(F.grouping("venue") == 0, "venue").otherwise("all"))
+    sets = [["id", "season", "venue"], ["season"], ["venue"], []]
+    return (met.groupingSets([[F.col(c) for c in s] for s in sets], F.col("id"), F.col("season"), F.col("venue"))
+            .agg(level.alias("level"), F.when(one, F.max("day")).alias("match_date"), F.when(one, F.max("stage")).alias("round"),
+                 F.when(one, F.max("text")).alias("scoreline"),
+                 F.when(one, F.when(wins_a > 0, team_a).when(wins_b > 0, team_b).otherwise(DRAW_LABEL)).alias("winner"),
+                 n.alias("meetings"), wins_a.alias("wins_a"), wins_b.alias("wins_b"), (n - wins_a - wins_b).alias("draws"),
+                 F.sum("a").alias("goals_a"), F.sum("b").alias("goals_b"))
+            .select("level", "season", "venue", "match_date", "round", "scoreline", "winner", "meetings", "wins_a", "wins_b", "draws",
+                    "goals_a", "goals_b")
+            .orderBy(F.expr("array_position(array('match', 'season', 'venue', 'all'), level)"), *sql_asc("match_date", "season", "venue", "scoreline")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.functions import avg_rounded, mean, pct, result, sql_asc
+from scoreline.functions import avg_rounded, collated, mean, pct, result, sql_asc
 from scoreline.functions.outcomes import LOSS, WIN, DRAW
 from scoreline.functions.rounding import half_up, half_up_wide
 from scoreline.operators.reshape import to_participants
@@ -62,10 +62,40 @@ def group_overview(matches: DataFrame, leagues: DataFrame, countries: DataFrame)
     )
 
 
+def overview_rollup(matches: DataFrame, leagues: DataFrame, countries: DataFrame) -> DataFrame:
+    """``group_overview`` with subtotals: per league, per country and over all, in one result.
+
+    ``level`` is "league", "country" or "all" (ROLLUP); names that a level does not group by are NULL. The
+    matches are aggregated per (league id, home team) first, so the three levels are made of those rows and never
+    of the matches; teams are counted once per level. No matches: no rows.
+    """
+    h, a = F.col("home_team_goal"), F.col("away_team_goal")
+    n = F.count(F.lit(1))
+    per_team = matches.groupBy("league_id", "home_team_api_id").agg(
+        n.alias("n"), F.sum(h + a).alias("goals"), F.count(h + a).alias("scored"), F.count_if(h > a).alias("h"),
+        F.count_if(h < a).alias("a"), F.count_if(h == a).alias("d"), F.min("date").alias("first"), F.max("date").alias("last"))
+    lg = leagues.select(F.col("id").alias("_l_id"), F.col("country_id").alias("_l_cid"), F.col("name").alias("league"))
+    ct = countries.select(F.col("id").alias("_c_id"), F.col("name").alias("country"))
+    named = per_team.join(lg, F.col("league_id") == F.col("_l_id")).join(ct, F.col("_l_cid") == F.col("_c_id"))
+    level = F.when(F.grouping_id() == 0, "league").when(F.grouping_id() == 1, "country").otherwise("all")
+    return (named.rollup("country", "league")
+            .agg(level.alias("level"), F.sum("n").alias("matches"), F.countDistinct("home_team_api_id").alias("teams"),
+                 F.sum("goals").alias("total_goals"), mean(F.sum("goals"), F.sum("scored"), 2).alias("goals_per_match"),
+                 pct(F.sum("h"), F.sum("n")).alias("pct_home_wins"), pct(F.sum("a"), F.sum("n")).alias("pct_away_wins"),
+                 pct(F.sum("d"), F.sum("n")).alias("pct_draws"),
+                 F.min("first").cast("date").alias("first_date"), F.max("last").cast("date").alias("last_date"))
+            .select("level", "country", "league", "matches", "teams", "total_goals", "goals_per_match", "pct_home_wins",
+                    "pct_away_wins", "pct_draws", "first_date", "last_date")
+            .orderBy(F.col("country").asc_nulls_last(), F.col("league").asc_nulls_last()))
+
+
 def top_winners(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
-                min_matches: int = 150, k: int = 10) -> DataFrame:
+                min_matches: int = 150, k: int = 10, collation: str | None = None) -> DataFrame:
     """W/D/L record per (team name, league name) with at least ``min_matches``; top k by wins.
 
+    With a ``collation`` names that it holds equal (case, accents) are one team, shown by the smallest spelling,
+    and ties in wins are ordered by it.
+
     A NULL score counts as a draw. Counts are first aggregated per (team id,
     league id) — the names are joined onto those few rows, not onto every
     match — and then merged per name, which is exact because counts add up.
@@ -78,13 +108,15 @@ def top_winners(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         F.count_if(r == DRAW).alias("_d"), F.count_if(r == LOSS).alias("_l"))
     return (
         _names(per_id, teams, leagues)
-        .groupBy("team", "league")
-        .agg(F.sum("_n").alias("matches"), F.sum("_w").alias("wins"),
+        .groupBy(collated("team", collation).alias("_team"), collated("league", collation).alias("_league"))
+        .agg(F.min("team").alias("team"), F.min("league").alias("league"),
+             F.sum("_n").alias("matches"), F.sum("_w").alias("wins"),
              F.sum("_d").alias("draws"), F.sum("_l").alias("losses"))
         .filter(F.col("matches") >= min_matches)
         .withColumn("pct_wins", pct("wins", "matches"))
-        .orderBy(F.col("wins").desc(), *sql_asc("team", "league"))
+        .orderBy(F.col("wins").desc(), *sql_asc("_team", "_league"))
         .limit(k)
+        .drop("_team", "_league")
     )
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.functions import drawn, lost, points, sql_asc, won
+from scoreline.functions import collated, drawn, lost, points, sql_asc, won
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import rank_desc, running_sum, written
 
@@ -52,14 +52,16 @@ RANKINGS = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_numb
 
 
 def standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame, top: int = 3,
-              tie_breaks: Iterable[str] = TIE_BREAKS, method: str = "rank") -> DataFrame:
+              tie_breaks: Iterable[str] = TIE_BREAKS, method: str = "rank",
+              collation: str | None = None) -> DataFrame:
     """The first ``top`` positions of every league-season.
 
     Positions follow the tie-break columns, all descending (NULL first).
     With ``method="rank"`` ties share a position and the next is skipped
     (1, 2, 2, 4), so more than ``top`` rows can come back; ``"dense_rank"``
     does not skip (1, 2, 2, 3); ``"row_number"`` numbers every team
-    (ties then fall in team-id order).
+    (ties then fall in team-id order). ``collation`` sorts the names of the
+    result by a language's rules; it does not change positions.
     """
     table = season_table(matches)
     order = [F.col(c).desc_nulls_first() for c in tie_breaks]
@@ -74,7 +76,25 @@ def standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame, top: int
             .join(lg, F.col("league_id") == F.col("_l_id"))
             .select("league", "season", "position", "team", "points", "won", "drawn", "lost",
                     "goals_for", "goals_against", "goal_diff")
-            .orderBy(*sql_asc("league", "season", "position", "team")))
+            .orderBy(*sql_asc(collated("league", collation), "season", "position", collated("team", collation), "league", "team")))
+
+
+def name_register(matches: DataFrame, teams: DataFrame, leagues: DataFrame, collation: str | None = "UNICODE", *,
+                  rows: int | None = None) -> DataFrame:
+    """The teams of every league in the order of their names: (league, place, team, team_api_id, matches).
+
+    Names are ordered by ``collation`` (byte by byte if None), equal ones by team id. A league may have any number
+    of teams: places are running sums over chunks of it (``rows`` each), not a window over the league.
+    """
+    played = to_participants(matches, keep=("league_id",)).groupBy("league_id", "team_api_id").agg(F.count(F.lit(1)).alias("matches"))
+    t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
+    lg = leagues.select(F.col("id").alias("_l_id"), F.col("name").alias("league"))
+    named = written(played.join(t, F.col("team_api_id") == F.col("_t_id")).select("league_id", "team_api_id", "team", "matches"))
+    ordered = named.withColumn("_name", collated("team", collation)).withColumn("_one", F.lit(1))
+    placed = running_sum(ordered, ["league_id"], ["_name", "team_api_id"], "_one", "place", nulls_last=True, rows=rows)
+    return (placed.join(lg, F.col("league_id") == F.col("_l_id"))
+            .select("league", "place", "team", "team_api_id", "matches")
+            .orderBy(*sql_asc(collated("league", collation), "place", "team_api_id")))
 
 
 def gap_to_leader(matches: DataFrame, teams: DataFrame, leagues: DataFrame, position: int = 2,

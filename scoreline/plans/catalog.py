@@ -11,12 +11,14 @@ one pair), never a way to shrink the input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline import operators as op
+from scoreline.session import checkpoint_dir
 from scoreline.sources import MatchTables, match_tables, read_table, teams_in_good_standing
 
 # Report settings for the driver's data (fixed values).
@@ -40,6 +42,25 @@ def _refs(good: DataFrame):
     return [("home_team_api_id", good, "team_api_id"), ("away_team_api_id", good, "team_api_id")]
 
 
+def _two_spellings(teams: DataFrame) -> DataFrame:
+    """Teams in pairs whose names differ in case and accent only, as two sources may spell them."""
+    n = F.call_function("div", F.col("team_api_id"), F.lit(2)).cast("string")
+    return teams.select("team_api_id", F.when(F.col("team_api_id") % 2 == 0, F.concat(F.lit("ÉTOILE "), n))
+                        .otherwise(F.concat(F.lit("etoile "), n)).alias("team_long_name"))
+
+
+def _accented(teams: DataFrame) -> DataFrame:
+    """Teams whose names hold accented and capital letters instead of digits."""
+    return teams.select("team_api_id", F.translate(F.substring("team_long_name", 10, 9), "0123456789", "aÁbÉeZzñNö").alias("team_long_name"))
+
+
+def _audit_teams(mt: MatchTables, good: DataFrame) -> DataFrame:
+    # Stored per league and season, then read back: the counts per country come from the stored rows.
+    path = f"{checkpoint_dir(mt.matches.sparkSession).rstrip('/')}/scoreline/sketches-{uuid.uuid4().hex}"
+    op.write_sketches(op.team_sketches(mt.matches), path)
+    return op.audit_teams(op.read_sketches(mt.matches.sparkSession, path), mt.matches, mt.leagues, mt.countries)
+
+
 # Reports over any match tables: (MatchTables, parent team table) -> DataFrame.
 MATCH_REPORTS: dict[str, Callable[[MatchTables, DataFrame], DataFrame]] = {
     "group_overview": lambda mt, good: op.group_overview(mt.matches, mt.leagues, mt.countries),
@@ -77,6 +98,12 @@ MATCH_REPORTS: dict[str, Callable[[MatchTables, DataFrame], DataFrame]] = {
                                                      RIVAL_VENUES),
     "head_to_head_summary": lambda mt, good: op.head_to_head_summary(mt.matches, mt.teams,
                                                                      RIVALS[0], RIVALS[1]),
+    "head_to_head_report": lambda mt, good: op.head_to_head_report(mt.matches, mt.teams, RIVALS[0], RIVALS[1], RIVAL_VENUES),
+    "overview_rollup": lambda mt, good: op.overview_rollup(mt.matches, mt.leagues, mt.countries),
+    "approx_teams_audit": _audit_teams,
+    "top_winners_merged": lambda mt, good: op.top_winners(mt.matches, _two_spellings(mt.teams), mt.leagues, MIN_MATCHES, 25,
+                                                          collation="UNICODE_CI_AI"),
+    "name_register": lambda mt, good: op.name_register(mt.matches, _accented(mt.teams), mt.leagues),
     "drop_orphans": lambda mt, good: op.drop_orphans(mt.matches, _refs(good)),
     "check_fk": lambda mt, good: op.check_fks([
         ("fk_match_home_team", mt.matches, "home_team_api_id", good, "team_api_id"),
