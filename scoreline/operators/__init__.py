@@ -1,9 +1,11 @@
 """DataFrame -> DataFrame operators over matches, snapshots and keys."""
 
 from scoreline.operators.form import recent_form, rest_days
-from scoreline.operators.integrity import (check_fk, check_fks, check_unique, drop_orphans,
-                                           enforce, integrity_report)
-from scoreline.operators.matchups import head_to_head, head_to_head_report, head_to_head_summary
+from scoreline.operators.integrity import (check_fk, check_fks, check_unique, clean_counts, drop_orphans,
+                                           enforce, integrity_report, write_clean)
+from scoreline.operators.matchups import head_to_head, head_to_head_report, head_to_head_summary, team_ids
+from scoreline.operators.publish import current_version, publish, read_published
+from scoreline.operators.quarantine import quarantine_counts, split_dates
 from scoreline.operators.reshape import to_participants
 from scoreline.operators.scan import neighbours, range_sums, rank_desc, running_sum, running_sums
 from scoreline.operators.scoring import (biggest_margins, group_overview, high_scoring,
@@ -23,7 +25,8 @@ __all__ = [
     "team_sketches", "merge_sketches", "write_sketches", "read_sketches", "approx_teams", "audit_teams",
     "season_table", "standings", "name_register", "gap_to_leader", "running_standings",
     "runs", "streaks", "longest_run_per_team",
-    "head_to_head", "head_to_head_report", "head_to_head_summary",
+    "team_ids", "head_to_head", "head_to_head_report", "head_to_head_summary",
     "latest_per_period", "compare_latest", "yearly_evolution",
     "drop_orphans", "check_unique", "check_fk", "check_fks", "integrity_report", "enforce",
+    "write_clean", "clean_counts", "publish", "read_published", "current_version", "split_dates", "quarantine_counts",
 ]

@@ -32,15 +32,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 
-def drop_orphans(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Rows of ``child`` that survive the orphan DELETE over all ``refs`` = (fk, parent, pk)."""
+def _flagged(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """``child`` with ``_keep``: does the row survive the orphan DELETE over all ``refs`` = (fk, parent, pk)."""
     out = child
-    safe: list[Column] = []
+    safe: list[Column] = [F.lit(True)]
     for i, (fk, parent, pk) in enumerate(refs):
         keys = (parent.select(F.col(pk).alias(f"_pk{i}")).filter(F.col(f"_pk{i}").isNotNull())
                 .distinct().withColumn(f"_hit{i}", F.lit(True)))
@@ -49,9 +49,35 @@ def drop_orphans(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]]) -
         out = out.join(keys, F.col(fk) == F.col(f"_pk{i}"), "left")
         safe.append((rows.getField("n") > 0) &
                     (F.col(fk).isNull() | F.col(f"_hit{i}").isNotNull() | (rows.getField("nulls") > 0)))
-    keep = reduce(lambda a, b: a & b, safe)
     helpers = [c for i in range(len(refs)) for c in (f"_pk{i}", f"_hit{i}")]
-    return out.filter(keep).drop(*helpers)
+    return out.withColumn("_keep", reduce(lambda a, b: a & b, safe)).drop(*helpers)
+
+
+def drop_orphans(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Rows of ``child`` that survive the orphan DELETE over all ``refs`` = (fk, parent, pk)."""
+    return _flagged(child, refs).filter("_keep").drop("_keep")
+
+
+def write_clean(child: DataFrame, refs: Sequence[tuple[str, DataFrame, str]], path: str) -> tuple[DataFrame, dict]:
+    """Write what ``drop_orphans`` keeps to ``path`` (a new folder); returns the written table and the step's counts.
+
+    The counts {"before", "removed", "kept"} are observed on the rows as they are written, so neither table is read
+    again for them. They are taken in the writing tasks themselves, after all exchanges: a task that runs
+    again after a lost executor counts once. Empty tables count 0.
+    """
+    spark, seen = child.sparkSession, Observation()
+    one = F.lit(1)
+    flagged = _flagged(child, refs).observe(seen, F.count(one).alias("before"), F.count_if(F.col("_keep")).alias("kept"))
+    flagged.filter("_keep").drop("_keep").write.parquet(path)
+    counts = {k: seen.get[k] or 0 for k in ("before", "kept")}
+    return (spark.read.schema(child.schema).parquet(path),
+            {"before": counts["before"], "removed": counts["before"] - counts["kept"], "kept": counts["kept"]})
+
+
+def clean_counts(spark: SparkSession, steps: Sequence[tuple[str, dict]]) -> DataFrame:
+    """The counts of some ``write_clean`` steps as rows (constraint_name, before, removed, kept); one per step."""
+    return spark.createDataFrame([(name, c["before"], c["removed"], c["kept"]) for name, c in steps],
+                                 "constraint_name string, before long, removed long, kept long")
 
 
 def check_unique(df: DataFrame, cols: Sequence[str], primary: bool = True) -> DataFrame:

@@ -10,32 +10,44 @@ from scoreline.functions import sql_asc
 DRAW_LABEL = "Draw"
 
 
-def _pair(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str) -> DataFrame:
+def team_ids(teams: DataFrame, *names: str, most: int = 1000) -> list:
+    """The ids of the teams of these names, looked up now; raises if more than ``most`` teams share them."""
+    found = [r[0] for r in teams.filter(F.col("team_long_name").isin(*names)).select("team_api_id").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} teams are called {names}")
+    return sorted(i for i in found if i is not None)
+
+
+def _pair(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str, ids: list | None = None) -> DataFrame:
     home = teams.select(F.col("team_api_id").alias("_h_id"), F.col("team_long_name").alias("home_team"))
     away = teams.select(F.col("team_api_id").alias("_a_id"), F.col("team_long_name").alias("away_team"))
     h, a = F.col("home_team"), F.col("away_team")
-    # The ids of the two names are one scalar row; with them the scan of the
-    # matches is filtered on both sides before any exchange or join.
-    ids = (teams.filter(F.col("team_long_name").isin(team_a, team_b))
-           .select(F.collect_set("team_api_id")).scalar())
-    met = matches.filter(F.array_contains(ids, F.col("home_team_api_id"))
-                         & F.array_contains(ids, F.col("away_team_api_id")))
+    if ids is not None:  # these reach the files' statistics and bloom filters
+        met = matches.filter(F.col("home_team_api_id").isin(ids) & F.col("away_team_api_id").isin(ids))
+    else:
+        # The ids of the two names are one scalar row; with them the scan of the
+        # matches is filtered on both sides before any exchange or join.
+        found = (teams.filter(F.col("team_long_name").isin(team_a, team_b))
+                 .select(F.collect_set("team_api_id")).scalar())
+        met = matches.filter(F.array_contains(found, F.col("home_team_api_id"))
+                             & F.array_contains(found, F.col("away_team_api_id")))
     return (met.join(home, F.col("home_team_api_id") == F.col("_h_id"))
             .join(away, F.col("away_team_api_id") == F.col("_a_id"))
             .filter(((h == team_a) & (a == team_b)) | ((h == team_b) & (a == team_a))))
 
 
 def head_to_head(matches: DataFrame, teams: DataFrame, team_a: str, team_b: str,
-                 venues: tuple[str, str] = ("Home of A", "Home of B")) -> DataFrame:
+                 venues: tuple[str, str] = ("Home of A", "Home of B"), ids: list | None = None) -> DataFrame:
     """Every match between ``team_a`` and ``team_b``, by date.
 
     ``venues`` names the ground of each side: a match is placed at
     ``venues[0]`` when ``team_a`` plays at home, otherwise at ``venues[1]``.
-    The winner of a draw, or of a match without a score, is "Draw".
+    The winner of a draw, or of a match without a score, is "Draw". ``ids`` are the
+    pair's ``team_ids`` if they are known; the scan then skips files by them.
     """
     hg, ag = F.col("home_team_goal"), F.col("away_team_goal")
     h, a = F.col("home_team"), F.col("away_team")
-    return (_pair(matches, teams, team_a, team_b)
+    return (_pair(matches, teams, team_a, team_b, ids)
             .select(F.col("date").cast("date").alias("match_date"), "season",
                     F.col("stage").alias("round"),
                     F.when(h == team_a, F.lit(venues[0])).otherwise(F.lit(venues[1])).alias("venue"),

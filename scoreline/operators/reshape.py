@@ -21,8 +21,11 @@ def to_participants(matches: DataFrame, keep: Iterable[str] = ("league_id", "sea
     """Columns: ``keep`` + team_api_id, opponent_api_id, is_home, gf, ga.
 
     ``gf``/``ga`` are goals for and against from that team's side. Only the
-    ``keep`` columns are carried, so the scan below reads no more than that.
+    ``keep`` columns are carried, so the scan below reads no more than that. Rows that are
+    sides of matches already (a stored layout's) are taken as they are.
     """
+    if "team_api_id" in matches.columns and "home_team_api_id" not in matches.columns:
+        return matches.select(*keep, *PARTICIPANT_FIELDS)
     home = F.struct(F.col("home_team_api_id").alias("team_api_id"),
                     F.col("away_team_api_id").alias("opponent_api_id"),
                     F.lit(True).alias("is_home"),

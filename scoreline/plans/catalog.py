@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from scoreline import operators as op
 from scoreline.session import checkpoint_dir
-from scoreline.sources import MatchTables, match_tables, read_table, teams_in_good_standing
+from scoreline.sources import MatchTables, match_tables, read_table, teams_in_good_standing, write_layout
 
 # Report settings for the driver's data (fixed values).
 MIN_MATCHES = 12            # top_winners, scoring_profile, high_scoring
@@ -30,6 +30,7 @@ EXCLUDED_SEASONS = ["2001"]          # the last year is incomplete (orders stop
 EXCLUDED_LEAGUES = ["NATION_24"]
 RIVALS = ("Supplier#000000014", "Supplier#000000099")
 RIVAL_VENUES = ("Ground 14", "Ground 99")
+EARLIEST = "1990-01-01"     # snapshot dates before it are quarantined
 EVENT_SELECT = ["%CLICK%", "%Purchase%"]
 EVENT_COLUMNS = [("click", "%click%"), ("purchase", "%purchase%")]
 ABRUPT_PRIORITY_CHANGE = 3  # priorities run 1..5
@@ -56,7 +57,7 @@ def _accented(teams: DataFrame) -> DataFrame:
 
 def _audit_teams(mt: MatchTables, good: DataFrame) -> DataFrame:
     # Stored per league and season, then read back: the counts per country come from the stored rows.
-    path = f"{checkpoint_dir(mt.matches.sparkSession).rstrip('/')}/scoreline/sketches-{uuid.uuid4().hex}"
+    path = _new_folder(mt.matches.sparkSession, "sketches")
     op.write_sketches(op.team_sketches(mt.matches), path)
     return op.audit_teams(op.read_sketches(mt.matches.sparkSession, path), mt.matches, mt.leagues, mt.countries)
 
@@ -138,6 +139,27 @@ def compare_latest(spark, sf_dir):
                              columns=EVENT_COLUMNS, period="day")
 
 
+def _dirty_events(spark, sf_dir) -> DataFrame:
+    """Events whose text dates are now and then missing, blank, malformed or absurd, as imports have them."""
+    n = F.col("event_id")
+    text = (F.when(n % 97 == 0, "n/a").when(n % 89 == 0, F.concat(F.substring(F.col("ts").cast("string"), 1, 5), F.lit("13-45")))
+            .when(n % 83 == 0, F.lit(None)).when(n % 79 == 0, "  ").when(n % 73 == 0, "0199-01-01 00:00:00").otherwise(F.col("ts").cast("string")))
+    return (read_table(spark, sf_dir, "events")
+            .select(F.col("event_type").alias("entity"), "event_id", text.alias("ts_text"), F.round(F.col("value") * 100).cast("long").alias("value_cents")))
+
+
+def quarantine_counts(spark, sf_dir):
+    _, bad = op.split_dates(_dirty_events(spark, sf_dir), "ts_text", not_before=EARLIEST)
+    return op.quarantine_counts(bad, "event_id")
+
+
+def compare_latest_tolerant(spark, sf_dir):
+    good, _ = op.split_dates(_dirty_events(spark, sf_dir), "ts_text", not_before=EARLIEST)
+    entities = good.select("entity", F.col("entity").alias("name")).distinct()
+    return op.compare_latest(entities, good, key="entity", name="name", ts="snapshot_ts", order_id="event_id", metric="value_cents",
+                             select=EVENT_SELECT, columns=EVENT_COLUMNS, period="day")
+
+
 def yearly_evolution(spark, sf_dir, abrupt: dict | None = None, only=None):
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
@@ -200,6 +222,42 @@ def integrity_report(spark, sf_dir):
                       ("fk_orders_customer", orders, "o_custkey", customer, "c_custkey")])
 
 
+def _new_folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/scoreline/{name}-{uuid.uuid4().hex}"
+
+
+def clean_counts(spark, sf_dir):
+    mt = match_tables(spark, sf_dir)
+    customer, orders = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
+    _, matches = op.write_clean(mt.matches, _refs(teams_in_good_standing(spark, sf_dir)), _new_folder(spark, "clean-matches"))
+    _, kept = op.write_clean(orders, [("o_custkey", _customers_in_good_standing(customer), "c_custkey")], _new_folder(spark, "clean-orders"))
+    return op.clean_counts(spark, [("match orphans", matches), ("orders orphans", kept)])
+
+
+def publish_audit(spark, sf_dir):
+    mt, good = match_tables(spark, sf_dir), teams_in_good_standing(spark, sf_dir)
+    done = op.publish(mt.matches, _new_folder(spark, "published"), refs=_refs(good), primary_keys=[("match.id", ["id"])],
+                      foreign_keys=[("fk_match_home_team", "home_team_api_id", good, "team_api_id"),
+                                    ("fk_match_away_team", "away_team_api_id", good, "team_api_id"),
+                                    ("fk_match_league", "league_id", mt.leagues, "id")])
+    return (spark.createDataFrame(done.report).select("kind", "constraint_name", "violations", F.lit(done.counts["kept"]).cast("long").alias("published_rows")))
+
+
+def _layout(spark, sf_dir):
+    mt, name = match_tables(spark, sf_dir), f"scoreline_{uuid.uuid4().hex}"
+    return mt, write_layout(mt, name, _new_folder(spark, "layout"), buckets=16)
+
+
+def top_winners_layout(spark, sf_dir):
+    mt, layout = _layout(spark, sf_dir)
+    return op.top_winners(layout.sides, layout.teams, mt.leagues, MIN_MATCHES, 10)
+
+
+def head_to_head_layout(spark, sf_dir):
+    mt, layout = _layout(spark, sf_dir)
+    return op.head_to_head(layout.matches, layout.teams, *RIVALS, RIVAL_VENUES, ids=op.team_ids(mt.teams, *RIVALS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{key: _on_driver_tables(key) for key in MATCH_REPORTS if key not in ("drop_orphans", "check_fk")},
     "compare_latest": compare_latest,
@@ -211,4 +269,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_unique": check_unique,
     "check_fk": _on_driver_tables("check_fk"),
     "integrity_report": integrity_report,
+    "quarantine_counts": quarantine_counts,
+    "compare_latest_tolerant": compare_latest_tolerant,
+    "clean_counts": clean_counts,
+    "publish_audit": publish_audit,
+    "top_winners_layout": top_winners_layout,
+    "head_to_head_layout": head_to_head_layout,
 }

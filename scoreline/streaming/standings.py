@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from scoreline.operators.integrity import enforce
 from scoreline.operators.standings import season_table
 from scoreline.session import checkpoint_dir
 from scoreline.sources.match_view import MATCH_SCHEMA
@@ -48,6 +51,18 @@ def _drop_versions(spark: SparkSession, path: str, before: int) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _write_audited(spark: SparkSession, batch: DataFrame, path: str, version: int, audit: Callable[[DataFrame], DataFrame]) -> None:
+    """Write a version out of the readers' sight, audit it there, then rename it into place."""
+    hidden = f"{path.rstrip('/')}/_auditing-{version}"
+    batch.write.mode("overwrite").parquet(hidden)
+    enforce(audit(spark.read.schema(batch.schema).parquet(hidden)))
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (hidden, _version_path(path, version)))
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)  # of a batch that failed after its rename
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {hidden}")
+
+
 def read_live_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of the live table at ``path``.
 
@@ -65,7 +80,8 @@ def read_live_table(spark: SparkSession, path: str) -> DataFrame:
 
 def start_live_table(matches: DataFrame, name: str, sink: str = "table",
                      output_mode: str = "complete", path: str | None = None,
-                     checkpoint: str | None = None) -> StreamingQuery:
+                     checkpoint: str | None = None,
+                     audit: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Start maintaining the season table.
 
     Aggregation state and progress are checkpointed (default: under the
@@ -74,7 +90,9 @@ def start_live_table(matches: DataFrame, name: str, sink: str = "table",
 
     ``sink="table"`` (the default, needs ``path``) writes the whole current table
     after every batch as a version of its own under ``path``, read with
-    ``read_live_table``; ``sink="memory"`` keeps it in the driver as ``name``
+    ``read_live_table``; with ``audit``, a function from the written table to an ``integrity_report``,
+    a version becomes visible only if every constraint holds, otherwise the stream stops with the
+    violations and readers keep the versions before; ``sink="memory"`` keeps it in the driver as ``name``
     (tests, notebooks); any other value is a Structured Streaming format.
     """
     spark = matches.sparkSession
@@ -91,7 +109,10 @@ def start_live_table(matches: DataFrame, name: str, sink: str = "table",
             if any(version > batch_id for version, _ in _versions(spark, path)):
                 raise ValueError(f"{path} holds the table of another stream")
             # After a failure the batch is replayed into its own version.
-            batch.write.mode("overwrite").parquet(_version_path(path, batch_id))
+            if audit is None:
+                batch.write.mode("overwrite").parquet(_version_path(path, batch_id))
+            else:
+                _write_audited(spark, batch, path, batch_id, audit)
             _drop_versions(spark, path, before=batch_id - KEPT_VERSIONS + 1)
 
         return writer.foreachBatch(write_version).queryName(name).start()
