@@ -4,7 +4,8 @@ biggest margins, scoring profile, high-scoring teams.
 All are one (or two, sharing one exchange) hash aggregations with map-side
 partial aggregation, so a team or league holding a third of the matches
 costs one partial row per map task before the shuffle. Dimension names are
-joined onto aggregated rows, never onto every match. Reports that group by
+joined onto aggregated rows; the exceptions are ``group_overview``, which groups by the
+names themselves, and ``biggest_margins``, which lists matches. Reports that group by
 *names* (two entities with one name merge, as intended) aggregate per id
 first and merge per name after the join — exact, since counts and sums add.
 
@@ -130,8 +131,8 @@ def home_advantage(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     league and away league. ``same_league=True`` joins on both keys.
     The gap is rounded once, from the exact difference of the two rates.
 
-    Size: both sides are aggregates (one row per team and league), and the
-    team-only join yields at most L_home x L_away rows per team, where L is
+    Size: the records are aggregates (one row per team and league), and the
+    team-only pairing yields at most L_home x L_away rows per team, where L is
     the number of leagues the team played in — a small domain constant, not
     a function of the number of matches; the top-k then keeps k rows.
     """
@@ -139,18 +140,25 @@ def home_advantage(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
     record = (to_participants(matches, keep=("league_id",)).groupBy("team_api_id", "league_id")
               .agg(F.count_if(F.col("is_home")).alias("home_matches"), F.count_if(F.col("is_home") & won).alias("home_wins"),
                    F.count_if(~F.col("is_home")).alias("away_matches"), F.count_if(~F.col("is_home") & won).alias("away_wins")))
-    home = record.select("team_api_id", "league_id", "home_matches", "home_wins").filter(F.col("home_matches") >= min_home)
-    away = (record.filter(F.col("away_matches") > 0)
-            .select(F.col("team_api_id").alias("_a_team"), F.col("league_id").alias("_a_league"), "away_matches", "away_wins"))
-    on = F.col("team_api_id") == F.col("_a_team")
+    # One row per team with its few records at home and away; the pairs are made inside the row, so the
+    # matches are read and aggregated once.
+    home = F.when(F.col("home_matches") >= min_home, F.struct("league_id", "home_matches", "home_wins"))
+    away = F.when(F.col("away_matches") > 0, F.struct(F.col("league_id").alias("_a_league"), "away_matches", "away_wins"))
+    per_team = (record.groupBy("team_api_id").agg(F.collect_list(home).alias("_homes"), F.collect_list(away).alias("_aways"))
+                .where((F.size("_homes") > 0) & (F.size("_aways") > 0)))
+    t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
+    lg = leagues.select(F.col("id").alias("_l_id"), F.col("name").alias("league"))
+    pairs = (per_team.join(t, F.col("team_api_id") == F.col("_t_id"))
+             .select("team", "_aways", F.inline("_homes")).select("team", "league_id", "home_matches", "home_wins", F.inline("_aways")))
     if same_league:
-        on = on & (F.col("league_id") == F.col("_a_league"))
+        pairs = pairs.where(F.col("league_id") == F.col("_a_league"))
     hm, hw, am, aw = (F.col(c) for c in ("home_matches", "home_wins", "away_matches", "away_wins"))
+    # Products of two counts leave 64 bits beyond some 60 million matches, from there on the gap is exact in 38 digits.
     hm_, hw_, am_, aw_ = (c.cast("decimal(19,0)") for c in (hm, hw, am, aw))
-    # Products of two counts leave 64 bits at large sizes, so the gap is exact in 38 digits.
-    gap = half_up_wide(F.lit(100).cast("decimal(3,0)") * (hw_ * am_ - aw_ * hm_), hm_ * am_, 1)
+    wide = half_up_wide(F.lit(100).cast("decimal(3,0)") * (hw_ * am_ - aw_ * hm_), hm_ * am_, 1)
+    gap = F.when(F.greatest(hm, am) < 60_000_000, half_up(100 * (hw * am - aw * hm), hm * am, 1)).otherwise(wide)
     return (
-        _names(home.join(away, on), teams, leagues)
+        pairs.join(lg, F.col("league_id") == F.col("_l_id"))
         .select("team", "league", "home_matches", "home_wins",
                 pct(hw, hm).alias("pct_home_wins"), "away_matches", "away_wins",
                 pct(aw, am).alias("pct_away_wins"), gap.alias("home_away_gap"))

@@ -18,9 +18,7 @@ Plan: line items are aggregated per order (partial aggregation before the
 shuffle, so even an order holding a third of all line items costs one row
 per map task), joined to orders on the key the aggregate is already
 partitioned by, then to customers (sort-merge or, when AQE sees it small at
-runtime, broadcast), and finally to nations. Nation and region have 25 and
-5 rows at every scale factor, which is the only reason they carry a
-broadcast hint.
+runtime, broadcast), and finally to nations. No join carries a hint.
 """
 
 from __future__ import annotations
@@ -41,6 +39,7 @@ from scoreline.sources.tables import read_table
 
 # (application, sf_dir) -> path of the match table written by this application.
 _WRITTEN: dict[tuple[str, str], str] = {}
+_STATES: dict[tuple[str, str], str] = {}
 _WRITE_LOCK = threading.Lock()
 
 MATCH_SCHEMA = StructType([
@@ -135,7 +134,15 @@ def _write_matches(spark: SparkSession, sf_dir: str, path: str) -> None:
      .write.mode("overwrite").partitionBy("season").parquet(path))
 
 
-def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def known_state(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """``source_state``, looked up once per application and folder; ``refresh`` lists the files again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if refresh or key not in _STATES:
+        _STATES[key] = source_state(spark, sf_dir)
+    return _STATES[key]
+
+
+def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None, refresh: bool = False) -> DataFrame:
     """The match table, derived once per session and written as Parquet.
 
     Like the import step of a warehouse: every report then reads a stored
@@ -153,9 +160,10 @@ def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     table is written there once and reused by later applications while the
     source files are the ones it was derived from; a note beside it says so.
     Other or changed sources raise: the table is never served for them and
-    never overwritten under its readers.
+    never overwritten under its readers. The source files are listed once per application;
+    ``refresh`` lists them again and derives the table anew if they changed.
     """
-    state = source_state(spark, sf_dir)
+    state = known_state(spark, sf_dir, refresh)
     if path is not None:
         noted = _committed(spark, path)
         if noted is None:
@@ -175,9 +183,9 @@ def stored_matches(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return spark.read.schema(MATCH_SCHEMA).parquet(path).select(*MATCH_COLUMNS)
 
 
-def match_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> MatchTables:
-    """Matches (stored once per session unless ``stored=False``) and dimensions."""
-    matches = stored_matches(spark, sf_dir) if stored else derive_matches(spark, sf_dir)
+def match_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh: bool = False) -> MatchTables:
+    """Matches (stored once per session unless ``stored=False``; ``refresh`` looks for changed sources) and dimensions."""
+    matches = stored_matches(spark, sf_dir, refresh=refresh) if stored else derive_matches(spark, sf_dir)
     supplier = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
