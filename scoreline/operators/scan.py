@@ -4,7 +4,7 @@
 Spark sort each whole group in one task. Here a group is cut into chunks along its order, and a
 window never spans more than one chunk:
 
-* Borders are chosen from a sample of bounded size (``SAMPLE`` rows, written once, so a retried
+* Borders are chosen from a written sample of bounded size (``SAMPLE`` rows; a retried
   task and every reader of the plan see the same ones): a group gets one chunk per ``ROWS`` rows, at most
   ``CHUNKS``. A group of a third of all rows has many chunks, whatever its order columns are.
 * Rows learn their chunk from a broadcast of those borders (their number is bounded by the sample) and are
@@ -22,7 +22,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from scoreline.session import checkpoint_dir
@@ -32,12 +32,12 @@ CHUNKS = 1 << 10  # most chunks of one group
 SAMPLE = 1 << 16  # rows that borders are chosen from
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back."""
-    spark = df.sparkSession
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written once as Parquet to the shared folder and read back, and its number of rows, counted meanwhile."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{checkpoint_dir(spark).rstrip('/')}/scoreline/scan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"] or 0
 
 
 def _same(pairs: list[tuple[str, str]]) -> Column:
@@ -56,31 +56,38 @@ def _key(order_by: list[str], nulls_high: bool) -> Column:
     return F.struct(*[f.alias(f"o{i}") for i, f in enumerate(fields)])
 
 
-def _borders(df: DataFrame, partition_by: list[str], key: Column, rows: int) -> DataFrame:
-    """(_p0.., _borders, _heads, _step) of the groups with more than one chunk; ``_heads`` is every ``_step``-th border."""
-    total = df.count()
-    fraction = min(1.0, SAMPLE / max(total, 1))
-    seen = df.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(partition_by)], key.alias("_k"))
-    seen = seen.sample(fraction, seed=11) if fraction < 1 else seen
+def _borders(df: DataFrame, partition_by: list[str], key: Column, rows: int, total: int | None) -> DataFrame:
+    """(_p0.., _borders, _heads, _step) of the groups with more than one chunk; ``_heads`` is every ``_step``-th border.
+
+    The sample is written, so the borders are the same whenever they are computed from it. Where all rows
+    fit one chunk there is nothing to sample.
+    """
+    total = df.count() if total is None else total
     groups = [f"_p{i}" for i in range(len(partition_by))]
+    fraction = min(1.0, SAMPLE / max(total, 1))
+    seen = df.select(*[F.col(c).alias(g) for c, g in zip(partition_by, groups)], key.alias("_k"))
+    if total <= rows:
+        seen = df.sparkSession.createDataFrame([], seen.schema)
+    else:
+        seen, _ = written(seen.sample(fraction, seed=11) if fraction < 1 else seen)
     lists = seen.groupBy(*groups).agg(F.sort_array(F.collect_list("_k")).alias("_seen"))  # SAMPLE rows in all
     n = F.least(F.lit(CHUNKS), F.size("_seen"), F.ceil(F.size("_seen") / F.lit(fraction * rows)).cast("int"))
     cut = F.transform(F.sequence(F.lit(1), F.col("_n") - 1),
                       lambda i: F.element_at("_seen", F.call_function("div", i.cast("long") * F.size("_seen"), F.col("_n")).cast("int") + 1))
     lists = lists.withColumn("_n", n).where("_n > 1").select(*groups, F.array_distinct(cut).alias("_borders"))
     lists = lists.withColumn("_step", F.ceil(F.sqrt(F.size("_borders"))).cast("int"))
-    heads = F.filter("_borders", lambda _, i: i % F.col("_step") == 0)
-    return written(lists.withColumn("_heads", heads))
+    return lists.withColumn("_heads", F.filter("_borders", lambda _, i: i % F.col("_step") == 0))
 
 
 def chunked(df: DataFrame, partition_by: list[str], order_by: list[str], *, nulls_last: bool = False,
-            descending: bool = False, rows: int | None = None) -> DataFrame:
+            descending: bool = False, rows: int | None = None, total: int | None = None) -> DataFrame:
     """``df`` with ``_chunk``, ascending along the order, and ``_split``: the group has more than one.
 
     Rows that agree in all order columns lie in one chunk. The borders are fixed while the query is built.
+    ``total`` is the number of rows, if it is known; otherwise they are counted.
     """
     key = _key(order_by, nulls_last or descending)
-    borders = F.broadcast(_borders(df, partition_by, key, rows or ROWS))
+    borders = F.broadcast(_borders(df, partition_by, key, rows or ROWS, total))
     # Two short searches: the last head that is not above the key, then the borders from there.
     at = F.size(F.filter("_heads", lambda h: h <= F.col("_line_key")))
     inner = F.slice("_borders", (F.col("_head_no") - 1) * F.col("_step") + 1, F.col("_step"))
@@ -99,7 +106,7 @@ def _edge_names(partition_by: list[str]) -> list[str]:
 
 
 def running_sums(df: DataFrame, partition_by: list[str], order_by: list[str], values: dict[str, str], *,
-                 nulls_last: bool = False, descending: bool = False, rows: int | None = None) -> DataFrame:
+                 nulls_last: bool = False, descending: bool = False, rows: int | None = None, total: int | None = None) -> DataFrame:
     """Add each ``out`` of ``values`` = {out: column}: the running total of a column (non-NULL) per group, in order.
 
     ``order_by`` are columns of any orderable type that order a group's rows
@@ -107,7 +114,7 @@ def running_sums(df: DataFrame, partition_by: list[str], order_by: list[str], va
     NULLs first, or last with ``nulls_last``; ``descending`` reverses it, NULLs
     first. An empty table gives no rows.
     """
-    t = chunked(df, partition_by, order_by, nulls_last=nulls_last, descending=descending, rows=rows)
+    t = chunked(df, partition_by, order_by, nulls_last=nulls_last, descending=descending, rows=rows, total=total)
     groups = _edge_names(partition_by)
     way = F.col("_c").desc() if descending else F.col("_c").asc()
     before = Window.partitionBy(*groups).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
@@ -192,8 +199,8 @@ def rank_desc(df: DataFrame, partition_by: list[str], value: str, out: str, *, r
     ``df`` is read twice; pass a written table if it is dear to compute.
     """
     keys = [*partition_by, value]
-    counts = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    places = running_sum(counts, partition_by, [value], "_n", "_upto", descending=True, rows=rows)
+    counts, total = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    places = running_sum(counts, partition_by, [value], "_n", "_upto", descending=True, rows=rows, total=total)
     places = places.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
                            (F.col("_upto") - F.col("_n") + 1).cast("long").alias(out))
     return df.join(places, _same([(c, f"_k{i}") for i, c in enumerate(keys)])) \

@@ -89,9 +89,9 @@ def name_register(matches: DataFrame, teams: DataFrame, leagues: DataFrame, coll
     played = to_participants(matches, keep=("league_id",)).groupBy("league_id", "team_api_id").agg(F.count(F.lit(1)).alias("matches"))
     t = teams.select(F.col("team_api_id").alias("_t_id"), F.col("team_long_name").alias("team"))
     lg = leagues.select(F.col("id").alias("_l_id"), F.col("name").alias("league"))
-    named = written(played.join(t, F.col("team_api_id") == F.col("_t_id")).select("league_id", "team_api_id", "team", "matches"))
+    named, n = written(played.join(t, F.col("team_api_id") == F.col("_t_id")).select("league_id", "team_api_id", "team", "matches"))
     ordered = named.withColumn("_name", collated("team", collation)).withColumn("_one", F.lit(1))
-    placed = running_sum(ordered, ["league_id"], ["_name", "team_api_id"], "_one", "place", nulls_last=True, rows=rows)
+    placed = running_sum(ordered, ["league_id"], ["_name", "team_api_id"], "_one", "place", nulls_last=True, rows=rows, total=n)
     return (placed.join(lg, F.col("league_id") == F.col("_l_id"))
             .select("league", "place", "team", "team_api_id", "matches")
             .orderBy(*sql_asc(collated("league", collation), "place", "team_api_id")))
@@ -156,7 +156,7 @@ def running_standings(matches: DataFrame, teams: DataFrame, leagues: DataFrame,
         .withColumn("round_points", points("gf", "ga"))
     # SQL order: ascending, NULLs last.
     # Written once: the ranks read the totals for their histogram and for the result.
-    totals = written(running_sum(long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
+    totals, _ = written(running_sum(long, ["league_id", "season", "team_api_id"], ["stage", "date", "id"],
                                  "round_points", "total_points", nulls_last=True)
                      .select("league_id", "season", "stage", "date", "team_api_id", "round_points", "total_points"))
     ranked = rank_desc(totals, ["league_id", "season", "stage"], "total_points", "position")
