@@ -45,7 +45,8 @@ def op5_line_dedup(spark, sf_dir):
 
 
 def op6_surrogates(spark, sf_dir):
-    return pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    key = spark.conf.get("spark.scoreline.pii.key", PII_KEY)  # a deployment sets its own
+    return pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op7_quality_classifier(spark, sf_dir):
