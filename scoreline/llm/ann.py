@@ -8,14 +8,16 @@
 * A graph over the centroids, searched in memory by a vectorised beam search, routes vectors and
   queries. A vector goes to its nearest list and to every other one almost as near (boundary replicas);
   a query probes all lists within a distance ratio of its nearest, however many: the beam widens until
-  it has passed the ratio. Queries are routed at the length of the longest vector, as the order by inner
-  product does not depend on their own.
-* Lists are bundled. Vectors and queries travel once a bundle, with the lists they belong to, and meet
-  on (bundle, vector block, query block); blocks have a bounded size, so a large list is spread over
-  tasks. A task scores a block by one matrix product and emits the best per query of all its blocks.
-
-Every row is indexed; only centroids are fitted on the sample. On vectors without clusters the ratio
-takes most lists, and the work nears that of all pairs.
+  it has passed the ratio (to its nearest, or to the median of such distances if its own is smaller). The ratio is
+  the one at which queries of the sample find a stated share of their neighbours there (``recall``). Queries are routed at the length of the longest vector, as the order
+  by inner product does not depend on their own.
+* Lists near each other are bundled. Vectors and queries travel once a bundle, with the lists they belong to,
+  and meet on (bundle, vector block, query block); blocks have a bounded size, so a large list is spread over
+  tasks. A task scores list by list, only the vectors of a list against the queries that probe it, and
+  emits the best per query of all its blocks.
+
+Every row is indexed; only centroids and the ratio are fitted on the sample. On vectors without clusters the ratio
+takes many lists, and the work nears that of all pairs.
 """
 
 from __future__ import annotations
@@ -56,39 +58,42 @@ class Graph:
             ids = np.argsort(dist, axis=1, kind="stable")[:, :want].astype(np.int32)
             return ids, np.sqrt(np.maximum(np.take_along_axis(dist, ids, axis=1) + sq[:, None], 0))
         ids = np.repeat(self.entry[None, :], q, axis=0)
-        dist = self.sq[ids] - 2 * np.einsum("qd,qbd->qb", x, self.c[ids])
+        dist = self.sq[ids] - 2 * x @ self.c[self.entry].T
+        seen = np.zeros((q, len(self.c)), dtype=bool)
+        seen[:, self.entry] = True
         open_ = np.ones(ids.shape, dtype=bool)
         for _ in range(max(rounds, beam // 4)):
             step = np.where(open_, dist, np.inf)
-            pick = np.argsort(step, axis=1, kind="stable")[:, :8]  # expand the best unexpanded
+            pick = np.argpartition(step, 7, axis=1)[:, :8]  # expand the best unexpanded
             if not np.isfinite(np.take_along_axis(step, pick, axis=1)).any():
                 break
             np.put_along_axis(open_, pick, False, axis=1)
-            new = self.links[np.take_along_axis(ids, pick, axis=1)].reshape(q, -1)
-            nd = self.sq[new] - 2 * np.einsum("qd,qbd->qb", x, self.c[new])
+            new = np.sort(self.links[np.take_along_axis(ids, pick, axis=1)].reshape(q, -1), axis=1)
+            fresh = ~np.take_along_axis(seen, new, axis=1)
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
+            row, col = np.nonzero(fresh)  # only these are measured, each once
+            who = new[row, col]
+            seen[row, who] = True
+            nd = np.full(new.shape, np.inf)
+            nd[row, col] = self.sq[who] - 2 * np.einsum("nd,nd->n", x[row], self.c[who])
             ids, dist = np.concatenate([ids, new], axis=1), np.concatenate([dist, nd], axis=1)
-            open_ = np.concatenate([open_, np.ones(new.shape, dtype=bool)], axis=1)
-            # Keep one of each id (an expanded one before an unexpanded), then the nearest ``beam``.
-            order = np.lexsort((open_, ids), axis=1)
+            open_ = np.concatenate([open_, fresh], axis=1)
+            order = np.argpartition(dist, min(beam, dist.shape[1]) - 1, axis=1)[:, :beam]
             ids, dist, open_ = (np.take_along_axis(a, order, axis=1) for a in (ids, dist, open_))
-            dist = np.where(np.concatenate([np.zeros((q, 1), bool), ids[:, 1:] == ids[:, :-1]], axis=1), np.inf, dist)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-            ids, dist, open_ = (np.take_along_axis(a, order, axis=1) for a in (ids, dist, open_))
-            open_ &= np.isfinite(dist)
         order = np.argsort(dist, axis=1, kind="stable")[:, :want]
         ids, dist = np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
         return ids, np.sqrt(np.maximum(dist + sq[:, None], 0))
 
-    def within(self, x: np.ndarray, ratio: float, size: np.ndarray, least: int):
+    def within(self, x: np.ndarray, ratio: float, base: float, size: np.ndarray, least: int):
         """Yield (rows, centroids) of all centroids of each row of ``x`` that are within ``ratio`` of its nearest.
 
-        A row gets further ones until the ``size`` of those it has adds up to ``least``.
+        A row nearer than ``base`` to a centroid counts as being that far: its ratio would say nothing. A row gets further ones until the ``size`` of those it has adds up to ``least``.
         """
         todo, want = np.arange(len(x)), 64
         while len(todo):
             ids, d = self.search(x[todo], want)
             before = np.cumsum(size[ids], axis=1) - size[ids]
-            take = np.isfinite(d) & ((d <= ratio * d[:, :1]) | (before < least))
+            take = np.isfinite(d) & ((d <= ratio * np.maximum(d[:, :1], base)) | (before < least))
             done = ~take[:, -1] if want < len(self.c) else np.ones(len(todo), dtype=bool)
             row, col = np.nonzero(take & done[:, None])
             yield todo[row], ids[row, col]
@@ -96,7 +101,12 @@ class Graph:
 
 
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8, weight: float = 0.5, seed: int = 3) -> np.ndarray:
-    """k centroids of ``x``; a cluster's cost rises with its size in the round before."""
+    """k centroids of ``x``, points of one length; a cluster's cost rises with its size in the round before.
+
+    Centroids get that length too: a mean of scattered points is short, hence near to every query, and its
+    list would be probed by all and filled with replicas.
+    """
+    radius = np.sqrt((x ** 2).sum(axis=1).max(initial=0.0))
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), size=k, replace=False)].copy()
     size = np.full(k, len(x) / k)
@@ -111,9 +121,58 @@ def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8, weight: float = 0.5,
         np.add.at(total, who, x)
         empty = size == 0
         c = np.where(empty[:, None], x[rng.choice(len(x), size=k)], total / np.maximum(size, 1)[:, None])
+        length = np.sqrt((c ** 2).sum(axis=1, keepdims=True))
+        c = np.where(length > 0, c * (radius / np.maximum(length, 1e-300)), c)
     return c
 
 
+def bundled_order(c: np.ndarray, size: int) -> np.ndarray:
+    """An order of the centroids in which neighbours are near: halves along the line between two far ones, down to ``size``."""
+    todo, out = [np.arange(len(c))], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= size:
+            out.append(part)
+            continue
+        x = c[part]
+        a = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+        b = x[((x - a) ** 2).sum(axis=1).argmax()]
+        order = np.argsort(x @ (b - a), kind="stable")
+        half = -(-len(part) // (2 * size)) * size
+        todo += [part[order[half:]], part[order[:half]]]
+    return np.concatenate(out) if out else np.arange(0)
+
+
+def measured_ratio(graph: Graph, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, real: np.ndarray, k: int, near: float,
+                   replicas: int, recall: float) -> tuple[float, float]:
+    """(ratio, base): the distance ratio at which ``queries`` find ``recall`` of their k nearest among ``vectors``.
+
+    Ratios are to the distance of the nearest centroid, or to ``base``, its median, where that is larger. ``vectors`` and
+    ``queries`` are lifted, ``real`` are the vectors as they are, ``own`` is each query's row there.
+    """
+    if len(vectors) < 3 or not len(queries):
+        return 1.0, 0.0
+    ids, d = [], []
+    for i in range(0, len(vectors), 512):
+        part = vectors[i:i + 512]
+        far = np.sqrt(np.maximum((part ** 2).sum(axis=1)[:, None] + graph.sq[None, :] - 2 * part @ graph.c.T, 0))
+        ids.append(np.argsort(far, axis=1, kind="stable")[:, :replicas])
+        d.append(np.take_along_axis(far, ids[-1], axis=1))
+    ids, d = np.concatenate(ids), np.concatenate(d)
+    held = d <= near * d[:, :1]
+    need, nearest = [], []
+    for q, i in zip(queries, own):
+        s = real @ real[i]
+        s[i] = -np.inf
+        best = np.argpartition(-s, min(k, len(s) - 1) - 1)[:min(k, len(s) - 1)]
+        far = np.sqrt(np.maximum(((graph.c - q) ** 2).sum(axis=1), 0))
+        need.append(np.where(held[best], far[ids[best]], np.inf).min(axis=1))  # the nearest list that holds each
+        nearest.append(far.min())
+    base = float(np.median(nearest))
+    ratio = np.array(need) / np.maximum(np.maximum(nearest, base), 1e-12)[:, None]
+    return float(max(1.0, np.quantile(ratio, recall, method="higher"))), base
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, e): distinct rows with an id and a finite, non-zero vector of the table's main dimension."""
     ok = F.expr("vec_id IS NOT NULL AND size(embedding) > 0 AND exists(embedding, x -> x != 0) AND "
@@ -141,8 +200,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near: float = 1.15, probe: float = 1.35,
-           replicas: int = 4, least_classes: int = 0, block: int = 2048, bundle: int = 16) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near: float = 1.15, probe: float | None = None,
+           replicas: int = 2, least_classes: int = 0, block: int = 2048, bundle: int = 16, recall: float = 0.98, counted=None) -> DataFrame:
     """The ``k`` candidates of largest inner product for every row where ``is_query`` (a condition on vec_id).
 
     (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id; every row but the
@@ -150,7 +209,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
     inner product of the original vectors in double precision. Null ids, and vectors that are null,
     empty, zero, of another dimension than most, or hold null or non-finite components take no part.
     Repeated rows count once. Lists are used at any size; up to ``least_classes`` distinct vectors form
-    one list (exact search). ``bundle`` lists share the rows that carry their vectors and queries.
+    one list (exact search). ``bundle`` lists share the rows that carry their vectors and queries. ``probe`` is the
+    distance ratio; without one it is measured on 256 vectors of the sample for a share of ``recall``. ``counted``
+    is an accumulator for the pairs that were scored.
     """
     spark = vectors.sparkSession
     rows = staged(valid_vectors(vectors), "vectors")
@@ -171,7 +232,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
         more = np.zeros(len(v)) if query else np.sqrt(np.maximum(most - (v ** 2).sum(axis=1), 0))
         return np.concatenate([v, more[:, None]], axis=1)
 
-    graph = spark.sparkContext.broadcast(Graph(balanced_kmeans(lifted(x, False), min(lists, len(x)))))  # lists x dimension
+    centroids = balanced_kmeans(lifted(x, False), min(lists, len(x)))
+    built = Graph(centroids[bundled_order(centroids, bundle)])
+    graph = spark.sparkContext.broadcast(built)  # lists x dimension
+    base = 0.0
+    if probe is None:
+        tried = np.random.default_rng(5).permutation(len(x))[:256] if lists > 1 else []
+        probe, base = measured_ratio(built, lifted(x, False), lifted(x[tried], True) if len(tried) else x[:0], tried, x, k, near, replicas, recall)
 
     def bundled(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(rows, bundles, lists): the pairs (row, list) as one entry per row and bundle."""
@@ -205,7 +272,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for row, ids in graph.value.within(lifted(_matrix(part.column(1)), True), probe, held_sizes.value, 4 * (k + 1)):
+                for row, ids in graph.value.within(lifted(_matrix(part.column(1)), True), probe, base, held_sizes.value, 4 * (k + 1)):
                     row, pack, held = bundled(row, ids)
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
@@ -287,14 +354,33 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 32768, near:
             for a, b in zip(bounds, bounds[1:]):
                 v, asks = a + np.flatnonzero(~ask[a:b]), a + np.flatnonzero(ask[a:b])
                 for at in range(0, len(asks) if len(v) else 0, 512):
-                    q = asks[at:at + 512]
-                    s = np.where(lists[q] @ lists[v].T > 0, e[q] @ e[v].T, -np.inf)
-                    top = np.argpartition(-s, k, axis=1)[:, :k + 1] if len(v) > k + 1 else np.tile(np.arange(len(v)), (len(q), 1))
-                    good = np.isfinite(np.take_along_axis(s, top, axis=1)).ravel()
-                    qi, vi = np.repeat(q, top.shape[1])[good], v[top.ravel()[good]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cid[qi]), pa.array(cid[vi]), pa.array((e[qi] * e[vi]).sum(axis=1)), ids.take(pa.array(vi))],
-                        names=["q", "cid", "score", "ids"])
+                    yield best_of(asks[at:at + 512], v, cid, e, ids, lists)
+
+    def best_of(q, v, cid, e, ids, lists):
+        """The k + 1 best of the vectors ``v`` for each query of ``q``, from the lists they share."""
+        first = pc.list_element(ids.take(pa.array(v)), 0).to_numpy(zero_copy_only=False)
+        # What rounding may do to a product; within it the cut is made on the exact scores below.
+        slack = 8 * e.shape[1] * np.finfo(float).eps * np.sqrt((e[q] ** 2).sum(axis=1) * (e[v] ** 2).sum(axis=1).max())
+        floor, rows, cols = np.full(len(q), -np.inf), [], []
+        for at in np.flatnonzero((lists[q].sum(axis=0) > 0) & (lists[v].sum(axis=0) > 0)):
+            qi, vi = np.flatnonzero(lists[q, at]), np.flatnonzero(lists[v, at])
+            s = e[q[qi]] @ e[v[vi]].T
+            if counted is not None:
+                counted.add(s.size)
+            if s.shape[1] > k:
+                floor[qi] = np.maximum(floor[qi], np.partition(s, s.shape[1] - k - 1, axis=1)[:, -k - 1] - slack[qi])
+            i, j = np.nonzero(s >= floor[qi][:, None])
+            rows.append(qi[i])
+            cols.append(vi[j])
+        pairs = np.unique(np.concatenate(rows) * len(v) + np.concatenate(cols)) if rows else np.empty(0, dtype=np.int64)
+        row, col = pairs // len(v), pairs % len(v)
+        score = (e[q[row]] * e[v[col]]).sum(axis=1)
+        order = np.lexsort((first[col], -score, row))
+        start = np.searchsorted(row[order], row[order])
+        order = order[np.arange(len(order)) - start <= k]
+        qi, vi = q[row[order]], v[col[order]]
+        return pa.RecordBatch.from_arrays([pa.array(cid[qi]), pa.array(cid[vi]), pa.array(score[order]), ids.take(pa.array(vi))],
+                                          names=["q", "cid", "score", "ids"])
 
     schema = "key long, ask boolean, cid long, e array<double>, ids array<long>, lists array<int>"
     met = postings.select("bundle", "cid", "e", "ids", "lists").mapInArrow(deal(False), schema) \

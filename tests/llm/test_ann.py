@@ -52,3 +52,43 @@ def test_exact_list_ties_copies_and_bad_rows(spark):
     assert _run(df.limit(0)) == {}
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (7, [0.0, 1.0], 1)], SCHEMA)
     assert _run(few) == {0: [(20, 1.0), (7, 0.0)], 20: [(0, 1.0), (7, 0.0)]}
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Equal scores of different vectors, at one list and with production parameters."""
+    rows = [(i, [1.0, float(i)]) for i in range(1, 400)] + [(0, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    for options in ({}, {"least_classes": 1000}, {"block": 64}):
+        got = [r.vec_id for r in ann.search(df, "vec_id = 0", **options).orderBy("rank").collect()]
+        assert got == list(range(1, 21)), options
+    rng = np.random.default_rng(6)
+    many = [(0, [1.0] + [0.0] * 7)] + [(i, [1.0, *rng.normal(size=7).tolist()]) for i in rng.permutation(np.arange(1, 3000)).tolist()]
+    df = spark.createDataFrame([(*r, 1) for r in many], SCHEMA)
+    got = [r.vec_id for r in ann.search(df, "vec_id = 0", least_classes=10 ** 6).orderBy("rank").collect()]
+    assert got == list(range(1, 21))
+
+
+def test_rounding_of_a_product_decides_nothing(spark):
+    """Scores that differ in the last bits only are ranked by the exact sum, as brute force ranks them."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    rows = [(0, base.astype(np.float32).tolist())]
+    for i in range(1, 300):
+        rows.append((i, (base[rng.permutation(16)] if i % 2 else base + 1e-7 * rng.normal(size=16)).astype(np.float32).tolist()))
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    got = _run(df, least_classes=10 ** 6)
+    want = _brute(rows, 20)
+    for q in want:
+        assert [round(s, 12) for _, s in got[q]] == [round(s, 12) for _, s in want[q]]
+
+
+def test_lists_save_scoring(spark):
+    """On clustered vectors a small part of all pairs is scored, and nearly all neighbours are found."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, (centres[rng.integers(60)] + 0.15 * rng.normal(size=24)).astype(np.float32).tolist()) for i in range(6000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    pairs = spark.sparkContext.accumulator(0)
+    got, want = _run(df, counted=pairs), _brute(rows, 20)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.95
+    assert pairs.value < 0.25 * len(want) * len(rows)
