@@ -46,11 +46,11 @@ class Graph:
             near[i:i + 1024] = np.argsort(d, axis=1, kind="stable")[:, :near.shape[1]]
         far = rng.integers(0, n, (n, min(8, n)), dtype=np.int32)  # long links keep the graph connected
         self.links = np.concatenate([near, far], axis=1)
-        self.entry = rng.choice(n, size=min(n, 16), replace=False).astype(np.int32)
+        self.entry = rng.choice(n, size=min(n, 64), replace=False).astype(np.int32)
 
     def search(self, x: np.ndarray, want: int, beam: int = 64, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of about the ``want`` nearest centroids of each row of ``x``, nearest first."""
-        beam = max(beam, want)
+        beam = max(beam, 2 * want)
         q = len(x)
         sq = (x ** 2).sum(axis=1)
         if 4 * want >= len(self.c):  # such a beam costs no less than all distances
