@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "mixing sources", "packing"]
 
 
