@@ -207,11 +207,15 @@ def live_members(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "sig long, kind byte, id binary"))
 
 
+CELLS = 1 << 24  # characters of one side that are compared at once, 4 bytes each
+
 # -- verification ------------------------------------------------------------------------------------
 
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
     """Edit distance of each pair of code point arrays, ``most`` + 1 if larger. Vectorised.
 
+    Pairs are taken by 4,096, or fewer so that their characters fit ``CELLS``; a single longer pair goes alone.
+
     Banded bit-parallel: a column of the matrix is the 2 * most + 1 cells around the diagonal, held as
     vertical delta bits in the top of a 64-bit word that moves down one row a step (most <= 31).
     """
@@ -224,8 +228,12 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.nd
     live = np.flatnonzero(m - n <= most)
     live = live[np.argsort(n[live], kind="stable")]
     pad = most + 1
-    for lo in range(0, len(live), 4096):
-        idx = live[lo:lo + 4096]
+    lo = 0
+    while lo < len(live):
+        hi = min(lo + 4096, len(live))
+        while hi > lo + 1 and (hi - lo) * (m[live[lo:hi]].max() + 2 * pad) > CELLS:
+            hi = lo + (hi - lo) // 2
+        idx, lo = live[lo:hi], hi
         P = np.zeros((len(idx), int(m[idx].max(initial=0)) + 2 * pad), dtype=np.uint32)
         T = np.zeros((len(idx), int(n[idx].max(initial=0))), dtype=np.uint32)
         for r, k in enumerate(idx):  # 0 stands for "outside"; characters are moved up by one

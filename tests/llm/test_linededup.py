@@ -86,3 +86,24 @@ def test_null_ids(spark):
     df = docs(spark, [line, line]).selectExpr("if(doc_id = 1, null, doc_id) AS doc_id", "text")
     got = {r.doc_id: r.n_removed for r in ld.duplicate_lines(df).collect()}
     assert got == {None: 0, 0: 1}  # null ids come first
+
+
+def test_batches_of_long_lines_are_bounded(monkeypatch):
+    """Long lines are compared a few at a time, with the same distances."""
+    rng = np.random.default_rng(3)
+    line = rng.integers(97, 123, 20_000).astype(np.uint32)
+    copies = []
+    for _ in range(12):
+        c = line.copy()
+        c[rng.integers(0, len(c), 2)] += 1
+        copies.append(c)
+    short = [rng.integers(97, 100, int(n)).astype(np.uint32) for n in rng.integers(1, 9, 12)]
+    a = [x for x in copies for _ in copies] + [x for x in short for _ in short]
+    b = copies * len(copies) + short * len(short)
+    want = ld.edit_distances(a, b, 4)
+    sizes = []
+    real = ld._band
+    monkeypatch.setattr(ld, "_band", lambda P, T, *rest: sizes.append(P.size) or real(P, T, *rest))
+    monkeypatch.setattr(ld, "CELLS", 100_000)
+    assert (ld.edit_distances(a, b, 4) == want).all() and max(sizes) <= 100_000 and len(sizes) > 30
+    assert (want[:144] <= 4).all() and want[0] == 0
