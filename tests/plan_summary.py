@@ -81,8 +81,8 @@ def main(argv):
                      f"{pair('windows')} | {pair('group_limits')} | {on['aggregates']} + {on['sort_aggregates']} | {jobs} | "
                      f"{pf} | {cols} |")
     lines += ["", "Reading the table: aggregation reports shuffle after partial aggregation (plus a range shuffle for a "
-              "final ORDER BY); window reports shuffle once per distinct partitioning. No query carries a broadcast "
-              "hint; broadcasts are the planner's size-based choices, and their inputs' exchanges appear where they "
+              "final ORDER BY); window reports shuffle once per distinct partitioning. The only broadcast "
+              "hints are on the chunk tables of ordered scans, bounded by their sample; other broadcasts are the planner's size-based choices, and their inputs' exchanges appear where they "
               "are off. Sort aggregates are `max_by` on structs, on the scan side of the snapshot reports."]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
         f.write("\n".join(lines) + "\n")
