@@ -3,13 +3,16 @@
 The library spends most of its time on pieces it has merged before. Both public vocabularies encode the
 pieces between certain white space independently of each other, so a batch is split and
 dictionary-encoded by Arrow, each distinct piece is looked up once, unseen ones go to the library
-many at a time, and the ids are gathered by numpy. Texts where a cut could change the ids go to
-the library whole. ``tests/llm/test_tokens.py`` holds all this against plain encoding.
+many at a time, and the ids are gathered by Arrow. Both vocabularies also part a word from the
+punctuation and the line break after it, so an unseen piece of that form is put together from its
+parts, and only those are kept: sentences make many more pieces than words. Texts where a cut could
+change the ids go to the library whole. ``tests/llm/test_tokens.py`` holds all this against plain encoding.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ import pyarrow.compute as pc
 
 MOST = 900_000  # pieces kept by a worker (about 250 MB); the cache starts anew beyond that
 SLICE = 16 << 20  # bytes of text encoded at once
+MARK = "<|endoftext|>"  # parts pieces that are sent as one text
 _WORKER: dict = {}
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -26,6 +30,11 @@ ODD_SPACED = rf"{_WS} {_WS}|{_WS} \z"
 # Vocabulary without white space, cut at it: separators on which Arrow and the vocabulary disagree.
 ODD_DROPPED = r"[\x1c-\x1f\x{180e}\x{200b}\x{2060}\x{feff}]"
 
+# A Latin word, punctuation after it, and the same again on the next line. Other letters, digits, marks and
+# apostrophes (contractions) are left to the library; so is U+0130, which a mark follows when lower-cased.
+_LETTERS, _POINTS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+", r"[!-&(-/:-@\[-`{-~]+"
+PARTS = re.compile(rf"( ?{_LETTERS})({_POINTS})?(?:(\n)({_LETTERS})({_POINTS})?)?")
+
 
 class Encoder:
     """ids of texts as little-endian unsigned 16- or 32-bit values.
@@ -40,10 +49,13 @@ class Encoder:
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         # A second instance, in which one special token parts pieces that are sent as a single text.
         self.parted = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.parted.token_to_id(self.mark)
+        self.mark_id = self.parted.token_to_id(MARK)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.spaced = spaced
+        # Tokens that begin a word with its space, or end a word.
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
         self.seen: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -52,8 +64,8 @@ class Encoder:
 
     def _many(self, pieces: list[str]) -> list[bytes]:
         """Ids of short pieces, encoded as one long text that the mark parts."""
-        joined = self.mark.join(pieces)
-        if joined.count(self.mark) >= len(pieces):  # a piece holds the mark itself
+        joined = MARK.join(pieces)
+        if joined.count(MARK) >= len(pieces):  # a piece holds the mark itself
             return self._library(pieces)
         whole = self.parted.encode_batch_fast([joined], add_special_tokens=False)[0]
         ids = np.array(whole.ids, dtype=self.dtype)
@@ -61,17 +73,46 @@ class Encoder:
         raw, w = ids.tobytes(), self.dtype.itemsize
         return [raw[w * a:w * b] for a, b in zip([0, *(cut + 1)], [*cut, len(ids)])]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words (each begins with its space, if spaced), encoded as one text; tokens show where each begins or ends."""
+        whole = self.lib.encode_batch_fast([("" if self.spaced else " ").join(words)], add_special_tokens=False)[0]
+        ids = np.array(whole.ids, dtype=self.dtype)
+        edge = np.flatnonzero(self.edge[ids])
+        cut = [*edge, len(ids)] if self.spaced else [0, *(edge + 1)]
+        if len(cut) != len(words) + 1 or cut[0] or cut[-1] != len(ids):
+            return self._many(words)
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        cut = [w * int(c) for c in cut]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         seen = self.seen
         if len(seen) > MOST:
             seen.clear()
         found = list(map(seen.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(missing), 1024):
-            part = missing[at:at + 1024]
-            for i, ids in zip(part, self._many([pieces[i] for i in part])):
-                found[i] = seen[pieces[i]] = ids
-        return found
+        words, whole, made = set(), set(), []  # unseen words and other pieces; pieces that are put together from parts
+        first = " " if self.spaced else ""
+        for i in [i for i, x in enumerate(found) if x is None]:
+            piece = pieces[i]
+            parts = PARTS.fullmatch(piece)
+            if not parts or MARK in piece:
+                whole.add(piece)
+                continue
+            word, points, line, word2, points2 = parts.groups()
+            if word not in seen:
+                (words if word.startswith(first) else whole).add(word)
+            if points or line:
+                made.append((i, [x for x in (word, points, line, word2, points2) if x]))
+                whole.update(x for x in (points, line, points2) if x and x not in seen)
+                if word2 and word2 not in seen:
+                    (whole if first else words).add(word2)
+        for encoded, unseen in ((self._words, list(words)), (self._many, list(whole))):
+            for at in range(0, len(unseen), 1024):
+                part = unseen[at:at + 1024]
+                seen.update(zip(part, encoded(part)))
+        for i, parts in made:
+            found[i] = b"".join([seen[p] for p in parts])
+        return [seen[p] if x is None else x for p, x in zip(pieces, found)]
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """A binary array: the ids of each text, null as empty."""
@@ -103,17 +144,9 @@ class Encoder:
             code = code.copy()
             code[bound[:-1]] = len(pieces) + where.ravel()
             pieces = [" " + p for p in pieces] + [pieces[i] for i in own]
-        ids = self._ids(pieces)
-        width = self.dtype.itemsize
-        table = np.frombuffer(b"".join(ids), dtype=self.dtype)
-        n = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // width
-        start = np.cumsum(n, dtype=np.int32) - n
-        many = n[code]
-        end = np.cumsum(many, dtype=np.int32)
-        at = np.repeat(start[code] - (end - many), many) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)
-        data = table[at] if len(table) else table
-        offsets = (np.r_[np.int32(0), end][bound] * width).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        ids = pa.array(self._ids(pieces), pa.binary()).take(pa.array(code))
+        end = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset:] if len(ids) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(end[bound]), ids.buffers()[2] if len(ids) else pa.py_buffer(b"")])
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

@@ -21,3 +21,16 @@ def test_pieces_encode_like_whole_texts(spark, name, spaced, monkeypatch):
     got = [np.frombuffer(b, dtype=enc.dtype).tolist() for b in enc.encode(pa.array(texts, pa.string())).to_pylist()]
     assert got == want
     assert len(enc.encode(pa.array([], pa.string()))) == 0
+
+
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_are_kept_apart_from_what_follows(name, spaced):
+    """Punctuation and line breaks after a word cost no new pieces, and the ids are those of the whole text."""
+    words = ["alpha", "Été", "ǅungla", "straße", "İzmir", "ŉa", "o̸", "x'", "don't", "a1", "ꙮ"]
+    texts = [f"{a}{p}{b} {a}{p} {b}" for a in words for b in words[::-1] for p in (",", ".\n", "&&&", "\n", "\n\n", "'s,", ".'", "=", "")]
+    enc = tokens.Encoder(public_tokenizers.path(name), spaced)
+    want = [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, dtype=enc.dtype).tolist() for b in enc.encode(pa.array(texts)).to_pylist()] == want
+    kept = len(enc.seen)
+    enc.encode(pa.array([f"{a}{p} alpha{p}\nstraße{p} end" for a in ("alpha", "straße") for p in ("!", "!?", "%%", "---", "[]")]))
+    assert len(enc.seen) <= kept + 10
