@@ -11,7 +11,7 @@ blank), edits link lines of at least ``min_chars``. (Li et al., "PASS-JOIN", 201
    the code points, in numpy.
 2. One shuffle by that hash. Most hashes belong to one line and vanish there; rows that stream by
    are held in constant memory. A hash that floods a single batch is salted beforehand.
-3. Surviving members get their texts, are dealt to blocks of bounded size, and a task verifies
+3. Surviving members get their texts (each from one document that holds the line), are dealt to blocks of bounded size, and a task verifies
    each block with the banded bit-parallel edit distance (Hyyro 2003), vectorised over pairs. It
    emits a spanning forest of the links, never all pairs.
 4. Components of the links, and the first line of each.
@@ -19,7 +19,6 @@ blank), edits link lines of at least ``min_chars``. (Li et al., "PASS-JOIN", 201
 
 from __future__ import annotations
 
-import zlib
 from struct import pack
 
 import numpy as np
@@ -90,7 +89,7 @@ def segments(n: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray
 
 
 def signatures(lines: list[str], threshold: int):
-    """Yield (line numbers, signed hashes, is_probe) of all index and probe rows of ``lines``."""
+    """Yield (line numbers, signed hashes, is_probe) of all rows of ``lines``; an index row is also a probe row."""
     n = np.array([len(x) for x in lines], dtype=np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     start = np.cumsum(n) - n
@@ -113,7 +112,8 @@ def signatures(lines: list[str], threshold: int):
             low = np.maximum(np.maximum(at - i, at + less - (threshold - i)), 0)
             high = np.minimum(np.minimum(at + i, at + less + (threshold - i)), n - size)
             for step in range(2 * threshold + 1):
-                who = np.flatnonzero((low + step <= high) & (length > 0))
+                # The segments of a line itself are its index rows, which count as probe rows too.
+                who = np.flatnonzero((low + step <= high) & (length > 0) & ((low + step != at) | (less > 0)))
                 if len(who):
                     yield who, _mix(hashed(who, low[who] + step, size[who]), length[who], i).view(np.int64), True
 
@@ -122,7 +122,7 @@ def signature_rows(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame
     """(sig, hi, lo): a segment's hash and the line that has it, in 24 bytes.
 
     hi and the upper bits of lo hold the line id; lo's lower 16 bits are kind (0 marker of a salted
-    hash, 1 index, 2 probe) and salt (0 for most).
+    hash, 1 index and probe, 2 probe alone) and salt (0 for most).
     """
     def sliced(texts):
         seen: set = set()  # bounded: repeats within a task need not be signed twice
@@ -154,13 +154,14 @@ def signature_rows(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame
             kind = np.concatenate([np.full(len(w), 1 + p, dtype=np.int64) for w, _, p in got])
             hi, low = ids["hi"].astype(np.int64)[who], ids["lo"].astype(np.int64)[who]
             salt = np.zeros(len(sig), dtype=np.int64)
-            uniq, inv, count = np.unique(sig, return_inverse=True, return_counts=True)
-            hot = np.flatnonzero(count > HOT)
+            bucket = (sig & 0xFFFF).astype(np.int64)  # only hashes in full buckets need to be counted
+            uniq, count = np.unique(sig[(np.bincount(bucket, minlength=1 << 16) > HOT)[bucket]], return_counts=True)
+            hot = uniq[count > HOT]
             if len(hot):
-                flood = np.isin(inv, hot)
+                flood = np.isin(sig, hot)
                 salt[flood] = 1 + low[flood] % SALTS
                 none = np.zeros(len(hot), dtype=np.int64)
-                sig, hi, low, kind, salt = (np.r_[x, y] for x, y in ((sig, uniq[hot]), (hi, none), (low, none), (kind, none), (salt, none)))
+                sig, hi, low, kind, salt = (np.r_[x, y] for x, y in ((sig, hot), (hi, none), (low, none), (kind, none), (salt, none)))
             table = pa.table([pa.array(sig), pa.array(hi), pa.array((low << 16) | (kind << 8) | salt)], names=["sig", "hi", "lo"])
             yield from table.to_batches(max_chunksize=1 << 16)
     return docs.select("text").mapInArrow(run, "sig long, hi long, lo long")
@@ -169,7 +170,7 @@ def signature_rows(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame
 def live_members(rows: DataFrame) -> DataFrame:
     """(sig, kind, id) of hashes held by an index row and a probe row of different lines.
 
-    kind 0 is an index row, 1 a probe row. Rows arrive sorted by (sig, salt, kind, line); one pass in
+    kind 0 is an index row, 1 a probe row; a row that is both is returned as two. Rows arrive sorted by (sig, salt, kind, line); one pass in
     constant memory. Salted rows and the rows of a marked hash are always live.
     """
     def run(batches):
@@ -198,9 +199,9 @@ def live_members(rows: DataFrame) -> DataFrame:
                     live = True
                     keep += [(sig, 1, *first), (s[j], kind[j], *line)]
             if keep:
-                sigs, kinds, his, los = zip(*keep)
-                ids = [pack(">qI", int(h), int(low)) for h, low in zip(his, los)]
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([k - 1 for k in kinds], pa.int8()),
+                rows_ = [(s_, k, pack(">qI", int(h), int(low))) for s_, kind_, h, low in keep for k in ((0, 1) if kind_ == 1 else (1,))]
+                sigs, kinds, ids = zip(*rows_)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(kinds, pa.int8()),
                                                   pa.array(ids, pa.binary())], names=["sig", "kind", "id"])
     salt, kind = F.expr("lo & 255"), F.expr("shiftright(lo, 8) & 255")
     return (rows.repartition("sig", salt).sortWithinPartitions("sig", salt, kind, "hi", "lo")
@@ -311,8 +312,38 @@ def _verify_block(ids: list[bytes], texts: list[str], kind: np.ndarray, threshol
             yield q, other[i:i + most], codes, names
 
 
-def links(docs: DataFrame, threshold: int = 2, min_chars: int = 20, block: int = 512) -> DataFrame:
-    """Links (a, b) of line ids that connect exactly the different lines within ``threshold`` edits."""
+def places(table: DataFrame) -> DataFrame:
+    """(id, p, n): the first place (doc_id, th, line) of each line of a line table, and its number of places."""
+    return table.groupBy("id").agg(F.min(F.struct("doc_id", "th", "line")).alias("p"), F.count("*").alias("n"))
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, line) of the lines ``wanted`` (id, p), each read where ``p`` says."""
+    per_doc = (wanted.groupBy(F.col("p.doc_id").alias("__id"), F.col("p.th").alias("__key"))
+               .agg(F.collect_list(F.struct("p.line", "id")).alias("w")))
+    one = F.coalesce("text", F.lit("")).alias("text")
+
+    def run(batches):
+        for batch in batches:
+            ids, out = [], []
+            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text.split("\n")
+                for x in lines:
+                    if x["line"] < len(text):
+                        ids.append(x["id"])
+                        out.append(text[x["line"]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.string())], names=["id", "line"])
+    joined = docs.select("doc_id", one, text_key().alias("th")).join(
+        per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__key")))
+    # A repeated row gives its lines again.
+    return joined.select("text", "w").mapInArrow(run, "id binary, line string").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def links(docs: DataFrame, threshold: int = 2, min_chars: int = 20, block: int = 512, first: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of line ids that connect exactly the different lines within ``threshold`` edits.
+
+    ``first``: what :func:`places` says of the lines, if the caller has it.
+    """
     members = staged(live_members(signature_rows(docs, threshold, min_chars)).distinct(), "members")
     size = members.groupBy("sig").agg(F.ceil(F.sum(F.expr("int(kind = 0)")) / block).cast("int").alias("ni"),
                                       F.ceil(F.sum(F.expr("int(kind = 1)")) / block).cast("int").alias("nq"))
@@ -323,20 +354,9 @@ def links(docs: DataFrame, threshold: int = 2, min_chars: int = 20, block: int =
              .select("id", "kind", F.expr("struct(sig, if(kind = 0, own, other) AS i, if(kind = 0, other, own) AS q)").alias("g")))
     needed = members.select("id").distinct()
 
-    def lines(batches):
-        for batch in batches:
-            out: dict[bytes, str] = {}
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if len(line) >= min_chars:
-                        out.setdefault(line_id(line), line)
-            # Packed, because all lines go through the shuffle that finds the needed ones.
-            packed = [zlib.compress(x.encode(), 1) for x in out.values()]
-            table = pa.table([pa.array(out.keys(), pa.binary()), pa.array(packed, pa.binary())], names=["id", "line"])
-            yield from table.to_batches(max_chunksize=4096)
-
-    texts = staged(docs.select("text").mapInArrow(lines, "id binary, line binary")
-                   .join(needed, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "lines")
+    if first is None:
+        first = places(line_table(docs, min_chars))
+    texts = staged(line_texts(docs, first.join(needed, "id", "left_semi")), "lines")
 
     def verify(batches):
         def flush(todo):
@@ -381,7 +401,7 @@ def _blocks(batches):
                     yield ids, texts, np.array(kinds)
                 key, ids, texts, kinds = (s, i, q), [], [], []
             ids.append(id_)
-            texts.append(zlib.decompress(line).decode())
+            texts.append(line)
             kinds.append(kind)
     if ids:
         yield ids, texts, np.array(kinds)
@@ -398,9 +418,9 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20, mi
     text are one document. Empty table: no rows.
     """
     table = staged(line_table(docs, min_chars if min_exact is None else min_exact, min_chars), "linetable")
-    joined = components(links(docs, threshold, min_chars))
     place = F.struct("doc_id", "th", "line")
-    first = table.groupBy("id").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+    first = staged(places(table), "places")
+    joined = components(links(docs, threshold, min_chars, first=first))
     first = first.join(joined, first.id == joined.node, "left").select("id", "p", "n", "root")
     linked = first.where("root IS NOT NULL")
     lead = linked.groupBy("root").agg(F.min("p").alias("lead"))

@@ -107,3 +107,23 @@ def test_batches_of_long_lines_are_bounded(monkeypatch):
     monkeypatch.setattr(ld, "CELLS", 20_000)
     assert (ld.edit_distances(a, b, 4) == want).all() and max(sizes) <= 20_000 and len(sizes) > 20
     assert (want[:144] <= 4).all() and want[0] == 0
+
+
+def test_rows_of_a_line_that_nobody_shares():
+    """A line's own segments make one row each, and a line alone has no hash that occurs twice."""
+    lines = ["the first of two lines, of some length", "second line: altogether unlike it, 0123456789"]
+    got = list(ld.signatures(lines, 2))
+    sig = np.concatenate([s for _, s, _ in got])
+    assert len(set(sig.tolist())) == len(sig) and sum(len(w) for w, _, p in got if not p) == 6
+
+
+def test_line_texts_are_read_in_one_place(spark):
+    """Only the wanted lines leave their documents, once each, whatever repeats."""
+    text = "first line of some length\nanother one, that is wanted"
+    df = docs(spark, [text, text, None, ""])
+    df = df.selectExpr("if(doc_id = 0, null, doc_id) AS doc_id", "text")
+    df = df.union(df.limit(1))
+    first = ld.places(ld.line_table(df, 20))
+    wanted = first.where(first.id == ld.line_id("another one, that is wanted"))
+    assert [(bytes(r.id), r.line) for r in ld.line_texts(df, wanted).collect()] == [
+        (ld.line_id("another one, that is wanted"), "another one, that is wanted")]
