@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -251,5 +253,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
 
 
 def ids_crc32(ids: str):
-    """crc32 of a piece's 16-bit ids as little-endian unsigned 32-bit values: two zero bytes after each."""
-    return F.crc32(F.unhex(F.regexp_replace(F.hex(ids), "(.{4})", "$10000")))
+    """crc32 of a piece's 16-bit ids as little-endian unsigned 32-bit values; null for null."""
+    @F.arrow_udf("long")
+    def crc(raw: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4")) for x in raw.to_pylist()],
+                        pa.int64())
+    return crc(ids)

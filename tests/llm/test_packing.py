@@ -68,3 +68,12 @@ def test_plan_uses_no_more_than_there_is():
         assert (used == spent).all() and (used <= hist).all()
     hist = np.bincount(rng.integers(1, 65, 20000), minlength=65)
     assert (packing.plan(hist, 64)[2] * np.arange(65)).sum() > 0.8 * (hist * np.arange(65)).sum()
+
+
+def test_digest_is_taken_without_text(spark):
+    """crc32 comes from the ids themselves, not from a hexadecimal string of them; null for null."""
+    values = [[], [0], [1, 255, 256, 49_407], list(range(2048)), [65_535]]
+    rows = [(np.array(v, dtype="<u2").tobytes(),) for v in values] + [(None,)]
+    df = spark.createDataFrame(rows, "ids binary").select("ids", packing.ids_crc32("ids").alias("c"))
+    assert [r.c for r in df.collect()] == [zlib.crc32(np.array(v, dtype="<u4").tobytes()) for v in values] + [None]
+    assert "hex" not in df._jdf.queryExecution().toString().lower()
