@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.llm import linededup, mil, mixing, packing, simhash
-from scoreline.llm.common import read
+from scoreline.llm.common import NO_MARKER, read
 from scoreline.llm.queries import LEAST_QUALITY, TARGETS, WINDOW, tokenizer
 from scoreline.session import checkpoint_dir
 
@@ -54,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.option("compression", "zstd").parquet(f"{base}/{k}")
+        out.write.option("compression", "zstd").option(NO_MARKER, "false").parquet(f"{base}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
     return docs
