@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 900_000  # pieces kept by a worker (about 250 MB); the cache starts anew beyond that
-SLICE = 16 << 20  # bytes of text encoded at once
+MOST = 640_000  # pieces kept by a worker (about 100 MB)
+FRESH = 16  # beyond that the newest 1 / FRESH of them go: the first ones met are the frequent ones; all go after as many unseen ones as are kept
+SLICE = 2 << 20  # bytes of text encoded at once (one longer text goes alone)
 MARK = "<|endoftext|>"  # parts pieces that are sent as one text
 _WORKER: dict = {}
 
@@ -57,6 +58,7 @@ class Encoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
         self.seen: dict[str, bytes] = {}
+        self.gone = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
@@ -85,10 +87,21 @@ class Encoder:
         cut = [w * int(c) for c in cut]
         return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
+    def _drop(self) -> None:
+        """Make room in the cache."""
+        n = len(self.seen) - MOST + MOST // FRESH
+        self.gone += n
+        if self.gone >= MOST:
+            self.seen.clear()
+            self.gone = 0
+        else:
+            for _ in range(n):
+                self.seen.popitem()
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         seen = self.seen
         if len(seen) > MOST:
-            seen.clear()
+            self._drop()
         found = list(map(seen.get, pieces))
         words, whole, made = set(), set(), []  # unseen words and other pieces; pieces that are put together from parts
         first = " " if self.spaced else ""
@@ -114,13 +127,18 @@ class Encoder:
             found[i] = b"".join([seen[p] for p in parts])
         return [seen[p] if x is None else x for p, x in zip(pieces, found)]
 
-    def encode(self, texts: pa.Array) -> pa.Array:
-        """A binary array: the ids of each text, null as empty."""
+    def encoded(self, texts: pa.Array):
+        """Yield (first text, binary array with the ids of each text) for about ``SLICE`` bytes of texts at a time, null as empty."""
         texts = pc.fill_null(texts, "")
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.searchsorted(np.cumsum(size), np.arange(SLICE, size.sum() + SLICE, SLICE), side="left") + 1
         cut = sorted({0, len(texts), *(int(c) for c in cut if c < len(texts))})
-        parts = [self._slice(texts.slice(a, b - a)) for a, b in zip(cut, cut[1:])]
+        for a, b in zip(cut, cut[1:]):
+            yield a, self._slice(texts.slice(a, b - a))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """A binary array: the ids of each text, null as empty."""
+        parts = [ids for _, ids in self.encoded(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     def _slice(self, texts: pa.Array) -> pa.Array:

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -34,3 +37,62 @@ def test_words_are_kept_apart_from_what_follows(name, spaced):
     kept = len(enc.seen)
     enc.encode(pa.array([f"{a}{p} alpha{p}\nstraße{p} end" for a in ("alpha", "straße") for p in ("!", "!?", "%%", "---", "[]")]))
     assert len(enc.seen) <= kept + 10
+
+
+GROWTH = r"""
+import random, re, threading, time
+import pyarrow as pa, public_tokenizers
+from scoreline.llm.tokens import Encoder
+
+def used():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200_000)]
+texts = pa.array([" ".join(rng.choices(words, k=600)) for _ in range(10_000)])  # 42 MB, as in one Arrow batch
+del words
+enc = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+pa.default_memory_pool().release_unused()
+before, most, on = used(), [0], [True]
+def watch():
+    while on[0]:
+        most[0] = max(most[0], used())
+        time.sleep(0.01)
+thread = threading.Thread(target=watch)
+thread.start()
+enc.encode(texts)
+on[0] = False
+thread.join()
+print(most[0] - before)
+"""
+
+
+def test_batches_are_encoded_in_bounded_memory():
+    """A worker's memory follows the slice and the cache, not the batch: two workers share what the executor's heap leaves."""
+    grown = float(subprocess.run([sys.executable, "-c", GROWTH], capture_output=True, text=True, check=True, timeout=300).stdout)
+    assert grown < 140
+
+
+def test_slices_name_their_first_text(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 64)
+    enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = pa.array([None, "", "one two", "word " * 100, "x", None, "three " * 9, "a b"], pa.string())
+    whole, parts = enc.encode(texts).to_pylist(), list(enc.encoded(texts))
+    assert len(parts) > 2 and [x for _, ids in parts for x in ids.to_pylist()] == whole
+    assert [first for first, _ in parts] == [sum(len(ids) for _, ids in parts[:i]) for i in range(len(parts))]
+    assert list(enc.encoded(texts.slice(0, 0))) == []
+
+
+def test_full_cache_keeps_the_first_pieces(monkeypatch):
+    """Frequent pieces stay when the cache is full; words that never come again don't push them out, a change of the texts does."""
+    monkeypatch.setattr(tokens, "MOST", 320)
+    enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    often = [f"often{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    rare = [f"rare{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(900)]
+    enc.encode(pa.array([" ".join(often)]))
+    for i in range(0, 300, 20):
+        enc.encode(pa.array([" ".join(rare[i:i + 20] + often)]))
+        assert all(w in enc.seen for w in often) and len(enc.seen) <= 320 + 20
+    for i in range(300, 900, 20):
+        enc.encode(pa.array([" ".join(rare[i:i + 20])]))
+    assert not any(w in enc.seen for w in often)
