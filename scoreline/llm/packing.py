@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import staged
 from .tokens import encoder
 
+ROWS = 2048  # pieces whose ids are copied at once
+
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) -> DataFrame:
     """(doc_id, doc_tokens, start, length, ids, chunk, nth): pieces of at most ``window`` ids, uncut otherwise.
@@ -40,25 +42,27 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) -> Dat
         count = np.zeros(window + 1, dtype=np.int64)
         chunk = TaskContext.get().partitionId()
         for batch in batches:
-            rows, start, total, ids, nth = [], [], [], [], []
-            for row, raw in enumerate(enc.encode(batch.column(1)).to_pylist()):
-                raw += tail
-                n = len(raw) // width
-                for at in range(0, n, window):
-                    piece = raw[at * width:(at + window) * width]
-                    rows.append(row)
-                    start.append(at)
-                    total.append(n)
-                    ids.append(piece)
-                    length = len(piece) // width
-                    nth.append(count[length])
-                    count[length] += 1
-            length = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // width
-            table = pa.table([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(total, pa.int64()),
-                              pa.array(start, pa.int64()), pa.array(length), pa.array(ids, pa.binary()),
-                              pa.array(np.full(len(ids), chunk, dtype=np.int64)), pa.array(nth, pa.int64())],
-                             names=["doc_id", "doc_tokens", "start", "length", "ids", "chunk", "nth"])
-            yield from table.to_batches(max_chunksize=4096)
+            for first, encoded in enc.encoded(batch.column(1)):
+                rows, start, total, ids, nth = [], [], [], [], []
+                for row, raw in enumerate(encoded.to_pylist(), first):
+                    raw += tail
+                    n = len(raw) // width
+                    for at in range(0, n, window):
+                        piece = raw[at * width:(at + window) * width]
+                        rows.append(row)
+                        start.append(at)
+                        total.append(n)
+                        ids.append(piece)
+                        length = len(piece) // width
+                        nth.append(count[length])
+                        count[length] += 1
+                length = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // width
+                table = pa.table([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(total, pa.int64()),
+                                  pa.array(start, pa.int64()), pa.array(length), pa.array(ids, pa.binary()),
+                                  pa.array(np.full(len(ids), chunk, dtype=np.int64)), pa.array(nth, pa.int64())],
+                                 names=["doc_id", "doc_tokens", "start", "length", "ids", "chunk", "nth"])
+                yield from table.to_batches(max_chunksize=4096)
+        pa.default_memory_pool().release_unused()  # the worker waits on with its cache alone
     schema = "doc_id long, doc_tokens long, start long, length int, ids binary, chunk long, nth long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -237,14 +241,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
                 keep = seq >= 0
                 row, begin, size, seq, off = (np.r_[x[keep], y] for x, y in
                                               ((row, r), (begin, b), (size, n), (seq, s), (off, o)))
-            raw = ids.to_pylist()
-            width = [len(x) // n for x, n in zip(raw, length)]
-            part = [raw[r][b * width[r]:(b + n) * width[r]] for r, b, n in zip(row, begin, size)]
-            take = pa.array(row)
-            table = pa.table([batch.column(0).take(take), pa.array(batch.column(2).to_numpy()[row] + begin), pa.array(size),
-                              pa.array(part, pa.binary()), batch.column(1).take(take), pa.array(seq), pa.array(off)],
-                             names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            yield from table.to_batches(max_chunksize=4096)
+            start = batch.column(2).to_numpy()
+            for at in range(0, len(row), ROWS):
+                r, b, n, s, o = (x[at:at + ROWS] for x in (row, begin, size, seq, off))
+                take = pa.array(r)
+                part = []
+                for raw, whole, lo, count in zip(ids.take(take).to_pylist(), length[r].tolist(), b.tolist(), n.tolist()):
+                    width = len(raw) // whole
+                    part.append(raw[lo * width:(lo + count) * width])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(start[r] + b), pa.array(n), pa.array(part, pa.binary()),
+                                                  batch.column(1).take(take), pa.array(s), pa.array(o)],
+                                                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     ranked = table.join(offsets, ["length", "chunk"]).select(
         "doc_id", "doc_tokens", "start", "length", "ids", (F.col("before") + F.col("nth")).alias("rank"))
@@ -256,6 +263,6 @@ def ids_crc32(ids: str):
     """crc32 of a piece's 16-bit ids as little-endian unsigned 32-bit values; null for null."""
     @F.arrow_udf("long")
     def crc(raw: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4")) for x in raw.to_pylist()],
-                        pa.int64())
+        return pa.array([None if x is None else zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4"))
+                         for at in range(0, len(raw), ROWS) for x in raw.slice(at, ROWS).to_pylist()], pa.int64())
     return crc(ids)

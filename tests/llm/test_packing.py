@@ -1,9 +1,11 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from brute import docs
 
-from scoreline.llm import packing
+from scoreline.llm import packing, tokens
 from scoreline.llm.queries import QUERIES, tokenizer
 
 
@@ -77,3 +79,45 @@ def test_digest_is_taken_without_text(spark):
     df = spark.createDataFrame(rows, "ids binary").select("ids", packing.ids_crc32("ids").alias("c"))
     assert [r.c for r in df.collect()] == [zlib.crc32(np.array(v, dtype="<u4").tobytes()) for v in values] + [None]
     assert "hex" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_pieces_leave_slice_by_slice(monkeypatch):
+    """A batch's first pieces leave before the rest of its texts is encoded: a worker never holds the ids of a whole batch."""
+    held = []
+
+    class Documents:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            held.append(run)
+
+    monkeypatch.setattr(tokens, "SLICE", 200)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 7)))
+    path, done = tokenizer("word_bpe_49k.json"), []
+    enc = tokens.encoder(path, spaced=False)
+    plain = enc._slice
+    monkeypatch.setattr(enc, "_slice", lambda texts: done.append(len(texts)) or plain(texts))
+    texts = [f"word {i} and more of it" * (i % 4) for i in range(300)]
+    packing.pieces(Documents(), path, 8)
+    out = held[0](iter([pa.record_batch([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]))
+    rows = next(out).to_pylist()
+    assert 0 < sum(done) < 300
+    rows += [r for batch in out for r in batch.to_pylist()]
+    assert sum(done) == 300
+    whole = {}
+    for r in rows:
+        assert r["start"] == len(whole.setdefault(r["doc_id"], [])) and r["chunk"] == 7
+        whole[r["doc_id"]] += np.frombuffer(r["ids"], dtype="<u2").tolist()
+    assert whole == dict(enumerate(_ids(texts)))
+    assert all(sorted(r["nth"] for r in rows if r["length"] == n) == list(range(sum(r["length"] == n for r in rows))) for n in range(1, 9))
+
+
+def test_more_pieces_than_are_copied_at_once(spark):
+    """Batches beyond ``ROWS`` pieces keep every piece, its ids and its digest."""
+    texts = [f"w{i % 97} text" * (1 + i % 3) for i in range(2 * packing.ROWS + 11)]
+    ids = dict(enumerate(_ids(texts)))
+    packed = packing.pack(docs(spark, texts).coalesce(1), tokenizer("word_bpe_49k.json"), 64)
+    rows = packed.select("*", packing.ids_crc32("ids").alias("crc")).collect()
+    for r, part in _check(rows, ids, 64):
+        assert np.frombuffer(r.ids, dtype="<u2").tolist() == part and r.crc == zlib.crc32(np.array(part, dtype="<u4").tobytes())
