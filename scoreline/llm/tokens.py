@@ -2,11 +2,11 @@
 
 The library spends most of its time on pieces it has merged before. Both public vocabularies encode the
 pieces between certain white space independently of each other, so a batch is split and
-dictionary-encoded by Arrow, each distinct piece is looked up once, unseen ones go to the library
-many at a time, and the ids are gathered by Arrow. Both vocabularies also part a word from the
-punctuation and the line break after it, so an unseen piece of that form is put together from its
-parts, and only those are kept: sentences make many more pieces than words. Texts where a cut could
-change the ids go to the library whole. ``tests/llm/test_tokens.py`` holds all this against plain encoding.
+dictionary-encoded by Arrow. Both also part a word from the punctuation and the line break after it,
+so the distinct pieces are cut there and dictionary-encoded again: sentences make many more pieces
+than words. Each distinct part is looked up once, unseen ones go to the library many at a time, and
+the ids are gathered by Arrow, of pieces first, then of texts. Texts where a cut could change the ids
+go to the library whole. ``tests/llm/test_tokens.py`` holds all this against plain encoding.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 640_000  # pieces kept by a worker (about 100 MB)
+MOST = 640_000  # parts kept by a worker (about 100 MB)
 FRESH = 16  # beyond that the newest 1 / FRESH of them go: the first ones met are the frequent ones; all go after as many unseen ones as are kept
 SLICE = 2 << 20  # bytes of text encoded at once (one longer text goes alone)
 MARK = "<|endoftext|>"  # parts pieces that are sent as one text
@@ -27,14 +27,33 @@ _WORKER: dict = {}
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Byte-level vocabulary, cut before spaces: a space between two white-space characters, or after one
 # at the end, may belong to a longer run.
-ODD_SPACED = rf"{_WS} {_WS}|{_WS} \z"
+# Both: NUL, which marks the cuts.
+ODD_SPACED = rf"{_WS} {_WS}|{_WS} \z|\x00"
 # Vocabulary without white space, cut at it: separators on which Arrow and the vocabulary disagree.
-ODD_DROPPED = r"[\x1c-\x1f\x{180e}\x{200b}\x{2060}\x{feff}]"
+ODD_DROPPED = r"[\x00\x1c-\x1f\x{180e}\x{200b}\x{2060}\x{feff}]"
 
-# A Latin word, punctuation after it, and the same again on the next line. Other letters, digits, marks and
-# apostrophes (contractions) are left to the library; so is U+0130, which a mark follows when lower-cased.
-_LETTERS, _POINTS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+", r"[!-&(-/:-@\[-`{-~]+"
-PARTS = re.compile(rf"( ?{_LETTERS})({_POINTS})?(?:(\n)({_LETTERS})({_POINTS})?)?")
+# A piece is cut between a Latin letter and punctuation after it, and around one line break between these and a
+# letter. Other letters, digits, marks and apostrophes (contractions) are not cut at; nor is U+0130, which a mark
+# follows when lower-cased.
+_LETTER, _POINTS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]", r"!-&(-/:-@\[-`{-~"
+CUTS = ((rf"({_LETTER})([{_POINTS}])", "\\1\0\\2"), (rf"({_LETTER}|[{_POINTS}])\n({_LETTER})", "\\1\0\n\0\\2"))
+PLAIN = {spaced: re.compile(f"{' ' if spaced else ''}{_LETTER}+") for spaced in (True, False)}
+
+
+def _distinct(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct values, the place of each value there, where each list begins or ends among the values)."""
+    bound = lists.offsets.to_numpy()
+    bound = bound - bound[0] if len(bound) else np.zeros(1, np.int32)
+    flat = lists.flatten().dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(), bound
+
+
+def _joined(ids: pa.Array, code: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """The ids at ``code``, joined to one value from each bound to the next."""
+    ids = ids.take(pa.array(code))
+    end = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset:] if len(ids) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bound) - 1,
+                                 [None, pa.py_buffer(end[bound]), ids.buffers()[2] if len(ids) else pa.py_buffer(b"")])
 
 
 class Encoder:
@@ -103,28 +122,15 @@ class Encoder:
         if len(seen) > MOST:
             self._drop()
         found = list(map(seen.get, pieces))
-        words, whole, made = set(), set(), []  # unseen words and other pieces; pieces that are put together from parts
-        first = " " if self.spaced else ""
-        for i in [i for i, x in enumerate(found) if x is None]:
-            piece = pieces[i]
-            parts = PARTS.fullmatch(piece)
-            if not parts or MARK in piece:
-                whole.add(piece)
-                continue
-            word, points, line, word2, points2 = parts.groups()
-            if word not in seen:
-                (words if word.startswith(first) else whole).add(word)
-            if points or line:
-                made.append((i, [x for x in (word, points, line, word2, points2) if x]))
-                whole.update(x for x in (points, line, points2) if x and x not in seen)
-                if word2 and word2 not in seen:
-                    (whole if first else words).add(word2)
-        for encoded, unseen in ((self._words, list(words)), (self._many, list(whole))):
+        words, whole = [], []  # unseen words and other parts
+        plain = PLAIN[self.spaced].fullmatch
+        for piece, x in zip(pieces, found):
+            if x is None:
+                (words if plain(piece) else whole).append(piece)
+        for encoded, unseen in ((self._words, words), (self._many, whole)):
             for at in range(0, len(unseen), 1024):
                 part = unseen[at:at + 1024]
                 seen.update(zip(part, encoded(part)))
-        for i, parts in made:
-            found[i] = b"".join([seen[p] for p in parts])
         return [seen[p] if x is None else x for p, x in zip(pieces, found)]
 
     def encoded(self, texts: pa.Array):
@@ -151,20 +157,17 @@ class Encoder:
             words = pc.split_pattern(texts, " ")
         else:
             words = pc.utf8_split_whitespace(pc.ascii_lower(texts))
-        bound = words.offsets.to_numpy()
-        bound = bound - bound[0] if len(bound) else np.zeros(1, np.int32)
-        flat = words.flatten().dictionary_encode()
-        code = flat.indices.to_numpy()
-        pieces = flat.dictionary.to_pylist()
+        pieces, code, bound = _distinct(words)
         if self.spaced:  # all but a text's first piece begin with the space they were cut at
-            first = code[bound[:-1]]
-            own, where = np.unique(first, return_inverse=True)
+            own, where = np.unique(code[bound[:-1]], return_inverse=True)
             code = code.copy()
             code[bound[:-1]] = len(pieces) + where.ravel()
-            pieces = [" " + p for p in pieces] + [pieces[i] for i in own]
-        ids = pa.array(self._ids(pieces), pa.binary()).take(pa.array(code))
-        end = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset:] if len(ids) else np.zeros(1, np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(end[bound]), ids.buffers()[2] if len(ids) else pa.py_buffer(b"")])
+            pieces = pa.concat_arrays([pc.binary_join_element_wise(" ", pieces, ""), pieces.take(pa.array(own))])
+        for pattern, cut in CUTS:
+            pieces = pc.replace_substring_regex(pieces, pattern, cut)
+        parts, part, ends = _distinct(pc.split_pattern(pieces, "\0"))
+        ids = pa.array(self._ids(parts.to_numpy(zero_copy_only=False).tolist()), pa.binary())
+        return _joined(_joined(ids, part, ends), code, bound)
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

@@ -1,3 +1,4 @@
+import random
 import subprocess
 import sys
 
@@ -39,6 +40,31 @@ def test_words_are_kept_apart_from_what_follows(name, spaced):
     assert len(enc.seen) <= kept + 10
 
 
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_each_part_is_looked_up_once_a_slice(name, spaced, monkeypatch):
+    """What is looked up in Python follows words and marks, not their combinations; ids are those of the whole text."""
+    words = [f"{a}{b}e" for a in "bcdfgklmnp" for b in "aiou"]
+    marks = [",", ".", ";", ":", "!", "?", ").", "...", ",\n", ".\n", "\n"]
+    texts = [f"{w}{m}{words[0]} {w}{m} {w}" for w in words for m in marks]
+    enc = tokens.Encoder(public_tokenizers.path(name), spaced)
+    asked, ids = [], enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda parts: asked.extend(parts) or ids(parts))
+    want = [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, dtype=enc.dtype).tolist() for b in enc.encode(pa.array(texts)).to_pylist()] == want
+    assert len(asked) <= 4 * (len(words) + len(marks))
+
+
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_cuts_amid_odd_characters(name, spaced):
+    rng = random.Random(3)
+    odd = [*"aZ\u00e9\u00df\u0130\u0149\u01c5\u03a3\u4e2d\ua64f1\u0661'.,=<>|!~\0\t\r\n\n\n   \u00a0\u0301\u0338\u200d\u3000", "<|endoftext|>", "'s", "'ll", ".\n", " \n"]
+    texts = ["".join(rng.choices(odd, k=rng.randrange(1, 12))) for _ in range(20_000)]
+    enc = tokens.Encoder(public_tokenizers.path(name), spaced)
+    want = [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(b, dtype=enc.dtype).tolist() for b in enc.encode(pa.array(texts)).to_pylist()]
+    assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 GROWTH = r"""
 import random, re, threading, time
 import pyarrow as pa, public_tokenizers
